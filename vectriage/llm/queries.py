@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, suffix
+from . import bpe, minhash, suffix
 from .common import table
 
 
@@ -38,5 +38,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op9_bpe_roundtrip": op9_bpe_roundtrip}
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, width=3, share=(85, 100))
+
+
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op6_near_duplicates": op6_near_duplicates, "op9_bpe_roundtrip": op9_bpe_roundtrip}
 ORACLE: dict = {}
