@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, suffix
+from . import bpe, licences, minhash, suffix, vptree
 from .common import table
 
 
@@ -33,6 +33,26 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.known(spark)).select("doc_id", "text_digest", "licence_id")
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP1_SQL = f"""
+WITH known(licence_id, text) AS (VALUES {", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licences.KNOWN)}),
+by_digest AS (
+  SELECT sha256({licences.canonical_sql("text")}) AS text_digest, min(licence_id) AS licence_id
+  FROM known WHERE {licences.canonical_sql("text")} <> '' GROUP BY 1
+),
+scanned AS (SELECT doc_id, sha256({licences.canonical_sql("text")}) AS text_digest FROM documents)
+SELECT doc_id, text_digest, licence_id FROM scanned LEFT JOIN by_digest USING (text_digest)
+"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.remove_repeated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -43,5 +63,9 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, width=3, share=(85, 100))
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op6_near_duplicates": op6_near_duplicates, "op9_bpe_roundtrip": op9_bpe_roundtrip}
-ORACLE: dict = {}
+def op7_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20, k=20, factor=1.0)
+
+
+QUERIES = {"op1_licence_scan": op1_licence_scan, "op3_suffix_dedup": op3_suffix_dedup, "op6_near_duplicates": op6_near_duplicates, "op7_vantage_point_search": op7_vantage_point_search, "op9_bpe_roundtrip": op9_bpe_roundtrip}
+ORACLE: dict = {"op1_licence_scan": OP1_SQL}
