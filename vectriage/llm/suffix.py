@@ -270,8 +270,11 @@ def _replies(found: list[tuple[int, bytes]], part: int, turn: int) -> pa.Table:
     return pa.table({"block": pa.array([b for b, _ in found], pa.int32()), "part": pa.array([part] * len(found), pa.int32()), "turn": pa.array([turn] * len(found), pa.int32()), "blob": pa.array([x for _, x in found], pa.binary())})
 
 
-def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept: str = "kept", spans: str = "removed_spans", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """df and what is left of each text: kept (binary), n_bytes, n_removed, n_spans and removed_spans (start and end bytes)."""
+def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept: str = "kept", spans: str = "removed_spans", window: int = WINDOW, gram: int = GRAM, whole_characters: bool = False) -> DataFrame:
+    """df and what is left of each text: kept (binary), n_bytes, n_removed, n_spans and removed_spans (start and end bytes).
+
+    whole_characters: kept is a string, without the bytes of characters that lost some of theirs.
+    """
     string_columns(df, key, text)
     if not 1 <= gram <= window or window < 8:
         raise ValueError("1 <= gram <= window and window >= 8 are needed")
@@ -320,7 +323,7 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept
 
     second = materialize(dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_contexts, asks).groupBy("part").applyInArrow(decide, replies), "windows")
 
-    computed = {kept: T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), spans: T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))}
+    computed = {kept: T.StringType() if whole_characters else T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), spans: T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))}
     schema = T.StructType([f for f in df.schema if f.name not in computed] + [T.StructField(n, k) for n, k in computed.items()])
     passed = [f.name for f in df.schema if f.name not in computed]
 
@@ -362,7 +365,9 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept
         spans_offsets = np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)
         pairs = pa.StructArray.from_arrays([pa.array(begins - base, pa.int64()), pa.array(stops - base, pa.int64())], ["start", "end"])
         columns = {x: block.rows.column(x) for x in passed}
-        columns |= {kept: binary_array(block.data[~removed], np.diff(block.offsets) - n_removed).cast(pa.binary()), "n_bytes": pa.array(np.diff(block.offsets), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), spans: pa.ListArray.from_arrays(pa.array(spans_offsets), pairs)}
+        rest = binary_array(block.data[~removed], np.diff(block.offsets) - n_removed)
+        rest = pa.array([x.decode("utf-8", "ignore") for x in rest.to_pylist()], pa.string()) if whole_characters else rest.cast(pa.binary())
+        columns |= {kept: rest, "n_bytes": pa.array(np.diff(block.offsets), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), spans: pa.ListArray.from_arrays(pa.array(spans_offsets), pairs)}
         return pa.table(columns)
 
     return dealt.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(remove, schema)
