@@ -168,7 +168,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
                 values = pa.array([sets[e - n : e].tobytes() for n, e in zip(sizes.tolist(), ends.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), values], ["node", "at", "shingles"])
 
-    placed = texts.join(members, "node").select("node", "at", "text").mapInArrow(sets_of, "node long, at array<struct<unit: long, component: long, low: int, high: int, tile: int>>, shingles binary")
+    # the ids grow with the corpus: one plan at every size, never a broadcast that a larger table has to give up
+    placed = texts.join(members.hint("merge"), "node").select("node", "at", "text").mapInArrow(sets_of, "node long, at array<struct<unit: long, component: long, low: int, high: int, tile: int>>, shingles binary")
     placed = placed.select("node", "shingles", F.explode("at").alias("at")).select("at.*", "node", "shingles").where("octet_length(shingles) > 0")
 
     def confirm(table: pa.Table) -> pa.Table:
@@ -201,4 +202,4 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of df without those that aren't the first of their group; rows without words and without a key stay."""
     gone = near_duplicates(df, key, text, width, share).where(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
-    return df.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    return df.join(gone.hint("merge"), F.col(key).cast("long") == F.col("__gone"), "left_anti")
