@@ -1 +1,3 @@
+"""Column expressions. All are built-in Spark functions."""
 
+from . import mixing, text, vectors  # noqa: F401

@@ -1 +1,3 @@
+"""Readers and writers."""
 
+from . import readers, writers  # noqa: F401
