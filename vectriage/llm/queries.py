@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licences, minhash, mixing, suffix, vptree, wordpiece
+from . import bpe, idfile, langid, licences, minhash, mixing, suffix, vptree, wordpiece
 from .common import table
 
 
@@ -147,6 +147,11 @@ def op7_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20, k=20, factor=1.0)
 
 
+def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return idfile.round_trip(docs, vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_licence_scan": op1_licence_scan,
     "op2_mix_sources": op2_mix_sources,
@@ -156,6 +161,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_vantage_point_search": op7_vantage_point_search,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
+    "op10_token_id_files": op10_token_id_files,
     "page_languages": page_languages,
 }
 ORACLE: dict = {"op1_licence_scan": OP1_SQL, "op2_mix_sources": OP2_SQL}
