@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, idfile, langid, licences, minhash, mixing, suffix, vptree, wordpiece
+from . import bpe, idfile, images, langid, licences, minhash, mixing, suffix, vptree, wordpiece
 from .common import table
 
 
@@ -147,6 +147,12 @@ def op7_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20, k=20, factor=1.0)
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures, so each document is one: its bytes as grey pixels, in rows of 64."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", images.text_as_image(F.col("text")).alias("image"))
+    return images.find_copies(docs, "doc_id", "image")
+
+
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return idfile.round_trip(docs, vocabulary("byte_bpe_50k.json"))
@@ -160,6 +166,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_vantage_point_search": op7_vantage_point_search,
+    "op8_image_copies": op8_image_copies,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_token_id_files": op10_token_id_files,
     "page_languages": page_languages,
