@@ -197,3 +197,58 @@ def mean_pool(parts: DataFrame, keys: list[str], vector: str = "v") -> DataFrame
     """The mean of the vectors of a group, a dimension at a time."""
     flat = parts.select(*keys, F.posexplode(vector).alias("__d", "__x")).groupBy(*keys, "__d").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
     return flat.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__d", "__m"))), lambda s: s["__m"]).alias(vector))
+
+
+_NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
+
+
+def load_nifti(content: bytes, slope: float = 1.0, intercept: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """A volume [X, Y, Z] in Hounsfield units and its 4 x 4 affine, LPS, of a NIfTI-1 file, gzipped or not.
+
+    Values that already reach -800 are taken as they are, others are rescaled.
+    """
+    import gzip
+    import struct
+
+    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    order = next((o for o in "<>" if len(data) >= 352 and struct.unpack_from(o + "i", data)[0] == 348), None)
+    if order is None or data[344:347] not in (b"n+1", b"ni1"):
+        raise ValueError("not a NIfTI-1 file")
+    dims = struct.unpack_from(order + "8h", data, 40)
+    kind = struct.unpack_from(order + "h", data, 70)[0]
+    if kind not in _NIFTI_TYPES:
+        raise ValueError(f"voxel type {kind} isn't supported")
+    shape = dims[1 : 1 + dims[0]][:3]
+    steps = struct.unpack_from(order + "8f", data, 76)
+    start = int(struct.unpack_from(order + "f", data, 108)[0])
+    dtype = np.dtype(_NIFTI_TYPES[kind]).newbyteorder(order)
+    raw = np.frombuffer(data, dtype, int(np.prod(shape)), start).reshape(shape, order="F").astype(np.float64)
+    if struct.unpack_from(order + "h", data, 254)[0] > 0:
+        affine = np.vstack([np.array(struct.unpack_from(order + "12f", data, 280)).reshape(3, 4), [0, 0, 0, 1]])
+    else:
+        affine = np.diag([*steps[1:4], 1.0])
+    affine[:2] *= -1  # RAS to LPS
+    return (raw if raw.min() <= -800 else raw * slope + intercept), affine
+
+
+def ct_windows(volume: np.ndarray, ranges: list[tuple[float, float]]) -> np.ndarray:
+    """One channel for each (center, width) in Hounsfield units, scaled to [0, 1]."""
+    return np.stack([np.clip((volume - (c - w / 2)) / w, 0, 1) for c, w in ranges])
+
+
+def adaptive_spacing(spacing: tuple, least: float = 0.75) -> tuple:
+    """The finest of a volume's spacings on all axes, but no finer than least."""
+    return (max(min(spacing), least),) * len(spacing)
+
+
+def patch_budget(volume: np.ndarray, patch: tuple, most: int) -> np.ndarray:
+    """A volume cropped around its middle to whole patches, `most` of them at the most, the longest axis giving way."""
+    counts = [max(1, n // p) for n, p in zip(volume.shape, patch)]
+    while np.prod(counts) > most and max(counts) > 1:
+        counts[int(np.argmax(counts))] -= 1
+    return pad_or_crop(volume, tuple(c * p for c, p in zip(counts, patch)), float(volume.min()))
+
+
+def pooled_projection(features: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The mean over the first axis, flattened, through a linear layer."""
+    return weights @ features.mean(0).reshape(-1) + bias
