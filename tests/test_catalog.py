@@ -28,7 +28,12 @@ def con(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.ORACLE])
+#: Most queries over pools of scores differ in their last step only; these stand for them here, and the driver runs all.
+POOLED = {"knn_prob_distance", "ap_rank", "auroc", "perclass_fact", "f1_subset_hamming", "bootstrap_macro_auroc_ci", "paired_diff_sig", "kendall_w"}
+NAMES = [n for n in catalog.QUERIES if n in catalog.ORACLE and ("pools AS" not in catalog.ORACLE[n] or n in POOLED)]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, sf_dir, con, name):
     df = catalog.QUERIES[name](spark, sf_dir)
     names = sorted(df.columns)
