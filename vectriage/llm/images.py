@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, materialize, mix, pack, part_of, parts_for, string_columns, unpack
+from .common import U, bounded_batches, materialize, mix, pack, part_of, parts_for, string_columns, trim, trimmed, unpack
 from .components import components
 
 RADIUS, PAD, TURNS, TESTS = 10, 16, 16, 128
@@ -164,12 +164,12 @@ def _describe(images, names, width):
 
 
 def match(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray, y: np.ndarray, x: np.ndarray, d: np.ndarray, chunk: np.ndarray):
-    """Votes (doc, leader, change of scale, turn, shift in y and x, how many) within the buckets of one part."""
+    """Votes (doc, leader, change, how many) within the buckets of one part; a change of scale, turn and shift is one number."""
     order = np.lexsort((x, y, doc, d[:, 1], d[:, 0], key))
     key, doc, scale, turn, y, x, d, chunk = (a[order] for a in (key, doc, scale, turn, y, x, d, chunk))
     n = len(key)
     if not n:
-        return np.zeros((0, 7), np.int64)
+        return np.zeros((0, 4), np.int64)
     new = np.r_[True, key[1:] != key[:-1]]
     group = np.cumsum(new) - 1
     by_doc = np.lexsort((np.arange(n), doc, group))
@@ -187,7 +187,9 @@ def match(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray,
         i, h = i[ok], h[ok]
         swap = doc[i] < doc[h]
         a, b = np.where(swap, h, i), np.where(swap, i, h)
-        votes.append(np.stack([doc[a], doc[b], scale[a] - scale[b], (turn[a] - turn[b]) % TURNS, (y[a] - y[b]) // SHIFT, (x[a] - x[b]) // SHIFT], 1))
+        change = ((scale[a] - scale[b] + 1) * TURNS + (turn[a] - turn[b]) % TURNS) << 40
+        change += (((y[a] - y[b]) // SHIFT + (1 << 19)) & 0xFFFFF) << 20 | (((x[a] - x[b]) // SHIFT + (1 << 19)) & 0xFFFFF)
+        votes.append(np.stack([doc[a], doc[b], change], 1))
     every, times = np.unique(np.concatenate(votes), axis=0, return_counts=True)
     return np.column_stack([every, times])
 
@@ -195,8 +197,12 @@ def match(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray,
 def find_copies(df: DataFrame, key: str, image: str) -> DataFrame:
     """(key, n_points, n_links, component_id, kept): component_id is the least key reachable, kept its own row."""
     string_columns(df, key, image)
+    bounded_batches(df)
     parts = parts_for(df, 2 << 20)
 
+    def row(part: list[int], counts: bool, blobs: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([counts] * len(part)), pa.array(blobs, pa.binary())], ["part", "counts", "blob"])
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -205,7 +211,7 @@ def find_copies(df: DataFrame, key: str, image: str) -> DataFrame:
                 ids = rows.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
                 owner, scale, turn, y, x, d = describe([decode_pgm(v) for v in rows.column(1).to_pylist()])
                 points = np.bincount(owner, minlength=len(ids))[: len(ids)]
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pack(ids, known.astype(np.uint8), points)], pa.binary())], ["part", "blob"])
+                yield row([int(ids[0] % parts)], True, [pack(ids, known.astype(np.uint8), points)])
                 use = known[owner]
                 owner, scale, turn, y, x, d = (a[use] for a in (owner, scale, turn, y, x, d))
                 chunks = np.stack([d[:, 0] >> U(32), d[:, 0] & U(0xFFFFFFFF), d[:, 1] >> U(32), d[:, 1] & U(0xFFFFFFFF)], 1)
@@ -219,29 +225,38 @@ def find_copies(df: DataFrame, key: str, image: str) -> DataFrame:
                     names.append(int(own[a]))
                     blobs.append(pack(table[a:b].astype(np.uint8), ids[owner[j]], scale[j].astype(np.uint8), turn[j].astype(np.uint8), y[j].astype(np.int32), x[j].astype(np.int32), d[j, 0], d[j, 1]))
                 if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                    yield row(names, False, blobs)
+        trim()
 
-    corners = materialize(df.select(F.col(key).cast("long"), image).mapInArrow(run, "part int, blob binary"), "corners")
+    corners = df.select(F.col(key).cast("long"), image).mapInArrow(run, "part int, counts boolean, blob binary")
 
+    @trimmed
     def vote(table: pa.Table) -> pa.Table:
-        found = [unpack(b.as_py()) for b in table.column("blob")]
-        chunk, doc, scale, turn, y, x, d0, d1 = (np.concatenate([f[k] for f in found]) for k in range(8))
-        d = np.stack([d0, d1], 1)
-        c = chunk.astype(np.int64)
-        value = np.where(c % 2 == 0, d[np.arange(len(c)), c // 2] >> U(32), d[np.arange(len(c)), c // 2] & U(0xFFFFFFFF))
-        votes = match(mix(value + (c.astype(np.uint64) << U(32))), doc, scale.astype(np.int64), turn.astype(np.int64), y.astype(np.int64), x.astype(np.int64), d, c)
-        return pa.table({n: votes[:, k] for k, n in enumerate(("doc", "other", "scale", "turn", "dy", "dx", "votes"))})
-
-    votes = corners.where("part >= 0").groupBy("part").applyInArrow(vote, "doc long, other long, scale long, turn long, dy long, dx long, votes long")
-    agreed = votes.groupBy("doc", "other", "scale", "turn", "dy", "dx").agg(F.sum("votes").alias("votes")).where("votes >= 2").groupBy("doc", "other").agg(F.max("votes").alias("votes"))
-
-    def unpacked(batches):
-        for batch in batches:
-            for blob in batch.column(0):
-                ids, known, points = unpack(blob.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(points, pa.int64())], ["doc", "points"])
-
-    rows = corners.where("part < 0").select("blob").mapInArrow(unpacked, "doc long, points long")
+        counts = table.column("counts").to_numpy()
+        blobs = table.column("blob")
+        docs = [unpack(blobs[i].as_py()) for i in np.flatnonzero(counts).tolist()]
+        ids, known, points = (np.concatenate([d[k] for d in docs]) if docs else np.zeros(0, np.int64) for k in range(3))
+        votes = np.zeros((0, 4), np.int64)
+        if not counts.all():
+            found = [unpack(blobs[i].as_py()) for i in np.flatnonzero(~counts).tolist()]
+            chunk, doc, scale, turn, y, x, d0, d1 = (np.concatenate([f[k] for f in found]) for k in range(8))
+            d = np.stack([d0, d1], 1)
+            c = chunk.astype(np.int64)
+            half = d[np.arange(len(c)), c // 2]
+            value = np.where(c % 2 == 0, half >> U(32), half & U(0xFFFFFFFF))
+            votes = match(mix(value + (c.astype(np.uint64) << U(32))), doc, scale.astype(np.int64), turn.astype(np.int64), y.astype(np.int64), x.astype(np.int64), d, c)
+        none = np.r_[np.zeros(len(votes), bool), np.ones(len(ids), bool)]
+        return pa.table({
+            "doc": pa.array(np.r_[votes[:, 0], ids], pa.int64(), mask=np.r_[np.zeros(len(votes), bool), known == 0]),
+            "other": pa.array(np.r_[votes[:, 1], ids], pa.int64(), mask=none),
+            "change": pa.array(np.r_[votes[:, 2], ids], pa.int64(), mask=none),
+            "votes": pa.array(np.r_[votes[:, 3], points], pa.int64()),
+        })
+
+    # votes for pairs, and rows without a partner that hold an image's number of corners
+    every = materialize(corners.groupBy("part").applyInArrow(vote, "doc long, other long, change long, votes long"), "votes")
+    agreed = every.where("other is not null").groupBy("doc", "other", "change").agg(F.sum("votes").alias("votes")).where("votes >= 2").groupBy("doc", "other").agg(F.max("votes").alias("votes"))
+    rows = every.where("other is null").select("doc", F.col("votes").alias("points"))
     points = rows.where("doc is not null").groupBy("doc").agg(F.max("points").alias("points"))
     least = F.least("points", "others")
     needed = F.greatest(F.lit(2), F.least(least, F.greatest(F.lit(VOTES), F.ceil(least * SHARE))))
