@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import string_columns, texts
+from .common import bounded_batches, string_columns, texts
 
 #: A piece of text of at least this many characters is handed to the library at a time.
 PIECE_CHARS = 1 << 16
@@ -63,6 +63,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a binary column: the ids of text as little-endian unsigned 32-bit integers."""
     string_columns(df, text)
+    bounded_batches(df)
     schema = _with(df, ids, T.BinaryType())
     keep = schema.names[:-1]
 
@@ -78,6 +79,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with a binary column: the bytes that the ids stand for. They need not be UTF-8."""
     string_columns(df, ids)
+    bounded_batches(df)
     schema = _with(df, decoded, T.BinaryType())
     keep = schema.names[:-1]
 

@@ -39,6 +39,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Arrow batches of a few megabytes, for both sides of a Python worker hold several at a time."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df, without reading it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -96,6 +103,49 @@ def spans_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """The elements of [start, start + length), one span after another; indexes are made for about `most` at a time."""
+    out = np.empty(int(lengths.sum()), data.dtype)
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < len(lengths):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        out[done : int(ends[to - 1])] = data[spans_index(starts[at:to], lengths[at:to])]
+        at = to
+    return out
+
+
+def trim() -> None:
+    """Give memory that was freed back to the system: workers are kept, and what they once needed would stay with them."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def trimmed(function):
+    """A function of one group, or of a key and a group, or of two groups, that trims when it is done."""
+    import functools
+
+    def one(a):
+        try:
+            return function(a)
+        finally:
+            trim()
+
+    def two(a, b):
+        try:
+            return function(a, b)
+        finally:
+            trim()
+
+    return functools.wraps(function)(one if function.__code__.co_argcount == 1 else two)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -133,6 +183,8 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
 # ---- blocks: whole rows of documents, dealt by id into blocks that any later stage can ask for again
 
 BLOCK_SCHEMA = "block int, rows binary"
+#: Bytes of rows that a task deals out at a time.
+GATHER_BYTES = 12 << 20
 
 
 def block_of(doc_id: Column, blocks: int) -> Column:
@@ -144,24 +196,35 @@ def to_blocks(df: DataFrame, key: str, blocks: int) -> DataFrame:
     name = "__block"
     while name in df.columns:
         name += "_"
+    bounded_batches(df)
     keyed = df.withColumn(name, block_of(F.col(key), blocks))
 
+    def gathered(batches):
+        """Batches put together to some megabytes, so that a block's share of one isn't tiny."""
+        some, size = [], 0
+        for batch in batches:
+            some.append(batch)
+            size += batch.nbytes
+            if size >= GATHER_BYTES:
+                yield pa.Table.from_batches(some).combine_chunks()
+                some, size = [], 0
+        if some:
+            yield pa.Table.from_batches(some).combine_chunks()
+
     def run(batches):
         option = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            at = batch.schema.get_field_index(name)
-            block = batch.column(at).to_numpy(zero_copy_only=False)
-            batch = batch.select([n for i, n in enumerate(batch.schema.names) if i != at])
+        for rows in gathered(batches):
+            block = rows.column(name).to_numpy()
+            rows = rows.drop_columns([name])
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order])) + 1
-            ids, values = [], []
             for own in np.split(order, cuts) if len(order) else []:
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=option) as w:
-                    w.write_batch(batch.take(pa.array(own)))
-                ids.append(int(block[own[0]]))
-                values.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(values, pa.binary())], ["block", "rows"])
+                with pa.ipc.new_stream(sink, rows.schema, options=option) as w:
+                    w.write_table(rows.take(pa.array(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[own[0]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+            del rows, order
+        trim()
 
     return keyed.mapInArrow(run, BLOCK_SCHEMA)
 

@@ -33,7 +33,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_for, shared_dir, string_columns, texts
+from .common import bounded_batches, materialize, parts_for, shared_dir, string_columns, texts
 
 MAGIC = b"VTCM0001"
 LANES, MOST_IDS, LEAST_IDS = 4096, 2048, 128
@@ -361,6 +361,7 @@ def _write(uri: str, name: str, data: bytes) -> None:
 def write_ids(df: DataFrame, tokenizer_path: str, uri: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the ids of all texts to files in the folder uri; (file, n_docs, n_ids, n_bytes) of each file."""
     string_columns(df, key, text)
+    bounded_batches(df)
     if "://" not in uri:
         uri = ("file://" if uri.startswith("/") else "file:") + uri
     uri = uri.replace("file:/", "file:///") if uri.startswith("file:/") and not uri.startswith("file://") else uri

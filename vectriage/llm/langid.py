@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, raw, string_columns
+from .common import bounded_batches, materialize, raw, string_columns, trim
 
 #: Labelled rows a language that the models are fitted on, at most.
 SAMPLE = 300
@@ -115,6 +115,7 @@ def domain_of(host: Column) -> Column:
 def identify(df: DataFrame, key: str, text: str, models: tuple[list[str], np.ndarray], declared: Column | None = None, host: Column | None = None, wanted: list[str] | None = None) -> DataFrame:
     """df with language, confidence, text_language and accepted."""
     string_columns(df, key, text)
+    bounded_batches(df)
     languages, table = models
     computed = ("language", "confidence", "text_language", "accepted")
     passed = [c for c in df.columns if c not in computed]
@@ -129,6 +130,7 @@ def identify(df: DataFrame, key: str, text: str, models: tuple[list[str], np.nda
         for batch in batches:
             found, used = likelihoods(*raw(batch.column(text)), table)
             yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(found[:, k]) for k in range(len(languages))] + [pa.array(used)], schema.names)
+        trim()
 
     rows = seen.mapInArrow(run, schema)
     best = F.greatest(*[F.col(s) for s in scores]) if len(scores) > 1 else F.col(scores[0])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_for, raw, string_columns
+from .common import bounded_batches, materialize, parts_for, raw, string_columns, trim, trimmed
 from .components import components
 from .shingles import digests, estimate, registers, shingle_sets
 
@@ -42,13 +42,14 @@ def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, max(batch.num_rows, 1), 1000):
+                part = batch.slice(at, 1000)
                 sets, sizes = shingle_sets(*raw(part.column(1)), width)
                 both = digests(sets, sizes).view(np.int64)
                 sig = registers(sets, sizes, BUCKETS).astype("<u2")
                 values = pa.array([x.tobytes() for x in sig], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), values], ["doc", "n", "d0", "d1", "sig"])
+        trim()
 
     return df.select(F.col(key).cast("long"), text).mapInArrow(run, "doc long, n long, d0 long, d1 long, sig binary")
 
@@ -137,6 +138,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     Two rows are linked where the intersection of their sets has share[0] / share[1] of the union or more.
     """
     string_columns(df, key, text)
+    bounded_batches(df)
     num, den = share
     if not 0.5 <= num / den < 1 or width < 1:
         raise ValueError("a share from 0.5 to below 1 and a positive width are needed")
@@ -161,17 +163,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     def sets_of(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 sets, sizes = shingle_sets(*raw(part.column(2)), width)
                 ends = np.cumsum(sizes)
                 values = pa.array([sets[e - n : e].tobytes() for n, e in zip(sizes.tolist(), ends.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), values], ["node", "at", "shingles"])
+        trim()
 
     # the ids grow with the corpus: one plan at every size, never a broadcast that a larger table has to give up
     placed = texts.join(members.hint("merge"), "node").select("node", "at", "text").mapInArrow(sets_of, "node long, at array<struct<unit: long, component: long, low: int, high: int, tile: int>>, shingles binary")
     placed = placed.select("node", "shingles", F.explode("at").alias("at")).select("at.*", "node", "shingles").where("octet_length(shingles) > 0")
 
+    @trimmed
     def confirm(table: pa.Table) -> pa.Table:
         t = {n: table.column(n).to_numpy() for n in ("component", "low", "high", "tile", "node")}
         sets = table.column("shingles")

@@ -31,14 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ODD, U, binary_array, from_blocks, materialize, mix, pack, part_of, parts_for, raw, spans_index, string_columns, to_blocks, unpack
+from .common import ODD, U, binary_array, from_blocks, gather, materialize, mix, pack, part_of, parts_for, raw, spans_index, string_columns, to_blocks, trimmed, unpack
 
 WINDOW = 50
 GRAM = 24
 #: Bytes of text that are hashed at a time; their arrays stay in a core's cache.
 SLAB = 1 << 17
 #: Compressed bytes of a block of documents; there are 96 blocks at least.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
@@ -136,7 +136,7 @@ class Block:
     def distinct(self):
         """Distinct contexts in the order of their keys: the context of each run, the run that stands for each context."""
         lengths = self.count + self.window - 1
-        found = binary_array(self.data[spans_index(self.first, lengths)], lengths).dictionary_encode()
+        found = binary_array(gather(self.data, self.first, lengths), lengths).dictionary_encode()
         of_run = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         n = len(found.dictionary)
         head = np.full(n, len(of_run), np.int64)
@@ -284,6 +284,7 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept
     asks = "part int, block int, blob binary"
     dealt = to_blocks(df, key, blocks)
 
+    @trimmed
     def ask_anchors(table: pa.Table) -> pa.Table:
         block = Block(table.column("rows"), key, text, window, gram)
         keys, several, _ = block.anchors()
@@ -295,6 +296,7 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept
             out["blob"].append(pack(low, np.packbits(several[lo:hi])))
         return pa.table(out, pa.schema([("part", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())]))
 
+    @trimmed
     def shared(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _replies(answer_anchors(table), name[0].as_py(), 1)
 
@@ -304,6 +306,7 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept
         own = answers.filter(pc.equal(answers.column("turn"), turn))
         return dict(zip(own.column("part").to_pylist(), own.column("blob").to_pylist()))
 
+    @trimmed
     def ask_contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
         out = {"part": [], "block": [], "blob": []}
         if table.num_rows:
@@ -315,9 +318,10 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept
                 lengths = block.count[own] + window - 1
                 out["part"].append(p)
                 out["block"].append(table.column("block")[0].as_py())
-                out["blob"].append(pack(block.key[own], block.ids[block.doc[own]], lengths.astype(np.uint32), block.data[spans_index(block.first[own], lengths)]))
+                out["blob"].append(pack(block.key[own], block.ids[block.doc[own]], lengths.astype(np.uint32), gather(block.data, block.first[own], lengths)))
         return pa.table(out, pa.schema([("part", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())]))
 
+    @trimmed
     def decide(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _replies(answer_contexts(table, window), name[0].as_py(), 2)
 
@@ -327,6 +331,7 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept
     schema = T.StructType([f for f in df.schema if f.name not in computed] + [T.StructField(n, k) for n, k in computed.items()])
     passed = [f.name for f in df.schema if f.name not in computed]
 
+    @trimmed
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({n: [] for n in schema.names})

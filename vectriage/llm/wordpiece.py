@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import string_columns, texts
+from .common import bounded_batches, string_columns, texts
 
 MEMO_WORDS, MEMO_CHARS = 1 << 19, 64
 _MATCHERS: dict = {}
@@ -101,6 +101,7 @@ def matcher(model_path: str) -> Matcher:
 def count_tokens(df: DataFrame, model_path: str, text: str = "text", count: str = "n_tokens") -> DataFrame:
     """df with the number of word pieces of text."""
     string_columns(df, text)
+    bounded_batches(df)
     schema = T.StructType([f for f in df.schema if f.name != count] + [T.StructField(count, T.LongType())])
     keep = schema.names[:-1]
 
