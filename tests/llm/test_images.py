@@ -76,3 +76,33 @@ def test_query(spark, sf_dir):
     for d in sorted(docs):
         if len(docs[d]) > 1500:
             assert got[d] == got[first.setdefault(docs[d], d)]
+
+
+def bits(*flips):
+    """A descriptor with some bits flipped; bits 0 to 31 are the first table's, and so on."""
+    value = 0x0123456789ABCDEF_FEDCBA9876543210
+    for k in flips:
+        value ^= 1 << (127 - k)
+    return [value >> 64, value & (1 << 64) - 1]
+
+
+def votes_of(rows):
+    """Votes among corners (doc, y, x, descriptor), through all four tables."""
+    d = np.repeat(np.array([r[3] for r in rows], np.uint64), 4, axis=0)
+    chunk = np.tile(np.arange(4), len(rows))
+    doc, y, x = (np.repeat(np.array([r[k] for r in rows], np.int64), 4) for k in range(3))
+    half = d[np.arange(len(d)), chunk // 2]
+    value = np.where(chunk % 2 == 0, half >> np.uint64(32), half & np.uint64(0xFFFFFFFF))
+    one = np.ones(len(d), np.int64)
+    return images.match(value + (chunk.astype(np.uint64) << np.uint64(32)), doc, one, one, y, x, d, chunk).tolist()
+
+
+def test_a_bucket_compares_all_its_descriptors():
+    far = list(range(32, 128, 3))  # doc 1 shares the first chunk only
+    rows = [(1, 0, 0, bits(*far)), (2, 0, 0, bits(40)), (3, 0, 0, bits(70, 100))]
+    assert [(v[0], v[1], v[3]) for v in votes_of(rows)] == [(3, 2, 1)]
+    shared = [(k, 5 * k, 0, bits()) for k in range(1, 6)]
+    assert {(v[0], v[1]) for v in votes_of(shared)} == {(a, b) for a in range(1, 6) for b in range(1, a)}
+    many = [(k, 0, 0, bits(*np.random.default_rng(k).choice(np.arange(32, 128), 12, replace=False).tolist())) for k in range(90)]
+    want = {(a, b) for a in range(90) for b in range(a) if sum((p ^ q).bit_count() for p, q in zip(many[a][3], many[b][3])) <= images.NEAR}
+    assert want and {(v[0], v[1]) for v in votes_of(many)} == want

@@ -3,35 +3,40 @@
 At two scales, corners are the strongest Harris responses within RADIUS pixels. Around each, 128 binary tests compare
 smoothed pixels at a fixed pattern of places, turned to one of 16 orientations by the patch's centroid. Each descriptor is
 entered in four tables by 32 of its bits, so descriptors that differ in up to three bits meet in one at least. Within a
-table's bucket, a descriptor is compared with the bucket's first and with the first that equals it, never all with all, and
-matches up to NEAR bits apart vote for the change of scale, turn and shift that they imply. Images are linked if VOTES
+table's bucket, all distinct descriptors are compared in tiles, equal ones once for all their corners, and corners up to
+NEAR bits apart vote for the change of scale, turn and shift that they imply. Images that have the same corners at the same
+places (the same face, a 64-bit hash) are one in this, and linked with each other by it. Images are linked if VOTES
 corners agree on one change, and a SHARE of the corners of the poorer one (where that has fewer than VOTES: all of them,
 two at least); links' connected components are
 the groups of copies.
 
 All arithmetic on pixels is whole numbers, so an image's descriptors don't depend on the images beside it. The exchange has
-one row for each map batch and part, not for each descriptor; a bucket that many copies share stays linear in their number.
+one row for each map batch and part, not for each descriptor. Equal images cost nothing; a patch that many different
+images share costs a vote for each two of them. n_links counts an image's links with all others.
 
 Images are grey PGM (binary, P5). Defined results: null, empty and undecodable images have no corners and are groups of
 their own, as are images without contrast. Rows with a null key take part in nothing; their component is null. Rows that
-repeat a key are one image for links. An empty table gives no rows. Other columns aren't passed on: join by the key.
+repeat a key are one image for links, which has the links of each of them. An empty table gives no rows. Other columns aren't passed on: join by the key.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bounded_batches, materialize, mix, pack, part_of, parts_for, string_columns, trim, trimmed, unpack
+from .common import ODD, U, bounded_batches, materialize, mix, pack, part_of, parts_for, spans_index, string_columns, trim, unpack
 from .components import components
 
 RADIUS, PAD, TURNS, TESTS = 10, 16, 16, 128
 NEAR, VOTES, SHARE, SHIFT = 16, 6, 0.1, 8
 PIXELS = 1 << 19
+#: Pairs that are held at a time.
+TILE = 1 << 19
 _HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -163,35 +168,115 @@ def _describe(images, names, width):
     return tuple(np.concatenate([o[k] for o in out]) for k in range(6))
 
 
-def match(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray, y: np.ndarray, x: np.ndarray, d: np.ndarray, chunk: np.ndarray):
-    """Votes (doc, leader, change, how many) within the buckets of one part; a change of scale, turn and shift is one number."""
-    order = np.lexsort((x, y, doc, d[:, 1], d[:, 0], key))
+def face(owner, scale, turn, y, x, d, n: int) -> np.ndarray:
+    """A 64-bit hash of all the corners of each image, in any order; images that have the same corners share it."""
+    h = mix(d[:, 0]) + mix(d[:, 1] ^ U(ODD))
+    for a in (scale, turn, y, x):
+        h = mix(h + a.astype(np.int64).view(U))
+    out = np.zeros(n, U)
+    np.add.at(out, owner, h)
+    return mix(out).view(np.int64)
+
+
+def _pairs(start: np.ndarray, d: np.ndarray):
+    """Tiles (u, v) of all pairs u < v within buckets that are up to NEAR bits apart; start is each descriptor's bucket."""
+    n = len(d)
+    end = np.searchsorted(start, start, "right")
+    small = end - start <= 64
+    left = np.where(small, end - np.arange(n) - 1, 0)
+    sums = np.cumsum(left)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + TILE, "right")))
+        u, v = np.repeat(np.arange(at, to), left[at:to]), spans_index(np.arange(at, to) + 1, left[at:to])
+        ok = np.bitwise_count(d[u] ^ d[v]).sum(1) <= NEAR
+        yield u[ok], v[ok]
+        at = to
+    for lo in np.flatnonzero(~small & (start == np.arange(n))).tolist():
+        hi = int(end[lo])
+        step = max(1, TILE // (hi - lo))
+        for at in range(lo, hi, step):
+            own = d[at : min(at + step, hi)]
+            apart = np.bitwise_count(own[:, None, 0] ^ d[None, at:hi, 0]) + np.bitwise_count(own[:, None, 1] ^ d[None, at:hi, 1])
+            u, v = np.nonzero(apart <= NEAR)
+            yield u[u < v] + at, v[u < v] + at
+
+
+def _spans(i: np.ndarray, start: np.ndarray, length: np.ndarray):
+    """Tiles (i, j) with j in [start, start + length) of each i."""
+    sums = np.cumsum(length)
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + TILE, "right")))
+        yield np.repeat(i[at:to], length[at:to]), spans_index(start[at:to], length[at:to])
+        at = to
+
+
+def summed(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of all columns but the last, sorted, with the last one's sums."""
+    *by, times = columns
+    order = np.lexsort(by[::-1])
+    by, times = [c[order] for c in by], times[order]
+    if not len(times):
+        return (*by, times)
+    cut = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in by], axis=0)])
+    return (*(c[cut] for c in by), np.add.reduceat(times, cut))
+
+
+def matches(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray, y: np.ndarray, x: np.ndarray, d: np.ndarray, chunk: np.ndarray):
+    """Tiles of votes (doc, other, change, how many) of all pairs of corners within the buckets of one part."""
+    order = np.lexsort((turn, scale, x, y, doc, d[:, 1], d[:, 0], key))
     key, doc, scale, turn, y, x, d, chunk = (a[order] for a in (key, doc, scale, turn, y, x, d, chunk))
-    n = len(key)
-    if not n:
-        return np.zeros((0, 4), np.int64)
-    new = np.r_[True, key[1:] != key[:-1]]
-    group = np.cumsum(new) - 1
-    by_doc = np.lexsort((np.arange(n), doc, group))
-    leader = by_doc[np.flatnonzero(new)][group]  # the least id of a bucket
-    same = np.r_[True, new[1:] | (d[1:] != d[:-1]).any(1)]
-    equal = np.flatnonzero(same)[np.cumsum(same) - 1]
-    votes = []
-    for head in (leader, equal):
-        i = np.flatnonzero(doc != doc[head])
-        h = head[i]
-        apart = np.bitwise_count(d[i] ^ d[h]).sum(1)
-        halves = (d[i] ^ d[h]).view(np.uint32).reshape(-1, 2, 2)[:, :, ::-1].reshape(-1, 4) == 0  # chunks in the order of tables
-        first = np.argmax(halves, axis=1) == chunk[i]  # a pair meets in several tables, and counts in the first
-        ok = (apart <= NEAR) & first
-        i, h = i[ok], h[ok]
-        swap = doc[i] < doc[h]
-        a, b = np.where(swap, h, i), np.where(swap, i, h)
-        change = ((scale[a] - scale[b] + 1) * TURNS + (turn[a] - turn[b]) % TURNS) << 40
-        change += (((y[a] - y[b]) // SHIFT + (1 << 19)) & 0xFFFFF) << 20 | (((x[a] - x[b]) // SHIFT + (1 << 19)) & 0xFFFFF)
-        votes.append(np.stack([doc[a], doc[b], change], 1))
-    every, times = np.unique(np.concatenate(votes), axis=0, return_counts=True)
-    return np.column_stack([every, times])
+    if not len(key):
+        return
+    new = np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1]).any(1)]
+    fresh = new.copy()
+    for a in (doc, scale, turn, y, x):
+        fresh[1:] |= a[1:] != a[:-1]
+    key, doc, scale, turn, y, x, d, chunk, new = (a[fresh] for a in (key, doc, scale, turn, y, x, d, chunk, new))
+    head = np.flatnonzero(new)  # the first corner of each distinct descriptor
+    size = np.diff(np.r_[head, len(key)])
+
+    def voted(i: np.ndarray, j: np.ndarray):
+        i, j = i[doc[i] != doc[j]], j[doc[i] != doc[j]]
+        # the tables compare all pairs of a bucket: a pair that meets in several counts in the first
+        halves = (d[i] ^ d[j]).view(np.uint32).reshape(-1, 2, 2)[:, :, ::-1].reshape(-1, 4) == 0
+        first = np.argmax(halves, axis=1) == chunk[i]
+        i, j = i[first], j[first]
+        swap = doc[i] < doc[j]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        return summed(doc[a], doc[b], change_of(scale[a], turn[a], y[a], x[a], scale[b], turn[b], y[b], x[b]), np.ones(len(a), np.int64))
+
+    ends = np.repeat(head + size, size)
+    every = np.arange(len(key))
+    for i, j in _spans(every, every + 1, ends - every - 1):
+        yield voted(i, j)
+    for u, v in _pairs(np.searchsorted(key[head], key[head]), d[head]):
+        if len(u):
+            i = spans_index(head[u], size[u])
+            for tile in _spans(i, np.repeat(head[v], size[u]), np.repeat(size[v], size[u])):
+                yield voted(*tile)
+
+
+def change_of(scale_a, turn_a, y_a, x_a, scale_b, turn_b, y_b, x_b) -> np.ndarray:
+    """A change of scale, turn and shift as one number."""
+    change = ((scale_a - scale_b + 1) * TURNS + (turn_a - turn_b) % TURNS) << 40
+    return change + ((((y_a - y_b) // SHIFT + (1 << 19)) & 0xFFFFF) << 20 | (((x_a - x_b) // SHIFT + (1 << 19)) & 0xFFFFF))
+
+
+def match(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray, y: np.ndarray, x: np.ndarray, d: np.ndarray, chunk: np.ndarray):
+    """All the votes of one part."""
+    tiles = list(matches(key, doc, scale, turn, y, x, d, chunk))
+    return np.column_stack(summed(*(np.concatenate([t[k] for t in tiles]) for k in range(4)))) if tiles else np.zeros((0, 4), np.int64)
+
+
+def agreement(doc: np.ndarray, other: np.ndarray, change: np.ndarray, times: np.ndarray):
+    """(doc, other, votes) of the pairs that have two votes or more for one change: the most votes for one."""
+    doc, other, change, times = summed(doc, other, change, times)
+    keep = times >= 2
+    doc, other, times = doc[keep], other[keep], times[keep]
+    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])][: len(doc)])
+    return doc[cut], other[cut], np.maximum.reduceat(times, cut) if len(cut) else times
 
 
 def find_copies(df: DataFrame, key: str, image: str) -> DataFrame:
@@ -199,10 +284,16 @@ def find_copies(df: DataFrame, key: str, image: str) -> DataFrame:
     string_columns(df, key, image)
     bounded_batches(df)
     parts = parts_for(df, 2 << 20)
+    pair_parts = 4 * parts
 
     def row(part: list[int], counts: bool, blobs: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([counts] * len(part)), pa.array(blobs, pa.binary())], ["part", "counts", "blob"])
 
+    def dealt(part: np.ndarray, columns) -> pa.RecordBatch:
+        """Rows that hold the columns' elements by part; part is sorted."""
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        return row(part[cut].tolist(), False, [pack(*(c[a:b] for c in columns)) for a, b in zip(cut, np.append(cut[1:], len(part)))])
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -211,60 +302,89 @@ def find_copies(df: DataFrame, key: str, image: str) -> DataFrame:
                 ids = rows.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
                 owner, scale, turn, y, x, d = describe([decode_pgm(v) for v in rows.column(1).to_pylist()])
                 points = np.bincount(owner, minlength=len(ids))[: len(ids)]
-                yield row([int(ids[0] % parts)], True, [pack(ids, known.astype(np.uint8), points)])
+                faces = face(owner, scale, turn, y, x, d, len(ids))
+                yield row([int(ids[0] % parts)], True, [pack(ids, known.astype(np.uint8), points, faces)])
                 use = known[owner]
                 owner, scale, turn, y, x, d = (a[use] for a in (owner, scale, turn, y, x, d))
+                if not len(owner):
+                    continue
                 chunks = np.stack([d[:, 0] >> U(32), d[:, 0] & U(0xFFFFFFFF), d[:, 1] >> U(32), d[:, 1] & U(0xFFFFFFFF)], 1)
                 part = part_of(mix(chunks + (np.arange(4, dtype=np.uint64) << U(32))), parts)
                 i, table = np.divmod(np.argsort(part.reshape(-1), kind="stable"), 4)
-                own = part[i, table]
-                cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
-                blobs, names = [], []
-                for a, b in zip(cut, np.append(cut[1:], len(own))):
-                    j = i[a:b]
-                    names.append(int(own[a]))
-                    blobs.append(pack(table[a:b].astype(np.uint8), ids[owner[j]], scale[j].astype(np.uint8), turn[j].astype(np.uint8), y[j].astype(np.int32), x[j].astype(np.int32), d[j, 0], d[j, 1]))
-                if names:
-                    yield row(names, False, blobs)
+                small = [a.astype(t)[i] for a, t in ((scale, np.uint8), (turn, np.uint8), (y, np.int32), (x, np.int32))]
+                yield dealt(part[i, table], [table.astype(np.uint8), faces[owner[i]], *small, d[i, 0], d[i, 1]])
         trim()
 
     corners = df.select(F.col(key).cast("long"), image).mapInArrow(run, "part int, counts boolean, blob binary")
 
-    @trimmed
-    def vote(table: pa.Table) -> pa.Table:
-        counts = table.column("counts").to_numpy()
-        blobs = table.column("blob")
-        docs = [unpack(blobs[i].as_py()) for i in np.flatnonzero(counts).tolist()]
-        ids, known, points = (np.concatenate([d[k] for d in docs]) if docs else np.zeros(0, np.int64) for k in range(3))
-        votes = np.zeros((0, 4), np.int64)
-        if not counts.all():
-            found = [unpack(blobs[i].as_py()) for i in np.flatnonzero(~counts).tolist()]
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            for part, counts, blob in zip(*(batch.column(n).to_pylist() for n in ("part", "counts", "blob"))):
+                if counts:
+                    yield row([part], True, [blob])
+                else:
+                    found.append(unpack(blob))
+        if found:
             chunk, doc, scale, turn, y, x, d0, d1 = (np.concatenate([f[k] for f in found]) for k in range(8))
+            del found
             d = np.stack([d0, d1], 1)
             c = chunk.astype(np.int64)
             half = d[np.arange(len(c)), c // 2]
             value = np.where(c % 2 == 0, half >> U(32), half & U(0xFFFFFFFF))
-            votes = match(mix(value + (c.astype(np.uint64) << U(32))), doc, scale.astype(np.int64), turn.astype(np.int64), y.astype(np.int64), x.astype(np.int64), d, c)
-        none = np.r_[np.zeros(len(votes), bool), np.ones(len(ids), bool)]
-        return pa.table({
-            "doc": pa.array(np.r_[votes[:, 0], ids], pa.int64(), mask=np.r_[np.zeros(len(votes), bool), known == 0]),
-            "other": pa.array(np.r_[votes[:, 1], ids], pa.int64(), mask=none),
-            "change": pa.array(np.r_[votes[:, 2], ids], pa.int64(), mask=none),
-            "votes": pa.array(np.r_[votes[:, 3], points], pa.int64()),
-        })
-
-    # votes for pairs, and rows without a partner that hold an image's number of corners
-    every = materialize(corners.groupBy("part").applyInArrow(vote, "doc long, other long, change long, votes long"), "votes")
-    agreed = every.where("other is not null").groupBy("doc", "other", "change").agg(F.sum("votes").alias("votes")).where("votes >= 2").groupBy("doc", "other").agg(F.max("votes").alias("votes"))
-    rows = every.where("other is null").select("doc", F.col("votes").alias("points"))
-    points = rows.where("doc is not null").groupBy("doc").agg(F.max("points").alias("points"))
+            some, size = [], 0
+            tiles = matches(mix(value + (c.astype(np.uint64) << U(32))), doc, scale.astype(np.int64), turn.astype(np.int64), y.astype(np.int64), x.astype(np.int64), d, c)
+            for tile in tiles:
+                some.append(tile)
+                size += len(tile[0])
+                if size > 4 * TILE:
+                    yield by_pair(some)
+                    some, size = [], 0
+            if size:
+                yield by_pair(some)
+        trim()
+
+    def by_pair(tiles) -> pa.RecordBatch:
+        doc, other, change, times = summed(*(np.concatenate([t[k] for t in tiles]) for k in range(4)))
+        part = part_of(mix(mix(doc.view(np.uint64)) + other.view(np.uint64)), pair_parts)
+        order = np.argsort(part, kind="stable")
+        return dealt(part[order], [a[order] for a in (doc, other, change, times.astype(np.int32))])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            for counts, blob in zip(*(batch.column(n).to_pylist() for n in ("counts", "blob"))):
+                if counts:
+                    ids, known, points, faces = unpack(blob)
+                    none = np.ones(len(ids), bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(faces), pa.array(ids, mask=none), pa.array(points.astype(np.int64))], names)
+                else:
+                    found.append(unpack(blob))
+        if found:
+            doc, other, votes = agreement(*(np.concatenate([f[k] for f in found]) for k in range(3)), np.concatenate([f[3] for f in found]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=np.ones(len(doc), bool)), pa.array(doc), pa.array(other), pa.array(votes)], names)
+        trim()
+
+    # faces that agree, with their votes, and rows without a partner that hold an image's face and number of corners
+    names = ["doc", "face", "other", "votes"]
+    voted = corners.groupBy("part").applyInArrow(vote, "part int, counts boolean, blob binary")
+    every = materialize(voted.groupBy("part").applyInArrow(agree, "doc long, face long, other long, votes long"), "votes")
+    agreed = every.where("other is not null").select("face", "other", "votes")
+    rows = every.where("other is null").select("doc", "face", F.col("votes").alias("points"))
+    images = rows.where("doc is not null and points >= 2").select("doc", "face", "points").distinct()
+    faces = materialize(images.groupBy("face").agg(F.max("points").alias("points"), F.min("doc").alias("first"), F.count("*").alias("n")), "faces")
     least = F.least("points", "others")
     needed = F.greatest(F.lit(2), F.least(least, F.greatest(F.lit(VOTES), F.ceil(least * SHARE))))
-    pairs = agreed.join(points, "doc").join(points.select(F.col("doc").alias("other"), F.col("points").alias("others")), "other")
-    links = materialize(pairs.where(F.col("votes") >= needed).select("doc", "other"), "links")
-    both = links.unionByName(links.select(F.col("other").alias("doc"), F.col("doc").alias("other")))
-    degree = both.groupBy("doc").agg(F.count("*").alias("n_links"))
-    groups = components(links, "doc", "other").join(degree, F.col("node") == F.col("doc")).select("node", "component", "n_links")
-    out = rows.join(groups, F.col("doc") == F.col("node"), "left")
+    theirs = faces.select(F.col("face").alias("other"), F.col("points").alias("others"), F.col("first").alias("other_first"), F.col("n").alias("other_n"))
+    links = materialize(agreed.join(faces, "face").join(theirs, "other").where(F.col("votes") >= needed).select("face", "other", "first", "other_first", "n", "other_n"), "links")
+    # an image's links: the others of its face, and all images of the faces that its face is linked with
+    both = links.select("face", F.col("other_n").alias("m")).unionByName(links.select(F.col("other").alias("face"), F.col("n").alias("m")))
+    both = both.unionByName(faces.select("face", (F.col("n") - 1).alias("m"))).groupBy("face").agg(F.sum("m").alias("m"))
+    mine = images.join(faces.select("face", "first"), "face")
+    degree = images.join(both, "face").groupBy("doc").agg(F.sum("m").cast("long").alias("n_links"))
+    stars = mine.where(F.col("doc") != F.col("first")).select("doc", F.col("first").alias("other"))
+    edges = materialize(links.where(F.col("first") != F.col("other_first")).select(F.col("first").alias("doc"), F.col("other_first").alias("other")).unionByName(stars), "edges")
+    groups = components(edges, "doc", "other")
+    out = rows.join(groups, F.col("doc") == F.col("node"), "left").join(degree.withColumnRenamed("doc", "__of"), F.col("doc") == F.col("__of"), "left")
     out = out.select(F.col("doc").alias(key), F.col("points").alias("n_points"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "doc").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
