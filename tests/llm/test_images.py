@@ -106,3 +106,14 @@ def test_a_bucket_compares_all_its_descriptors():
     many = [(k, 0, 0, bits(*np.random.default_rng(k).choice(np.arange(32, 128), 12, replace=False).tolist())) for k in range(90)]
     want = {(a, b) for a in range(90) for b in range(a) if sum((p ^ q).bit_count() for p, q in zip(many[a][3], many[b][3])) <= images.NEAR}
     assert want and {(v[0], v[1]) for v in votes_of(many)} == want
+
+
+def test_a_pair_counts_although_others_share_its_first_table():
+    far = list(range(32, 128, 3))  # doc 1 shares the first chunk only; docs 2 and 3 differ in the second
+    rows = [(1, 0, 0, bits(*far)), (2, 0, 0, bits()), (3, 0, 0, bits(34, 41, 50, 60))]
+    assert [(v[0], v[1], v[3]) for v in votes_of(rows)] == [(3, 2, 1)]
+    rng = np.random.default_rng(5)
+    rows = [(k, 0, 0, bits(*rng.choice(128, rng.integers(0, 7), replace=False).tolist())) for k in range(40)]
+    meet = lambda p, q: any((p[k // 2] ^ q[k // 2]) >> (32 if k % 2 == 0 else 0) & 0xFFFFFFFF == 0 for k in range(4))
+    want = {(a, b): 1 for a in range(40) for b in range(a) if meet(rows[a][3], rows[b][3])}
+    assert {(v[0], v[1]): v[3] for v in votes_of(rows)} == want
