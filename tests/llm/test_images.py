@@ -117,3 +117,9 @@ def test_a_pair_counts_although_others_share_its_first_table():
     meet = lambda p, q: any((p[k // 2] ^ q[k // 2]) >> (32 if k % 2 == 0 else 0) & 0xFFFFFFFF == 0 for k in range(4))
     want = {(a, b): 1 for a in range(40) for b in range(a) if meet(rows[a][3], rows[b][3])}
     assert {(v[0], v[1]): v[3] for v in votes_of(rows)} == want
+
+
+def test_each_pair_of_corners_votes_once():
+    assert [v[3] for v in votes_of([(1, 0, 0, bits()), (2, 0, 0, bits())])] == [1]
+    rows = [(k, y, 0, bits(*f)) for k in (1, 2) for y, f in ((0, [1, 40, 70, 100]), (50, [2, 3, 45, 77, 111]), (99, [9, 39, 85, 125]))]
+    assert max(v[3] for v in votes_of(rows) if v[0] != v[1]) == 3
