@@ -123,3 +123,16 @@ def test_each_pair_of_corners_votes_once():
     assert [v[3] for v in votes_of([(1, 0, 0, bits()), (2, 0, 0, bits())])] == [1]
     rows = [(k, y, 0, bits(*f)) for k in (1, 2) for y, f in ((0, [1, 40, 70, 100]), (50, [2, 3, 45, 77, 111]), (99, [9, 39, 85, 125]))]
     assert max(v[3] for v in votes_of(rows) if v[0] != v[1]) == 3
+
+
+def test_turned_and_resized_copies_are_found(spark):
+    rows = []
+    for s in range(4):
+        im = scene(20 + s, 320, 400)
+        half = (im.astype(int)[::2, ::2] + im[1::2, ::2] + im[::2, 1::2] + im[1::2, 1::2] >> 2).astype(np.uint8)
+        edited = np.rot90(im)[30:370, 20:300].copy()
+        edited[100:140, 60:120] = 7
+        copies = [im, np.rot90(im), np.rot90(im, 2), np.rot90(im, 3), half, np.rot90(half), edited, half[10:150, 14:190]]
+        rows += [(10 * s + k + 1, pgm(np.ascontiguousarray(c))) for k, c in enumerate(copies)]
+    found = {r.id: r.component_id for r in groups(spark, rows)}
+    assert found == {k: k // 10 * 10 + 1 for k, _ in rows}

@@ -5,10 +5,12 @@ smoothed pixels at a fixed pattern of places, turned to one of 16 orientations b
 entered in four tables by 32 of its bits, so descriptors that differ in up to three bits meet in one at least. Within a
 table's bucket, all distinct descriptors are compared in tiles, equal ones once for all their corners, and corners up to
 NEAR bits apart vote for the change of scale, turn and shift that they imply. Images that have the same corners at the same
-places (the same face, a 64-bit hash) are one in this, and linked with each other by it. Images are linked if VOTES
-corners agree on one change, and a SHARE of the corners of the poorer one (where that has fewer than VOTES: all of them,
-two at least); links' connected components are
-the groups of copies.
+places (the same face, a 64-bit hash) are one in this, and linked with each other by it. The shift is that
+between one corner and where the other lies when it is resized and turned; what lies in one square of SHIFT pixels agrees.
+Orientations are 16, so copies turned by a multiple of 90 degrees have one shift, and others only as far as their corners
+are near each other. Images are linked if VOTES corners agree on one change, and a SHARE of the corners of the poorer one
+(where that has fewer than VOTES: all of them, two at least); links' connected components are the groups of copies. The
+corners of an image's frame are in n_points, but neither vote nor count for this, for images of one size share them.
 
 All arithmetic on pixels is whole numbers, so an image's descriptors don't depend on the images beside it. The exchange has
 one row for each map batch and part, not for each descriptor. Equal images cost nothing; a patch that many different
@@ -34,6 +36,8 @@ from .components import components
 
 RADIUS, PAD, TURNS, TESTS = 10, 16, 16, 128
 NEAR, VOTES, SHARE, SHIFT = 16, 6, 0.1, 8
+#: Pixels from two of its borders, at a corner's scale, within which a corner is that of the image's frame.
+FRAME = 4
 PIXELS = 1 << 19
 #: Pairs that are held at a time.
 TILE = 1 << 19
@@ -52,6 +56,7 @@ def _pattern() -> np.ndarray:
 
 
 PATTERN = _pattern()
+SINES, COSINES = (np.round(f(2 * np.pi * np.arange(TURNS) / TURNS), 12) for f in (np.sin, np.cos))
 
 
 def decode_pgm(data: bytes | None) -> np.ndarray | None:
@@ -178,6 +183,13 @@ def face(owner, scale, turn, y, x, d, n: int) -> np.ndarray:
     return mix(out).view(np.int64)
 
 
+def of_frame(images: list[np.ndarray | None], owner, scale, y, x) -> np.ndarray:
+    """Where corners are those of an image's frame: all images of one size have them at the same places."""
+    height, width = np.array([im.shape if im is not None else (0, 0) for im in images]).reshape(-1, 2)[owner].T
+    edge = FRAME * scale
+    return ((y < edge) | (y >= height - edge)) & ((x < edge) | (x >= width - edge))
+
+
 def _pairs(start: np.ndarray, d: np.ndarray):
     """Tiles (u, v) of all pairs u < v within buckets that are up to NEAR bits apart; start is each descriptor's bucket."""
     n = len(d)
@@ -259,9 +271,16 @@ def matches(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarra
 
 
 def change_of(scale_a, turn_a, y_a, x_a, scale_b, turn_b, y_b, x_b) -> np.ndarray:
-    """A change of scale, turn and shift as one number."""
-    change = ((scale_a - scale_b + 1) * TURNS + (turn_a - turn_b) % TURNS) << 40
-    return change + ((((y_a - y_b) // SHIFT + (1 << 19)) & 0xFFFFF) << 20 | (((x_a - x_b) // SHIFT + (1 << 19)) & 0xFFFFF))
+    """A change of scale, turn and shift as one number: one corner lies at the shift from the other, resized and turned."""
+    kind = (scale_a - scale_b + 1) * TURNS + (turn_a - turn_b) % TURNS
+    swap = scale_a < scale_b  # the shift is in pixels of the larger image, whichever has the greater id
+    (turn_a, turn_b), (y_a, y_b), (x_a, x_b) = ((np.where(swap, b, a), np.where(swap, a, b)) for a, b in ((turn_a, turn_b), (y_a, y_b), (x_a, x_b)))
+    turn = (turn_a - turn_b) % TURNS
+    size = 1 + np.abs(scale_a - scale_b)
+    y = y_a - size * (x_b * SINES[turn] + y_b * COSINES[turn])
+    x = x_a - size * (x_b * COSINES[turn] - y_b * SINES[turn])
+    y, x = (np.floor(v / (SHIFT // 2)).astype(np.int64) + (1 << 19) & 0xFFFFF for v in (y, x))
+    return kind << 40 | y << 20 | x
 
 
 def match(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray, y: np.ndarray, x: np.ndarray, d: np.ndarray, chunk: np.ndarray):
@@ -273,6 +292,12 @@ def match(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray,
 def agreement(doc: np.ndarray, other: np.ndarray, change: np.ndarray, times: np.ndarray):
     """(doc, other, votes) of the pairs that have two votes or more for one change: the most votes for one."""
     doc, other, change, times = summed(doc, other, change, times)
+    pair = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])][: len(doc)]) - 1
+    keep = np.bincount(pair, times)[pair] >= 2
+    doc, other, change, times = (a[keep] for a in (doc, other, change, times))
+    # a change is the bins of SHIFT / 2 pixels that a square of SHIFT covers, wherever it begins
+    near = np.concatenate([change + s for s in (0, 1, 1 << 20, 1 << 20 | 1)])
+    doc, other, change, times = summed(np.tile(doc, 4), np.tile(other, 4), near, np.tile(times, 4))
     keep = times >= 2
     doc, other, times = doc[keep], other[keep], times[keep]
     cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])][: len(doc)])
@@ -300,11 +325,13 @@ def find_copies(df: DataFrame, key: str, image: str) -> DataFrame:
                 rows = batch.slice(at, 512)
                 known = rows.column(0).is_valid().to_numpy(zero_copy_only=False)
                 ids = rows.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-                owner, scale, turn, y, x, d = describe([decode_pgm(v) for v in rows.column(1).to_pylist()])
+                images = [decode_pgm(v) for v in rows.column(1).to_pylist()]
+                owner, scale, turn, y, x, d = describe(images)
+                inner = ~of_frame(images, owner, scale, y, x)
                 points = np.bincount(owner, minlength=len(ids))[: len(ids)]
                 faces = face(owner, scale, turn, y, x, d, len(ids))
-                yield row([int(ids[0] % parts)], True, [pack(ids, known.astype(np.uint8), points, faces)])
-                use = known[owner]
+                yield row([int(ids[0] % parts)], True, [pack(ids, known.astype(np.uint8), points, faces, np.bincount(owner[inner], minlength=len(ids)))])
+                use = known[owner] & inner
                 owner, scale, turn, y, x, d = (a[use] for a in (owner, scale, turn, y, x, d))
                 if not len(owner):
                     continue
@@ -355,24 +382,24 @@ def find_copies(df: DataFrame, key: str, image: str) -> DataFrame:
         for batch in batches:
             for counts, blob in zip(*(batch.column(n).to_pylist() for n in ("counts", "blob"))):
                 if counts:
-                    ids, known, points, faces = unpack(blob)
+                    ids, known, points, faces, inner = unpack(blob)
                     none = np.ones(len(ids), bool)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(faces), pa.array(ids, mask=none), pa.array(points.astype(np.int64))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(faces), pa.array(ids, mask=none), pa.array(points.astype(np.int64)), pa.array(inner.astype(np.int64))], names)
                 else:
                     found.append(unpack(blob))
         if found:
             doc, other, votes = agreement(*(np.concatenate([f[k] for f in found]) for k in range(3)), np.concatenate([f[3] for f in found]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=np.ones(len(doc), bool)), pa.array(doc), pa.array(other), pa.array(votes)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=np.ones(len(doc), bool)), pa.array(doc), pa.array(other), pa.array(votes), pa.array(np.zeros(len(doc), np.int64))], names)
         trim()
 
     # faces that agree, with their votes, and rows without a partner that hold an image's face and number of corners
-    names = ["doc", "face", "other", "votes"]
+    names = ["doc", "face", "other", "votes", "inner"]
     voted = corners.groupBy("part").applyInArrow(vote, "part int, counts boolean, blob binary")
-    every = materialize(voted.groupBy("part").applyInArrow(agree, "doc long, face long, other long, votes long"), "votes")
+    every = materialize(voted.groupBy("part").applyInArrow(agree, "doc long, face long, other long, votes long, inner long"), "votes")
     agreed = every.where("other is not null").select("face", "other", "votes")
-    rows = every.where("other is null").select("doc", "face", F.col("votes").alias("points"))
-    images = rows.where("doc is not null and points >= 2").select("doc", "face", "points").distinct()
-    faces = materialize(images.groupBy("face").agg(F.max("points").alias("points"), F.min("doc").alias("first"), F.count("*").alias("n")), "faces")
+    rows = every.where("other is null").select("doc", "face", F.col("votes").alias("points"), "inner")
+    images = rows.where("doc is not null and points >= 2").select("doc", "face", "inner").distinct()
+    faces = materialize(images.groupBy("face").agg(F.max("inner").alias("points"), F.min("doc").alias("first"), F.count("*").alias("n")), "faces")
     least = F.least("points", "others")
     needed = F.greatest(F.lit(2), F.least(least, F.greatest(F.lit(VOTES), F.ceil(least * SHARE))))
     theirs = faces.select(F.col("face").alias("other"), F.col("points").alias("others"), F.col("first").alias("other_first"), F.col("n").alias("other_n"))
