@@ -63,3 +63,14 @@ def test_batches_don_t_mix_texts():
     for i, t in enumerate(texts):
         single = langid.likelihoods(*raw(pa.array([t])), table)
         assert np.allclose(whole[0][i], single[0][0]) and whole[1][i] == single[1][0]
+
+
+def test_every_label_has_a_model(spark):
+    letters = "abcdefghijkl"
+    words = {f"l{a}{b}": f"{a}{b}{a}{a}{b} {b}{b}{a} {a}{b}{b}{a}" for a in letters for b in letters if a < b}  # 66 labels
+    rows = [(10 * i + j, f"{w} " * (20 + j), name) for i, (name, w) in enumerate(sorted(words.items())) for j in range(2 if i < 64 else 1)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    found = langid.models_for(df, "id", "text", "lang")
+    assert found[0] == sorted(words)
+    out = langid.identify(df, "id", "text", found, F.col("lang"), F.lit("a.b.example")).collect()
+    assert len(out) == len(rows) and all(r.language == r.text_language == r.lang for r in out)

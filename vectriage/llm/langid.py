@@ -2,7 +2,8 @@
 
 The evidence: the text's likelihood under byte-trigram models of the languages; a declared language (of markup or of a
 catalogue); the suffix of the address; and a prior for the host, smoothed towards its domain and that towards the whole
-corpus. The models are fitted on a bounded sample of labelled rows (SAMPLE a language, by a hash of the id). Counts for
+corpus. Every label that occurs has a model (256 KB), fitted on a bounded sample of labelled rows (SAMPLE a language, by a
+hash of the id). Counts for
 suffixes, domains and hosts cover all rows: each row counts for the language its text alone suggests, grouped and summed
 by Spark, and a row's own vote is taken out of its own priors. Texts are read whole.
 
@@ -91,13 +92,13 @@ def likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
 def sample(df: DataFrame, key: str, text: str, label: str, per_language: int) -> list[tuple[str, str]]:
     """Labelled texts to fit on: of each language the per_language rows with the least hashes of their ids."""
     known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    count = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(64).collect()
+    count = known.groupBy("l").count().orderBy("l").collect()
     if not count:
         return []
-    bounds = F.lit(None).cast("long")
+    bounds = F.when(F.lit(False), F.lit(0))
     for r in count:  # a threshold on the hash leaves about twice the rows that are wanted, however many there are
         share = min(1.0, 2.0 * per_language / r["count"])
-        bounds = F.when(F.col("l") == r["l"], F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * float(1 << 64))))).otherwise(bounds)
+        bounds = bounds.when(F.col("l") == r["l"], F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * float(1 << 64)))))
     few = known.where(F.col("h") <= bounds).groupBy("l").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "t"))), 1, per_language).alias("s"))
     return [(r["l"], r["t"]) for r in few.select("l", F.explode("s.t").alias("t")).collect()]
 
@@ -134,9 +135,7 @@ def identify(df: DataFrame, key: str, text: str, models: tuple[list[str], np.nda
 
     rows = seen.mapInArrow(run, schema)
     best = F.greatest(*[F.col(s) for s in scores]) if len(scores) > 1 else F.col(scores[0])
-    vote = F.lit(-1)
-    for k in reversed(range(len(languages))):
-        vote = F.when(F.col(scores[k]) == best, F.lit(k)).otherwise(vote)
+    vote = F.array_position(F.array(*scores), best) - 1  # the first of equals
     rows = rows.withColumn("__vote", F.when(F.col("__used") > 0, vote).otherwise(F.lit(-1)).cast("int"))
     rows = rows.withColumn("__suffix", suffix_of(F.col("__host"))).withColumn("__domain", domain_of(F.col("__host")))
     own = [F.when(F.col("__vote") == k, 1.0).otherwise(0.0) for k in range(len(languages))]
@@ -152,33 +151,34 @@ def identify(df: DataFrame, key: str, text: str, models: tuple[list[str], np.nda
     world = [(x + 1.0) / (sum(total) + len(languages)) for x in total]
     facts = hosts.where("__host is not null").select(F.col("__host").alias("__h"), "__suffix", "__domain", *[F.col(f"__n{k}").alias(f"__h{k}") for k in range(len(languages))])
     facts = facts.join(sums("__suffix", "__s").where("__suffix is not null"), "__suffix", "left").join(sums("__domain", "__d").where("__domain is not null"), "__domain", "left")
-    facts = materialize(facts.drop("__suffix", "__domain"), "priors")
+    every = lambda name: F.aggregate(F.array(*[F.coalesce(f"{name}{k}", F.lit(0.0)) for k in range(len(languages))]), F.lit(0.0), lambda x, y: x + y)
+    facts = materialize(facts.drop("__suffix", "__domain").select("*", *[every(name).alias(f"{name}_all") for name in ("__h", "__d", "__s")]), "priors")
     rows = rows.drop("__suffix", "__domain").join(facts, F.col("__host") == F.col("__h"), "left")
 
     def count(name: str, k: int) -> Column:  # without the row's own vote
         return F.coalesce(F.greatest(F.col(f"{name}{k}") - own[k], F.lit(0.0)), F.lit(0.0))
 
     def added(name: str) -> Column:
-        out = F.lit(0.0)
-        for k in range(len(languages)):
-            out = out + count(name, k)
-        return out
+        mine = F.when(F.col("__vote") >= 0, F.element_at(F.array(*[f"{name}{k}" for k in range(len(languages))]), F.col("__vote") + 1))
+        return F.coalesce(f"{name}_all", F.lit(0.0)) - F.least(F.coalesce(mine, F.lit(0.0)), F.lit(1.0))
 
     size = len(languages)
+    rows = rows.select("*", *[added(name).alias(f"{name}_added") for name in ("__h", "__d", "__s")])
+    of_hosts, of_domain, of_suffix_all = F.col("__h_added"), F.col("__d_added"), F.col("__s_added")
+    logs = []
     for k, language in enumerate(languages):
-        domain = (count("__d", k) + F.lit(STRENGTH * world[k])) / (added("__d") + F.lit(STRENGTH))
-        prior = (count("__h", k) + F.lit(STRENGTH) * domain) / (added("__h") + F.lit(STRENGTH))
-        of_suffix = F.when(added("__s") > 0, F.log((count("__s", k) + F.lit(STRENGTH * world[k])) / (added("__s") + F.lit(STRENGTH)) / F.lit(world[k]))).otherwise(F.lit(0.0))
+        domain = (count("__d", k) + F.lit(STRENGTH * world[k])) / (of_domain + F.lit(STRENGTH))
+        prior = (count("__h", k) + F.lit(STRENGTH) * domain) / (of_hosts + F.lit(STRENGTH))
+        of_suffix = F.when(of_suffix_all > 0, F.log((count("__s", k) + F.lit(STRENGTH * world[k])) / (of_suffix_all + F.lit(STRENGTH)) / F.lit(world[k]))).otherwise(F.lit(0.0))
         said = F.when(F.col("__declared") == language, F.lit(math.log(DECLARED))).when(F.col("__declared").isin(languages), F.lit(math.log((1 - DECLARED) / max(1, size - 1)))).otherwise(F.lit(0.0))
-        rows = rows.withColumn(f"__p{k}", F.col(scores[k]) + F.log(prior) + of_suffix * F.lit(TEMPER) + said)
+        logs.append((F.col(scores[k]) + F.log(prior) + of_suffix * F.lit(TEMPER) + said).alias(f"__p{k}"))
+    rows = rows.select("*", *logs)
     posterior = [F.col(f"__p{k}") for k in range(size)]
     top = F.greatest(*posterior) if size > 1 else posterior[0]
-    mass = F.lit(0.0)
-    chosen, from_text = F.lit("und"), F.lit("und")
-    for k in reversed(range(size)):
-        mass = mass + F.exp(posterior[k] - top)
-        chosen = F.when(posterior[k] == top, F.lit(languages[k])).otherwise(chosen)
-        from_text = F.when(F.col("__vote") == k, F.lit(languages[k])).otherwise(from_text)
+    mass = F.aggregate(F.array(*reversed(posterior)), F.lit(0.0), lambda x, p: x + F.exp(p - top))
+    names = F.array(*[F.lit(x) for x in languages])
+    chosen = F.element_at(names, F.array_position(F.array(*posterior), top).cast("int"))
+    from_text = F.when(F.col("__vote") >= 0, F.element_at(names, F.col("__vote") + 1)).otherwise(F.lit("und"))
     has = F.col("__used") > 0
     confidence = F.when(has, 1.0 / mass).otherwise(F.lit(0.0))
     rows = rows.withColumn("__confidence", confidence).withColumn("__language", F.when(has, chosen).otherwise(F.lit("und")))
