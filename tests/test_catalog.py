@@ -51,6 +51,12 @@ def test_queries_without_sql_give_rows(spark, sf_dir, name):
     spark.catalog.clearCache()
 
 
+def test_reports_are_whole(spark, sf_dir):
+    texts = {r.conv_id: r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0").collect()}
+    found = {r.doc_id: r.report for r in catalog.QUERIES["labels_with_whole_reports"](spark, sf_dir).collect()}
+    assert any(len(t or "") > 20 for t in found.values()) and all(t == texts.get(k) for k, t in found.items())
+
+
 def test_entry_without_the_training_data_operators(spark, monkeypatch):
     sys.modules.pop("__spark_entry__", None)
     for m in [m for m in sys.modules if m.startswith("vectriage.llm") or m == "corpus_pipeline"]:

@@ -618,16 +618,25 @@ def label_scan(spark, sf_dir):
     return long_labels(table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"]).groupBy("label").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("n_pos"))
 
 
-@register("labels_with_reports", "SELECT l.doc_id, l.quality, d.source, left(c.text, 20) AS report FROM labels l JOIN documents d USING (doc_id) LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 0")
-def labels_with_reports(spark, sf_dir):
+def _with_reports(spark, sf_dir, report):
     from ..sources.readers import samples
 
     own = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    reports = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.left("text", F.lit(20)).alias("report"))
+    reports = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), report.alias("report"))
     return samples(own, meta, reports).select(F.col("id").alias("doc_id"), "quality", "source", "report")
 
 
+@register("labels_with_reports", "SELECT l.doc_id, l.quality, d.source, left(c.text, 20) AS report FROM labels l JOIN documents d USING (doc_id) LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 0")
+def labels_with_reports(spark, sf_dir):
+    return _with_reports(spark, sf_dir, F.left("text", F.lit(20)))
+
+
+@register("labels_with_whole_reports", "SELECT l.doc_id, l.quality, d.source, c.text AS report FROM labels l JOIN documents d USING (doc_id) LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 0")
+def labels_with_whole_reports(spark, sf_dir):
+    return _with_reports(spark, sf_dir, F.col("text"))
+
+
 @register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     from ..streaming.incremental import counts_by_window
