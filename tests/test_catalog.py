@@ -57,6 +57,14 @@ def test_reports_are_whole(spark, sf_dir):
     assert any(len(t or "") > 20 for t in found.values()) and all(t == texts.get(k) for k, t in found.items())
 
 
+def test_evaluation_has_all_models_and_a_thousand_resamples(spark, sf_dir, monkeypatch):
+    asked, boot = [], catalog.boot
+    monkeypatch.setattr(catalog, "boot", lambda spark, sf_dir, n_boot=catalog.N_BOOT, seed=11: asked.append(n_boot) or boot(spark, sf_dir, 5, seed))
+    found = {r.model for r in catalog.QUERIES["evaluate_model"](spark, sf_dir).collect()}
+    assert found == set(catalog.MODELS) and asked == [1000]
+    spark.catalog.clearCache()
+
+
 def test_entry_without_the_training_data_operators(spark, monkeypatch):
     sys.modules.pop("__spark_entry__", None)
     for m in [m for m in sys.modules if m.startswith("vectriage.llm") or m == "corpus_pipeline"]:

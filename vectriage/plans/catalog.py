@@ -367,8 +367,9 @@ def pairs_all(spark, sf_dir):
 
 @register("evaluate_model", None)
 def evaluate_model(spark, sf_dir):
-    scored = unstable(pools(spark, sf_dir, models=["full"]).withColumn("grp", F.col("id") % 125))
-    out = bootstrap.evaluate(scored, boot(spark, sf_dir), "grp", ["model"])
+    """All models, 1000 resamples of patients each."""
+    scored = unstable(pools(spark, sf_dir).withColumn("grp", F.col("id") % 125))
+    out = bootstrap.evaluate(scored, boot(spark, sf_dir, 1000), "grp", ["model"])
     return out.select("model", "metric", "label", r6("point"), r6("ci95_low"), r6("ci95_high"))
 
 
