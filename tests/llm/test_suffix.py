@@ -32,8 +32,8 @@ def brute(rows, window=50):
     return out
 
 
-def check(spark, rows):
-    found = suffix.remove_repeated(spark.createDataFrame(rows, SCHEMA)).collect()
+def check(spark, rows, **options):
+    found = suffix.remove_repeated(spark.createDataFrame(rows, SCHEMA), **options).collect()
     assert len(found) == len(rows)
     want = brute(rows)
     for r in found:
@@ -56,6 +56,7 @@ def test_planted_passages(spark):
             parts.insert(rnd.randint(0, 3), p[a : a + rnd.randint(30, 200)])
         rows.append((i * 7, rnd.choice(["", " "]).join(parts)))
     check(spark, rows)
+    check(spark, rows, direct=8)  # by way of ranges of parts
 
 
 def test_edges(spark):
@@ -65,6 +66,27 @@ def test_edges(spark):
         (14, base[:50]), (15, base[1:51] + base[3:55]), (16, "ab" * 700), (17, "ba" * 300), (18, base[40:] + "b" + base[:60]), (-3, base[20:90]), (20, base[:60] + base[50:]),
     ]
     check(spark, rows)
+    check(spark, rows, direct=8)
+
+
+def test_very_long_texts_and_a_part_in_many_ranges(spark, monkeypatch):
+    rnd = random.Random(8)
+    shared = words(rnd, 3000)
+    rows = [(1, words(rnd, 40000) + shared), (2, shared[100:] + words(rnd, 9000)), (3, "a" * 30000 + shared[:7000]), (4, "a" * 20000)]
+    monkeypatch.setattr(suffix, "SUB_BYTES", 1 << 10)
+    check(spark, rows)
+    asked = [[np.array([b], np.int32), np.array([3]), np.array([5, 5, 9], np.uint64), np.array([b, b + 1, b]), np.array([60, 50, 70], np.uint32), rng_bytes(rnd, 180)] for b in (1, 2)]
+    blobs = [suffix.pack(*m) for m in asked]
+    import pyarrow as pa
+
+    table = pa.table({"group": pa.array([1, 2], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    small = [suffix.unpack(b)[-1].tolist() for _, b in suffix.answer_contexts(table, 50)]
+    monkeypatch.setattr(suffix, "SUB_BYTES", 1 << 21)
+    assert small == [suffix.unpack(b)[-1].tolist() for _, b in suffix.answer_contexts(table, 50)]
+
+
+def rng_bytes(rnd, n):
+    return np.frombuffer("".join(rnd.choice("ab") for _ in range(n)).encode(), np.uint8)
 
 
 def test_empty_table_and_other_columns(spark):

@@ -14,6 +14,8 @@ two exchanges first narrow the suffixes down to those that can matter, and the r
    windows go, one bit for each.
 3. Blocks put the bits back on their documents.
 
+Beyond DIRECT parts, messages go by way of ranges of parts, see `exchange`.
+
 No hash decides a result: hashes only pick candidates. A very common passage reaches a part once from each block, not
 once from each document.
 
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ODD, U, binary_array, from_blocks, gather, materialize, mix, pack, part_of, parts_for, raw, spans_index, string_columns, to_blocks, trimmed, unpack
@@ -123,13 +126,12 @@ class Block:
         start, sizes = runs(self.key)
         return self.key[start], self.ids[self.doc[start]] != self.ids[self.doc[start + sizes - 1]], sizes
 
-    def keep_shared(self, bits: dict[int, bytes], parts: int) -> None:
+    def keep_shared(self, bits: dict[int, bytes], parts: int, spread: int) -> None:
         """Leave the contexts whose anchor another document has."""
         keys, _, repeats = self.anchors()
-        part = part_of(keys, parts)
         shared = np.zeros(len(keys), bool)
-        for p, (lo, hi) in slices(part).items():
-            shared[lo:hi] = np.unpackbits(np.frombuffer(unpack(bits[p])[0], np.uint8), count=hi - lo).astype(bool)
+        for p, (lo, hi) in slices(part_of(keys, parts) // spread).items():
+            shared[lo:hi] = np.unpackbits(unpack(bits[p])[-1], count=hi - lo).astype(bool)
         own = np.repeat(shared, repeats)
         self.key, self.doc, self.first, self.count = (x[own] for x in (self.key, self.doc, self.first, self.count))
 
@@ -207,13 +209,26 @@ def window_buckets(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, wi
     return bucket[spans_index(starts, np.maximum(lengths - window + 1, 0))]
 
 
+#: Bytes of contexts that a part is worked through at a time.
+SUB_BYTES = 2 << 20
+
+
+def messages(rows: pa.Table) -> list[list[np.ndarray]]:
+    """A message holds the entries of some blocks: the blocks, how many entries each has, then the entries' columns."""
+    return [unpack(x.as_py()) for x in rows.column("blob")]
+
+
+def five_bytes(keys: np.ndarray) -> np.ndarray:
+    """Five bytes of each key, plane by plane."""
+    return np.ascontiguousarray((keys >> U(16)).view(np.uint8).reshape(-1, 8)[:, :5].T).reshape(-1)
+
+
 def answer_anchors(rows: pa.Table) -> list[tuple[int, bytes]]:
-    """For each block: one bit for each of its anchors, set if several documents have it."""
-    asked = [unpack(x.as_py()) for x in rows.column("blob")]
-    blocks = rows.column("block").to_pylist()
-    sizes = [len(keys) // 5 for keys, _ in asked]
+    """For each message: one bit for each of its anchors, set if several documents have it."""
+    asked = messages(rows)
+    sizes = [len(m[2]) // 5 for m in asked]
     wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :5] = np.concatenate([keys.reshape(5, -1).T for keys, _ in asked]) if asked else 0
+    wide[:, :5] = np.concatenate([m[2].reshape(5, -1).T for m in asked]) if asked else 0
     keys = wide.view("<u8").reshape(-1)
     order = np.argsort(keys, kind="stable")
     s = keys[order]
@@ -222,23 +237,18 @@ def answer_anchors(rows: pa.Table) -> list[tuple[int, bytes]]:
     shared[order[1:][same]] = True
     shared[order[:-1][same]] = True
     out, at = [], 0
-    for block, n, (_, flags) in zip(blocks, sizes, asked):
-        own = shared[at : at + n] | np.unpackbits(flags, count=n).astype(bool)
-        out.append((block, pack(np.packbits(own))))
+    for group, n, (blocks, counts, _, flags) in zip(rows.column("group").to_pylist(), sizes, asked):
+        own = shared[at : at + n] | flags.astype(bool)
+        out.append((group, pack(blocks, counts, np.packbits(own))))
         at += n
     return out
 
 
-def answer_contexts(rows: pa.Table, window: int) -> list[tuple[int, bytes]]:
-    """For each block: one bit for each window of its contexts, set if a smaller doc_id has the window."""
-    asked = [unpack(x.as_py()) for x in rows.column("blob")]
-    blocks = rows.column("block").to_pylist()
-    key = np.concatenate([a[0] for a in asked])
-    doc = np.concatenate([a[1] for a in asked])
-    lengths = np.concatenate([a[2] for a in asked]).astype(np.int64)
-    found = binary_array(np.concatenate([a[3] for a in asked]), lengths).dictionary_encode()
+def gone_windows(key: np.ndarray, doc: np.ndarray, lengths: np.ndarray, data: np.ndarray, window: int) -> np.ndarray:
+    """For each window of each context, one after another: has a smaller doc_id the window?"""
+    found = binary_array(data, lengths).dictionary_encode()
     of_entry = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    data, offsets = raw(found.dictionary)
+    own_data, offsets = raw(found.dictionary)
     own, n = np.diff(offsets), len(found.dictionary)
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, of_entry, doc)
@@ -250,27 +260,130 @@ def answer_contexts(rows: pa.Table, window: int) -> list[tuple[int, bytes]]:
     _, inverse, times = np.unique(key_of, return_inverse=True, return_counts=True)
     several = np.flatnonzero(times[inverse] > 1)
     if len(several):
-        buckets = window_buckets(data, offsets[:-1][several], own[several], window)
+        buckets = window_buckets(own_data, offsets[:-1][several], own[several], window)
         at = spans_index((ends - counts)[several], counts[several])
         order = np.argsort(buckets, kind="stable")
         s = buckets[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         low = np.minimum.reduceat(window_least[at][order], first)
         window_least[at[order]] = np.repeat(low, np.diff(np.append(first, len(s))))
-    out, entry = [], 0
-    for block, a in zip(blocks, asked):
-        mine = of_entry[entry : entry + len(a[0])]
-        gone = window_least[spans_index((ends - counts)[mine], counts[mine])] < np.repeat(a[1], counts[mine])
-        out.append((block, pack(np.packbits(gone))))
-        entry += len(mine)
+    return window_least[spans_index((ends - counts)[of_entry], counts[of_entry])] < np.repeat(doc, counts[of_entry])
+
+
+def answer_contexts(rows: pa.Table, window: int) -> list[tuple[int, bytes]]:
+    """For each message: one bit for each window of its contexts, set if a smaller doc_id has the window.
+
+    The part is worked through by ranges of its key, of about SUB_BYTES of contexts each (more, if one key has more).
+    """
+    asked = messages(rows)
+    key, doc, lengths, data = (np.concatenate([m[k] for m in asked]) for k in (2, 3, 4, 5))
+    shape = [(m[0], np.add.reduceat(np.r_[m[4].astype(np.int64) - window + 1, 0], np.cumsum(m[1]) - m[1]) * (m[1] > 0)) for m in asked]
+    del asked
+    lengths = lengths.astype(np.int64)
+    starts = np.cumsum(lengths) - lengths
+    counts = lengths - window + 1
+    places = np.cumsum(counts) - counts
+    gone = np.zeros(int(counts.sum()), bool)
+    order = np.argsort(key, kind="stable")
+    upto = np.cumsum(lengths[order])
+    edges, _ = runs(key[order])
+    edges = np.append(edges, len(order))
+    at = 0
+    while at < len(order):
+        to = int(np.searchsorted(upto, upto[at] + SUB_BYTES))
+        to = int(edges[np.searchsorted(edges, max(to, at + 1))])  # contexts with one key stay together
+        own = order[at:to]
+        gone[spans_index(places[own], counts[own])] = gone_windows(key[own], doc[own], lengths[own], gather(data, starts[own], lengths[own]), window)
+        at = to
+    out, at = [], 0
+    for group, (blocks, own) in zip(rows.column("group").to_pylist(), shape):
+        n = int(own.sum())
+        out.append((group, pack(blocks, own, np.packbits(gone[at : at + n]))))
+        at += n
     return out
 
 
 def _replies(found: list[tuple[int, bytes]], part: int, turn: int) -> pa.Table:
-    return pa.table({"block": pa.array([b for b, _ in found], pa.int32()), "part": pa.array([part] * len(found), pa.int32()), "turn": pa.array([turn] * len(found), pa.int32()), "blob": pa.array([x for _, x in found], pa.binary())})
+    return pa.table({"group": pa.array([g for g, _ in found], pa.int32()), "part": pa.array([part] * len(found), pa.int32()), "turn": pa.array([turn] * len(found), pa.int32()), "blob": pa.array([x for _, x in found], pa.binary())})
+
+
+# ---- the exchange between blocks and parts. Up to DIRECT parts, each block has a row for each part. Beyond, a row would
+# hold next to nothing: blocks send to ranges of sqrt(parts) parts, where the rows of sqrt(blocks) blocks are put
+# together for each part, and replies go back the same way. So rows grow with the power 1.5 of the input, not 2.
+
+#: Parts beyond which rows go by way of ranges of parts.
+DIRECT = 2048
+ASKS, REPLIES = "part int, group int, blob binary", "group int, part int, turn int, blob binary"
+
+
+def spread_over(parts: int, direct: int) -> int:
+    """How many neighbouring parts (and blocks) are one range."""
+    return 1 if parts <= direct else int(np.ceil(np.sqrt(parts)))
+
+
+def merge_asks(rows: pa.Table, parts: int, wide: bool) -> list[tuple[int, list[np.ndarray]]]:
+    """The entries of some blocks for one range of parts as (part, message): blocks in order, each one's entries by key."""
+    asked = sorted(messages(rows), key=lambda m: int(m[0][0]))
+    of = []
+    for m in asked:
+        if wide:
+            of.append(part_of(m[2], parts))
+        else:
+            key = np.zeros((len(m[3]), 8), np.uint8)
+            key[:, 2:7] = m[2].reshape(5, -1).T
+            key[:, 7] = m[4]
+            of.append(part_of(key.view("<u8").reshape(-1), parts))
+    out = []
+    for part in np.unique(np.concatenate(of)).tolist():
+        cut = [(int(np.searchsorted(p, part)), int(np.searchsorted(p, part, "right"))) for p in of]
+        some = [(m, a, b) for m, (a, b) in zip(asked, cut) if a < b]
+        head = [np.array([m[0][0] for m, _, _ in some], np.int32), np.array([b - a for _, a, b in some], np.int64)]
+        if wide:
+            ends = [np.cumsum(m[4], dtype=np.int64) for m, _, _ in some]
+            columns = [np.concatenate([m[k][a:b] for m, a, b in some]) for k in (2, 3, 4)]
+            columns.append(np.concatenate([m[5][int(e[a - 1]) if a else 0 : int(e[b - 1])] for (m, a, b), e in zip(some, ends)]))
+        else:
+            columns = [np.concatenate([m[2].reshape(5, -1)[:, a:b] for m, a, b in some], axis=1).reshape(-1), np.concatenate([m[3][a:b] for m, a, b in some])]
+        out.append((part, head + columns))
+    return out
 
 
-def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept: str = "kept", spans: str = "removed_spans", window: int = WINDOW, gram: int = GRAM, whole_characters: bool = False) -> DataFrame:
+def split_replies(rows: pa.Table) -> list[tuple[int, bytes]]:
+    """The replies of a range of parts to some blocks as (block, bits), each block's parts in order."""
+    bits: dict[int, list[np.ndarray]] = {}
+    for i in np.argsort(rows.column("part").to_numpy(), kind="stable").tolist():
+        blocks, counts, packed = unpack(rows.column("blob")[i].as_py())
+        found = np.unpackbits(packed, count=int(counts.sum()))
+        for block, own in zip(blocks.tolist(), np.split(found, np.cumsum(counts)[:-1])):
+            bits.setdefault(block, []).append(own)
+    return [(b, pack(np.packbits(np.concatenate(x)))) for b, x in bits.items()]
+
+
+def exchange(asks: DataFrame, answer, name: str, turn: int, parts: int, spread: int, wide: bool) -> DataFrame:
+    """Replies (block, range, turn, blob) to asks (range, block, blob), written to the shared folder."""
+
+    @trimmed
+    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        found = merge_asks(table, parts, wide)
+        return pa.table({"part": pa.array([p for p, _ in found], pa.int32()), "group": pa.array([key[1].as_py()] * len(found), pa.int32()), "blob": pa.array([pack(*m) for _, m in found], pa.binary())})
+
+    @trimmed
+    def decide(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _replies(answer(table), key[0].as_py(), turn)
+
+    @trimmed
+    def split(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _replies(split_replies(table), key[1].as_py(), turn)
+
+    if spread > 1:
+        asks = asks.groupBy("part", F.floor(F.col("group") / spread).cast("int").alias("__group")).applyInArrow(merge, ASKS)
+    replies = asks.groupBy("part").applyInArrow(decide, REPLIES)
+    if spread > 1:
+        replies = replies.groupBy("group", F.floor(F.col("part") / spread).cast("int").alias("__range")).applyInArrow(split, REPLIES)
+    return materialize(replies, name)
+
+
+def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept: str = "kept", spans: str = "removed_spans", window: int = WINDOW, gram: int = GRAM, whole_characters: bool = False, block_bytes: int = BLOCK_BYTES, direct: int = DIRECT) -> DataFrame:
     """df and what is left of each text: kept (binary), n_bytes, n_removed, n_spans and removed_spans (start and end bytes).
 
     whole_characters: kept is a string, without the bytes of characters that lost some of theirs.
@@ -278,29 +391,28 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept
     string_columns(df, key, text)
     if not 1 <= gram <= window or window < 8:
         raise ValueError("1 <= gram <= window and window >= 8 are needed")
-    blocks = parts_for(df, BLOCK_BYTES)
-    parts = blocks
-    replies = "block int, part int, turn int, blob binary"
-    asks = "part int, block int, blob binary"
+    blocks = parts = parts_for(df, block_bytes)
+    spread = spread_over(parts, direct)
     dealt = to_blocks(df, key, blocks)
 
+    def rows_of(block: int, keys: np.ndarray, columns) -> pa.Table:
+        """A row for each range of parts; columns gives the message's columns of a slice of the keys."""
+        found = slices(part_of(keys, parts) // spread)
+        blobs = [pack(np.array([block], np.int32), np.array([hi - lo], np.int64), *columns(lo, hi)) for lo, hi in found.values()]
+        return pa.table({"part": pa.array(list(found), pa.int32()), "group": pa.array([block] * len(found), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
     @trimmed
     def ask_anchors(table: pa.Table) -> pa.Table:
         block = Block(table.column("rows"), key, text, window, gram)
         keys, several, _ = block.anchors()
-        out = {"part": [], "block": [], "blob": []}
-        for p, (lo, hi) in slices(part_of(keys, parts)).items():
-            low = np.ascontiguousarray((keys[lo:hi] >> U(16)).view(np.uint8).reshape(-1, 8)[:, :5].T).reshape(-1)
-            out["part"].append(p)
-            out["block"].append(table.column("block")[0].as_py())
-            out["blob"].append(pack(low, np.packbits(several[lo:hi])))
-        return pa.table(out, pa.schema([("part", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())]))
 
-    @trimmed
-    def shared(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _replies(answer_anchors(table), name[0].as_py(), 1)
+        def columns(lo: int, hi: int) -> list[np.ndarray]:
+            top = [(keys[lo:hi] >> U(56)).astype(np.uint8)] if spread > 1 else []  # without it, a key's part can't be told
+            return [five_bytes(keys[lo:hi]), several[lo:hi].astype(np.uint8), *top]
+
+        return rows_of(table.column("block")[0].as_py(), keys, columns)
 
-    first = materialize(dealt.groupBy("block").applyInArrow(ask_anchors, asks).groupBy("part").applyInArrow(shared, replies), "anchors")
+    first = exchange(dealt.groupBy("block").applyInArrow(ask_anchors, ASKS), answer_anchors, "anchors", 1, parts, spread, False)
 
     def bits_of(answers: pa.Table, turn: int) -> dict[int, bytes]:
         own = answers.filter(pc.equal(answers.column("turn"), turn))
@@ -308,24 +420,21 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept
 
     @trimmed
     def ask_contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {"part": [], "block": [], "blob": []}
-        if table.num_rows:
-            block = Block(table.column("rows"), key, text, window, gram)
-            block.keep_shared(bits_of(answers, 1), parts)
-            _, head = block.distinct()
-            for p, (lo, hi) in slices(part_of(block.key[head], parts)).items():
-                own = head[lo:hi]
-                lengths = block.count[own] + window - 1
-                out["part"].append(p)
-                out["block"].append(table.column("block")[0].as_py())
-                out["blob"].append(pack(block.key[own], block.ids[block.doc[own]], lengths.astype(np.uint32), gather(block.data, block.first[own], lengths)))
-        return pa.table(out, pa.schema([("part", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())]))
+        if not table.num_rows:
+            return pa.table({"part": pa.array([], pa.int32()), "group": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+        block = Block(table.column("rows"), key, text, window, gram)
+        block.keep_shared(bits_of(answers, 1), parts, spread)
+        _, head = block.distinct()
 
-    @trimmed
-    def decide(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _replies(answer_contexts(table, window), name[0].as_py(), 2)
+        def columns(lo: int, hi: int) -> list[np.ndarray]:
+            own = head[lo:hi]
+            lengths = block.count[own] + window - 1
+            return [block.key[own], block.ids[block.doc[own]], lengths.astype(np.uint32), gather(block.data, block.first[own], lengths)]
+
+        return rows_of(table.column("block")[0].as_py(), block.key[head], columns)
 
-    second = materialize(dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_contexts, asks).groupBy("part").applyInArrow(decide, replies), "windows")
+    asked = dealt.groupBy("block").cogroup(first.groupBy("group")).applyInArrow(ask_contexts, ASKS)
+    second = exchange(asked, lambda table: answer_contexts(table, window), "windows", 2, parts, spread, True)
 
     computed = {kept: T.StringType() if whole_characters else T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), spans: T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))}
     schema = T.StructType([f for f in df.schema if f.name not in computed] + [T.StructField(n, k) for n, k in computed.items()])
@@ -336,43 +445,53 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", kept
         if not table.num_rows:
             return pa.table({n: [] for n in schema.names})
         block = Block(table.column("rows"), key, text, window, gram)
-        block.keep_shared(bits_of(answers, 1), parts)
+        block.keep_shared(bits_of(answers, 1), parts, spread)
         of_run, head = block.distinct()
         heads = block.count[head]
         gone = np.zeros(int(heads.sum()), bool)
         ends = np.cumsum(heads)
         bits = bits_of(answers, 2)
-        for p, (lo, hi) in slices(part_of(block.key[head], parts)).items():
+        for p, (lo, hi) in slices(part_of(block.key[head], parts) // spread).items():
             a, b = int(ends[lo] - heads[lo]), int(ends[hi - 1])
-            gone[a:b] = np.unpackbits(unpack(bits[p])[0], count=b - a).astype(bool)
+            gone[a:b] = np.unpackbits(unpack(bits[p])[-1], count=b - a).astype(bool)
         # a run behind the one that was asked about has that one's document before it
         behind = block.ids[block.doc] > block.ids[block.doc[head]][of_run]
-        windows = gone[spans_index((ends - heads)[of_run], block.count)] | np.repeat(behind, block.count)
-        at = spans_index(block.first, block.count)[windows]
-        edge = np.zeros(len(block.data) + 1, np.int32)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + window, -1)
-        removed = np.cumsum(edge[:-1]) > 0
-        before = np.r_[False, removed[:-1]] if len(removed) else removed
-        n = len(block.offsets) - 1
-        first_of_doc = np.zeros(len(removed), bool)
-        starts = block.offsets[:-1][np.diff(block.offsets) > 0]
-        first_of_doc[starts] = True
-        begins = np.flatnonzero(removed & (~before | first_of_doc))
-        after = np.r_[removed[1:], False] if len(removed) else removed
-        next_first = np.r_[first_of_doc[1:], True] if len(removed) else first_of_doc
-        stops = np.flatnonzero(removed & (~after | next_first)) + 1
-        owner = np.searchsorted(block.offsets, begins, "right") - 1
-        total = np.concatenate([[0], np.cumsum(removed)])
-        n_removed = total[block.offsets[1:]] - total[block.offsets[:-1]]
-        n_spans = np.bincount(owner, minlength=n)[:n]
-        base = block.offsets[:-1][owner]
+        begins, stops, left = [], [], []
+        n_removed, n_spans = (np.zeros(len(block.offsets) - 1, np.int64) for _ in range(2))
+        by_doc = np.argsort(block.doc, kind="stable")
+        docs = block.doc[by_doc]
+        at = 0
+        while at < len(n_spans):  # some documents at a time
+            to = max(at + 1, int(np.searchsorted(block.offsets, block.offsets[at] + SUB_BYTES, "right")) - 1)
+            lo, hi = int(block.offsets[at]), int(block.offsets[to])
+            run = by_doc[np.searchsorted(docs, at) : np.searchsorted(docs, to)]
+            count = block.count[run]
+            windows = gone[spans_index((ends - heads)[of_run[run]], count)] | np.repeat(behind[run], count)
+            where = spans_index(block.first[run] - lo, count)[windows]
+            edge = np.zeros(hi - lo + 1, np.int32)
+            edge[where] += 1  # each window is in one run
+            edge[where + window] -= 1
+            removed = np.cumsum(edge[:-1]) > 0
+            own = block.offsets[at : to + 1] - lo
+            first_of_doc = np.zeros(len(removed) + 1, bool)
+            first_of_doc[own] = True
+            begin = np.flatnonzero(removed & (~np.r_[False, removed[:-1]] | first_of_doc[:-1])) if len(removed) else np.zeros(0, np.int64)
+            stop = np.flatnonzero(removed & (~np.r_[removed[1:], False] | first_of_doc[1:])) + 1 if len(removed) else begin
+            owner = np.searchsorted(own, begin, "right") - 1
+            n_spans[at:to] = np.bincount(owner, minlength=to - at)
+            n_removed[at:to] = np.bincount(owner, stop - begin, minlength=to - at).astype(np.int64)
+            begins.append(begin - own[owner])
+            stops.append(stop - own[owner])
+            left.append(block.data[lo:hi][~removed])
+            at = to
+        together = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         spans_offsets = np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(begins - base, pa.int64()), pa.array(stops - base, pa.int64())], ["start", "end"])
+        pairs = pa.StructArray.from_arrays([pa.array(together(begins), pa.int64()), pa.array(together(stops), pa.int64())], ["start", "end"])
         columns = {x: block.rows.column(x) for x in passed}
-        rest = binary_array(block.data[~removed], np.diff(block.offsets) - n_removed)
+        sizes = np.diff(block.offsets)
+        rest = binary_array(together(left).astype(np.uint8, copy=False), sizes - n_removed)
         rest = pa.array([x.decode("utf-8", "ignore") for x in rest.to_pylist()], pa.string()) if whole_characters else rest.cast(pa.binary())
-        columns |= {kept: rest, "n_bytes": pa.array(np.diff(block.offsets), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), spans: pa.ListArray.from_arrays(pa.array(spans_offsets), pairs)}
+        columns |= {kept: rest, "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), spans: pa.ListArray.from_arrays(pa.array(spans_offsets), pairs)}
         return pa.table(columns)
 
-    return dealt.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(remove, schema)
+    return dealt.groupBy("block").cogroup(first.unionByName(second).groupBy("group")).applyInArrow(remove, schema)
