@@ -38,6 +38,31 @@ def test_ties_lengths_and_unsound_vectors(spark):
     compare(vptree.nearest(spark.createDataFrame(rows, SCHEMA), every=20, k=20).collect(), brute(rows, 20, 20))
 
 
+@pytest.mark.parametrize("kind", ["line", "integers", "signs"])
+def test_ties_between_different_vectors(spark, kind):
+    rng = np.random.default_rng(11)
+    if kind == "line":  # all of one score, for the query (1, 0)
+        rows = [(i, [1.0, i / 3000]) for i in range(3000)]
+        rows[0] = (0, [1.0, 0.0])
+    elif kind == "integers":
+        rows = [(i, [float(x) for x in rng.integers(0, 2, 12)]) for i in range(3000)]
+    else:
+        rows = [(i, [float(x) for x in rng.choice([-1, 1], 16)]) for i in range(3000)]
+    compare(vptree.nearest(spark.createDataFrame(rows, SCHEMA), every=60, k=20).collect(), brute(rows, 60, 20))
+
+
+def test_repeated_ids_and_other_columns(spark):
+    rows = [(i % 40, [1.0 + i % 7, float(i % 5)], "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    got = vptree.nearest(df, every=20, k=3)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    vectors = [(i, np.array(v)) for i, v, _ in rows]
+    for q in (0, 20):
+        asked = min(tuple(v) for i, v in vectors if i == q)
+        want = sorted((-float(v @ np.array(asked)), i) for i, v in vectors if i != q)[:3]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got.where(f"query_id = {q}").collect()) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_fewer_than_k_and_none(spark):
     rows = [(i, [1.0, float(i)]) for i in range(5)]
     compare(vptree.nearest(spark.createDataFrame(rows, SCHEMA), every=2, k=20).collect(), brute(rows, 2, 20))
@@ -60,13 +85,13 @@ def test_pruning_and_factor():
     tree = vptree.Tree(np.hstack([v, np.sqrt(np.maximum(top**2 - (v**2).sum(1), 0))[:, None]]))
     q = v[:100]
     want = np.sort(q @ v.T, axis=1)[:, -10:]
-    best, _, made = vptree.search(tree, v, q, top, 10, 1.0)
-    assert np.allclose(np.sort(best, axis=1), want) and made < 0.8 * 100 * 20000
+    best, made = vptree.search(tree, v, q, top, 10, 1.0)
+    assert np.allclose(np.sort(best.scores, axis=1), want) and made < 0.8 * 100 * 20000
     found = {}
     for factor in (1.02, 1.05, 1.3):
-        relaxed, _, fewer = vptree.search(tree, v, q, top, 10, factor)
+        relaxed, fewer = vptree.search(tree, v, q, top, 10, factor)
         assert fewer <= made
-        made, found[factor] = fewer, (relaxed >= want[:, :1] - 1e-9).mean()
+        made, found[factor] = fewer, (relaxed.scores >= want[:, :1] - 1e-9).mean()
     assert found[1.02] > 0.9 and found[1.02] >= found[1.05] >= found[1.3]
 
 

@@ -30,6 +30,8 @@ LEAF = 512
 #: Compressed bytes of a shard, and queries in a block.
 SHARD_BYTES = 4 << 20
 QUERY_BLOCK = 16384
+#: Scores that are held at a time.
+SCORES = 1 << 21
 
 
 class Tree:
@@ -63,72 +65,110 @@ class Tree:
         return me
 
 
-def search(tree: Tree, vectors: np.ndarray, queries: np.ndarray, top: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Scores and places of the k best of vectors for each query, in no order (-inf where there are fewer); scores made."""
-    n = len(queries)
-    best, place = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+def best_of(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each query, by score and then id: query, rank, id, score."""
+    order = np.lexsort((i, -s, q))
+    q, i, s = q[order], i[order], s[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) + 1
+    keep = rank <= k
+    return q[keep], rank[keep], i[keep], s[keep]
+
+
+class Best:
+    """The k best of each query so far, by score and then id, among points that each stand for some ids."""
+
+    def __init__(self, n: int, k: int):
+        self.ids, self.scores = np.zeros((n, k), np.int64), np.full((n, k), -np.inf)
+
+    @property
+    def last(self) -> np.ndarray:
+        """The k-th score of each query, -inf where there are fewer."""
+        return self.scores[:, -1]
+
+    def add(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        k = self.ids.shape[1]
+        some = np.unique(row)
+        row, rank, found, score = best_of(np.concatenate([np.repeat(some, k), row]), np.concatenate([self.ids[some].reshape(-1), ids]), np.concatenate([self.scores[some].reshape(-1), score]), k)
+        self.ids[row, rank - 1], self.scores[row, rank - 1] = found, score
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, id and score of all that was found."""
+        row, column = np.nonzero(self.scores > -np.inf)
+        return row, self.ids[row, column], self.scores[row, column]
+
+
+def search(tree: Tree, vectors: np.ndarray, queries: np.ndarray, top: float, k: int, factor: float, ids: np.ndarray | None = None, first: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[Best, int]:
+    """The k best of vectors for each query, and how many scores were made.
+
+    A vector stands for ids[first[i]:first[i + 1]] (for its own place, without ids); own are the queries' ids, which they
+    don't find. Matrix products only choose what may count: what is within their rounding of a query's k-th score is
+    scored by itself, and held against the k best by that score and then by id, so equal scores are told apart by id alone.
+    """
+    ids = np.arange(len(vectors)) if ids is None else ids
+    first = np.arange(len(vectors) + 1) if first is None else first
+    n, dim = queries.shape
+    best, made = Best(n, k), 0
     lifted = np.hstack([queries, np.zeros((n, 1))])
-    square = (queries**2).sum(1) + top * top
-    made = 0
+    length = (queries**2).sum(1)
+    square = length + top * top
+    rounding = 4.0 * (dim + 4) * 2.0**-53 * np.sqrt(length) * top
+
+    def leaf(rows: np.ndarray, points: np.ndarray) -> None:
+        step = max(1, SCORES // len(points))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            scores = queries[some] @ vectors[points].T
+            least = best.last[some]
+            if len(points) > k:  # one of k + 1 may be the query itself
+                least = np.maximum(least, -np.partition(-scores, k, axis=1)[:, k])
+            r, c = np.nonzero(scores >= (least - rounding[some])[:, None])
+            for lo in range(0, len(r), SCORES // dim + 1):
+                row, point = some[r[lo : lo + SCORES // dim + 1]], points[c[lo : lo + SCORES // dim + 1]]
+                score = (vectors[point] * queries[row]).sum(1)
+                times = first[point + 1] - first[point]
+                row, score, found = np.repeat(row, times), np.repeat(score, times), ids[spans_index(first[point], times)]
+                if own is not None:
+                    other = found != own[row]
+                    row, score, found = row[other], score[other], found[other]
+                best.add(row, found, score)
 
     def visit(node: int, rows: np.ndarray, bound: np.ndarray) -> None:
         nonlocal made
-        limit = np.sqrt(np.maximum(square[rows] - 2 * best[rows].min(1), 0))  # the distance of the k-th so far
-        live = bound * factor <= limit * (1 + 1e-9) + 1e-9
+        limit = np.sqrt(np.maximum(square[rows] - 2 * best.last[rows], 0))  # the distance of the k-th so far
+        live = bound * factor <= limit * (1 + 1e-9) + 1e-7 * top
         rows, bound = rows[live], bound[live]
         if not len(rows):
             return
         found = tree.nodes[node]
         if len(found) == 2:
-            own = tree.order[found[0] : found[1]]
-            made += len(rows) * len(own)
-            scores = np.hstack([best[rows], queries[rows] @ vectors[own].T])
-            names = np.hstack([place[rows], np.broadcast_to(own, (len(rows), len(own)))])
-            some = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-            best[rows], place[rows] = np.take_along_axis(scores, some, 1), np.take_along_axis(names, some, 1)
+            made += len(rows) * (found[1] - found[0])
+            leaf(rows, tree.order[found[0] : found[1]])
             return
         vantage, inner, outer, left, right = found
         d = np.linalg.norm(lifted[rows] - vantage, axis=1)
         bounds = [np.maximum(bound, np.maximum(d - far, near - d)) for near, far in (inner, outer)]
-        first = bounds[0] <= bounds[1]
-        for chosen, sides in ((first, (0, 1)), (~first, (1, 0))):
+        nearer = bounds[0] <= bounds[1]
+        for chosen, sides in ((nearer, (0, 1)), (~nearer, (1, 0))):
             for side in sides if chosen.any() else ():
                 visit((left, right)[side], rows[chosen], bounds[side][chosen])
 
     if tree.nodes and n:
         visit(0, np.arange(n), np.zeros(n))
-    return best, place, made
-
-
-def best_of(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best of each query, by score and then id: query, rank, id, score."""
-    order = np.lexsort((i, -s, q))
-    q, i, s = q[order], i[order], s[order]
-    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
-    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) + 1
-    keep = rank <= k
-    return q[keep], rank[keep], i[keep], s[keep]
+    return best, made
 
 
 def shard_best(v: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, top: float, k: int, factor: float):
     """The k best of a shard for each query. Equal vectors are one point with its k + 1 smallest ids, so that ties are exact."""
     order = np.lexsort((ids, *v.T[::-1]))
     v, ids = v[order], ids[order]
-    new = np.r_[True, (v[1:] != v[:-1]).any(1)]
-    start = np.flatnonzero(new)
+    start = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]).any(1)])
     times = np.minimum(np.diff(np.append(start, len(v))), k + 1)
-    distinct = v[start]
+    distinct, few = v[start], ids[spans_index(start, times)]
     lifted = np.hstack([distinct, np.sqrt(np.maximum(top * top - (distinct**2).sum(1), 0))[:, None]])
-    wanted = k + 4  # one for the query itself, some for the rounding of matrix products
-    best, place, _ = search(Tree(lifted), distinct, queries, top, wanted, factor)
-    row, column = np.nonzero(np.isfinite(best))
-    place = place[row, column]
-    score = (distinct[place] * queries[row]).sum(1)
-    row, score = np.repeat(row, times[place]), np.repeat(score, times[place])
-    found = ids[spans_index(start[place], times[place])]
-    other = found != query_ids[row]
-    q, _, i, s = best_of(query_ids[row[other]], found[other], score[other], k)
-    return q, i, s
+    best, _ = search(Tree(lifted), distinct, queries, top, k, factor, few, np.concatenate([[0], np.cumsum(times)]), query_ids)
+    row, found, score = best.found()
+    return query_ids[row], found, score
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
