@@ -15,39 +15,59 @@ PATH = vocabulary("byte_bpe_50k.json")
 def library_ids(texts):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(PATH)  # as it comes: the contract is the library's default
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def coded(ids, block=idfile.BLOCK):
+    models = idfile.Models.of(ids)
+    return idfile.Models.load(models.dump()), idfile.encode_blocks(ids, models, block)
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000, 40000])
 def test_round_trip_of_ids(n):
     rng = np.random.default_rng(n)
     for high in (1, 2, 300, 65536):
-        ids = rng.integers(0, high, n).astype(np.uint16)
-        size, blocks = idfile.encode_blocks(ids)
-        assert (idfile.decode_blocks(size, blocks).reshape(-1)[:n] == ids).all()
+        ids = (rng.integers(0, high, n) ** 2 % 65536).astype(np.uint16)
+        models, blocks = coded(ids, 256)
+        assert (idfile.decode_blocks(models, 256, blocks).reshape(-1)[:n] == ids).all()
+
+
+def test_every_id_comes_up():
+    ids = np.random.default_rng(3).permutation(65536).astype(np.uint16)
+    models, blocks = coded(np.concatenate([ids, ids[::-1]]))
+    assert (idfile.decode_blocks(models, idfile.BLOCK, blocks).reshape(-1) == np.concatenate([ids, ids[::-1]])).all()
 
 
 def test_repeats_cost_little_and_blocks_stand_alone():
     phrase = np.random.default_rng(1).integers(0, 50000, 40).astype(np.uint16)
     ids = np.tile(phrase, 10000)
-    size, blocks = idfile.encode_blocks(ids)
+    models, blocks = coded(ids)
     assert sum(map(len, blocks)) < 0.4 * 2 * len(ids)
-    some = idfile.decode_blocks(size, blocks[3:5])
-    assert (some.reshape(-1) == ids[3 * size : 5 * size]).all()
+    some = idfile.decode_blocks(models, idfile.BLOCK, blocks[3:5])
+    assert (some.reshape(-1) == ids[3 * idfile.BLOCK : 5 * idfile.BLOCK]).all()
+
+
+def test_real_texts_take_less_than_their_order_0_entropy(spark, sf_dir):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    ids = np.frombuffer(b"".join(idfile.Tokenizer(PATH).encode(texts)), "<u2")
+    data = idfile.to_segment(np.zeros(1), np.ones(1, bool), np.array([len(ids)]), ids)
+    share = np.bincount(ids)[np.flatnonzero(np.bincount(ids))] / len(ids)
+    assert 8 * len(data) < len(ids) * -(share * np.log2(share)).sum()
 
 
 def test_damage_is_found():
     ids = np.arange(3000).astype(np.uint16)
-    data = idfile.to_file(np.array([4, 9]), np.array([True, False]), np.array([1000, 2000]), ids)
-    keys, known, counts, back = idfile.from_file(data)
-    assert keys.tolist() == [4, 9] and known.tolist() == [True, False] and counts.tolist() == [1000, 2000] and (back == ids).all()
+    data = idfile.to_segment(np.array([4, 9]), np.array([True, False]), np.array([1000, 2000]), ids)
+    both = list(idfile.from_file(data + data))
+    assert len(both) == 2
+    for keys, known, counts, back in both:
+        assert keys.tolist() == [4, 9] and known.tolist() == [True, False] and counts.tolist() == [1000, 2000] and (back == ids).all()
     for at in (3, 60, len(data) - 900):
         broken = bytearray(data)
         broken[at] ^= 64
         with pytest.raises(ValueError):
-            idfile.from_file(bytes(broken))
+            list(idfile.from_file(bytes(broken)))
 
 
 def test_words_give_the_library_s_ids():
@@ -68,6 +88,21 @@ def check(rows, got):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_added_tokens_are_the_library_s():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", " <|endoftext|>", "<|endoftext", "plain"]
+    found = idfile.Tokenizer(PATH).encode(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in found] == library_ids(texts)
+    assert np.frombuffer(found[0], "<u2").tolist() == [64, 220, 50256, 275]
+
+
+def test_segments_other_columns_and_a_hot_id(spark, tmp_path):
+    rows = [(1 if i % 3 else i, f"text {i % 50} of <|endoftext|> {i % 7}" if i % 5 else None, "file", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, file string, start long")
+    check([r[:2] for r in rows], [tuple(r) for r in idfile.round_trip(df, PATH).collect()])
+    same = spark.createDataFrame([(None, "same text")] * 200, "doc_id long, text string")
+    check([(None, "same text")] * 200, [tuple(r) for r in idfile.round_trip(same, PATH).collect()])
+
+
 def test_edges(spark):
     rows = [(7, "a b"), (7, "a a"), (3, None), (5, ""), (None, "null id"), (9, "the " * 20000), (-2, "neg  ative\n"), (7, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

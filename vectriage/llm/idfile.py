@@ -1,23 +1,29 @@
 """Token ids in files: an adaptive context-mixing range coder.
 
-Each id is predicted from the ids before it: by order 2 (the two before), order 1 (the one before) and order 0 (the
-block's majority so far), each with a confidence. Logistic mixing of the three orders' own records, with weights that learn,
-gives the probability that one of them is right; which one is then told by adaptive bits, or else the id itself, its top
-bits by the block's adaptive order-0 counts. All of it is integer arithmetic, so decoding repeats it exactly. Probabilities
-drive a carry-less range coder with 64-bit registers that moves 16-bit words.
+A file is a row of segments, and a segment has models that its header holds: how often each id comes up (order 0), and
+how often it follows each other id (order 1), where saying so costs less than it saves. Its ids are in blocks of BLOCK,
+which all start from these models and adapt on their own. In a block, slots for the two ids before (order 2) and the one
+before (order 1) remember which id came next, and how far that is trusted. For each id,
 
-Blocks are independent: each starts from the same state and has a CRC-32 of its ids, so a damaged block is found and the
-others stay readable. Many blocks are coded in step, one array element each.
+1. logistic mixing of order 2, order 1 and order 0 gives the probability that the more trusted slot is right. Weights,
+   and how often a slot of a trust is right, learn as the block goes on;
+2. an id that isn't the slot's is coded by order 1, or else, after an escape, by order 0.
 
-A file: magic, header (block size, blocks, ids, documents), CRC-32 of the tables, tables (ids of documents and whether
-they are null, their numbers of ids, words and CRC-32 of each block), then the blocks' words. Documents follow one
-another without regard to blocks.
+All of it is integer arithmetic, so decoding repeats it exactly. Probabilities drive a range coder with 48-bit registers
+that moves 16-bit words; carries stay in the words until a block ends. Many blocks are coded in step, one array element
+each. Each block has a CRC-32 of its ids, so a damaged block is found and the others stay readable.
+
+A segment: magic, header, CRC-32 of the tables, tables (ids of documents and whether they are null, their numbers of
+ids, words and CRC-32 of each block, models), then the blocks' words. Documents follow one another without regard to
+blocks; a document is in one segment.
 
 Files are written to a temporary name in the shared folder and renamed: a task that runs again writes the same file. They
-go through pyarrow's file systems, and are read back by Spark's binaryFile source.
+go through pyarrow's file systems, and are read back by Spark's binaryFile source. A task holds one segment at a time,
+and what it has coded.
 
 Defined results: a null or empty text has no ids but the end id. Documents are in ascending order of id, null first, rows
 that repeat an id by text. A document's start counts all ids before it, end ids too. An empty table gives no files' rows.
+Other columns take no part, whatever their names. Vocabularies of more than 65,536 ids are refused.
 """
 
 from __future__ import annotations
@@ -30,24 +36,25 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, parts_for, shared_dir, string_columns, texts
+from .common import bounded_batches, materialize, parts_for, shared_dir, string_columns, texts, trim
 
-MAGIC = b"VTCM0001"
-LANES, MOST_IDS, LEAST_IDS = 4096, 2048, 128
-SLOTS = 1024
-TOP, REST = 4, 12
+MAGIC = b"VTCM0002"
+#: Ids of a block; blocks that are coded in step; slots of each order and block; ids of a segment, but for its last document.
+BLOCK, LANES, SLOTS, SEGMENT = 1024, 4096, 256, 1 << 22
+#: Precision of order 0 and of order 1, in bits.
+PRECISE, ROW = 18, 14
+#: Parts of a row that decoding begins to look in; places of a table that encoding looks in.
+COARSE, HASHED = 64, 1 << 20
 FAR = 1 << 18
-#: What a class gains each time it comes up; a block's counts stay below 2**16.
-GAIN = 24
 END = 0
 FILE_BYTES = 8 << 20
 MEMO_WORDS = 1 << 20
 
-_U, _I = np.uint64, np.int64
-_ONE = _U(1)
+_U = np.uint64
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -60,230 +67,367 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 STRETCH, SQUASH = _tables()
-#: By 4 for a right guess, and its trust so far: whether the guess stays, and its trust from now on.
-KEPT = np.array([False, True, True, True, True, True, True, True])
+#: By 4 for a right guess, and its trust so far: its trust from now on.
 TRUST = np.array([0, 0, 1, 2, 1, 2, 3, 3], np.int32) << 16
+SIGN = np.array([1, -1], np.int32)
+
+
+def scaled(counts: np.ndarray, total: int) -> np.ndarray:
+    """Whole numbers of 1 and more that are nearly in proportion to counts and add up to total."""
+    n = len(counts)
+    out = 1 + counts.astype(np.int64) * (total - n) // max(1, int(counts.sum()))
+    out[np.argmax(counts)] += total - int(out.sum())
+    return out
+
+
+class Models:
+    """Order 0 and order 1 of a segment: ids with their shares, and pairs of ids with their shares of the first one's row."""
+
+    def __init__(self, ids: np.ndarray, share: np.ndarray, pairs: np.ndarray, pair_share: np.ndarray):
+        self.ids, self.share, self.pairs, self.pair_share = ids, share, pairs, pair_share
+        self.begin = np.zeros(65536, np.int64)  # of each id in order 0
+        self.width = np.zeros(65536, np.int64)
+        begin = np.cumsum(share) - share
+        self.begin[ids], self.width[ids] = begin, share
+        self.bent = STRETCH[np.minimum(self.width >> (PRECISE - 12), 4095)]
+        # the row of an id: its pairs in order, then the escape; all rows one after another make one increasing array
+        first = pairs >> 16
+        self.row_from = np.searchsorted(first, np.arange(65536))
+        self.row_to = np.searchsorted(first, np.arange(65536), "right")
+        upto = np.concatenate([[0], np.cumsum(pair_share)])
+        self.taken = (upto[self.row_to] - upto[self.row_from]).astype(np.int32)  # what the escape leaves of a row
+        self.pair_begin = (upto[:-1] - upto[self.row_from[first]]).astype(np.int32)
+        self.pair_share = self.pair_share.astype(np.int32)
+        self.rising = np.append((first.astype(np.int64) << ROW) + self.pair_begin, 1 << 62)
+        # for decoding: where to begin looking, for each COARSE part of each row
+        rows = np.unique(first)
+        self.row = np.zeros(65536, np.int64)
+        self.row[rows] = np.arange(len(rows)) * COARSE
+        parts = (rows[:, None] << ROW) + (np.arange(COARSE) << ROW) // COARSE
+        self.coarse = np.searchsorted(self.rising, parts.reshape(-1), "right") - 1 if len(rows) else np.zeros(COARSE, np.int64)
+        # for encoding: two tables by hashes of pairs, and the few that found no place in either
+        names = np.arange(len(pairs))
+        self.tables, self.hashed = [], pairs
+        for shift in (0, 20):
+            table = np.full(HASHED, -1, np.int32)
+            table[self._hash(pairs[names], shift)] = names
+            names = names[table[self._hash(pairs[names], shift)] != names]
+            self.tables.append(table)
+        self.others, self.other_pairs = names, pairs[names]
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Models:
+        """The models of a segment; a pair of ids is in order 1 if that saves more than the 32 bits that it takes."""
+        times = np.bincount(ids, minlength=65536)
+        known = np.flatnonzero(times)
+        if not len(known):
+            none = np.zeros(0, np.int64)
+            return cls(none, none, none, none)
+        n = len(ids)
+        pairs, often = np.unique(np.concatenate([[0], ids[:-1]]).astype(np.uint32) << np.uint32(16) | ids, return_counts=True)
+        pairs = pairs.astype(np.int64)
+        before, after = np.maximum(times[pairs >> 16], 1), times[pairs & 0xFFFF]
+        some = (often > 2) & (often * np.log2(np.maximum(often * (n / before / after), 1e-9)) > 32)
+        pairs, often = pairs[some], often[some]
+        # shares of the row: in proportion to all that follows the first id, so that what isn't listed is left to the escape
+        share = np.maximum(1, often * ((1 << ROW) - 1) // np.maximum(before[some], often))
+        first, at = np.unique(pairs >> 16, return_index=True)
+        total = np.add.reduceat(share, at) if len(at) else share
+        fits = np.ones(65536, bool)
+        fits[first[total >= 1 << ROW]] = False
+        own = fits[pairs >> 16]
+        return cls(known, scaled(times[known], 1 << PRECISE), pairs[own], share[own])
+
+    def dump(self) -> bytes:
+        row = np.diff(np.concatenate([[0], self.pairs]))
+        parts = [np.diff(np.concatenate([[0], self.ids])).astype("<u2"), self.share.astype("<u4"), row.astype("<u4"), self.pair_share.astype("<u2")]
+        planes = [np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes() if len(p) else b"" for p in parts]
+        return struct.pack("<II", len(self.ids), len(self.pairs)) + zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+
+    @classmethod
+    def load(cls, data: bytes) -> Models:
+        n, m = struct.unpack_from("<II", data)
+        flat, at, out = zstandard.ZstdDecompressor().decompress(data[8:]), 0, []
+        for kind, size in (("<u2", n), ("<u4", n), ("<u4", m), ("<u2", m)):
+            wide = np.dtype(kind).itemsize
+            out.append(np.ascontiguousarray(np.frombuffer(flat, np.uint8, size * wide, at).reshape(wide, size).T).reshape(-1).view(kind).astype(np.int64))
+            at += size * wide
+        return cls(np.cumsum(out[0]), out[1], np.cumsum(out[2]), out[3])
+
+    @staticmethod
+    def _hash(pairs: np.ndarray, shift: int) -> np.ndarray:
+        return ((pairs * 0x9E3779B1) >> (13 + shift // 4)) & (HASHED - 1)
+
+    def place(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For ids after the ids before: where each begins in its row, and its width; the escape where it isn't listed."""
+        taken = self.taken.take(before)
+        if not len(self.pairs):
+            return taken, (1 << ROW) - taken, np.zeros(len(ids), bool)
+        pair = before << 16 | ids
+        at = self.tables[0].take(self._hash(pair, 0))
+        rest = np.flatnonzero(self.pairs.take(at) != pair)  # -1 is some pair, and another one than this
+        own = self.tables[1].take(self._hash(pair[rest], 20))
+        at[rest] = own
+        if len(self.others):
+            rest = rest[self.pairs.take(own) != pair[rest]]
+            at[rest] = self.others[np.minimum(np.searchsorted(self.other_pairs, pair[rest]), len(self.others) - 1)]
+        listed = self.pairs.take(at) == pair
+        return np.where(listed, self.pair_begin.take(at), taken), np.where(listed, self.pair_share.take(at), (1 << ROW) - taken), listed
+
+    def listed_at(self, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which pair of a row is at a place below the row's escape."""
+        key = (before << ROW) + at
+        place = self.coarse.take(self.row.take(before) + (at * COARSE >> ROW))
+        some = np.flatnonzero(self.rising.take(place + 1) <= key)
+        for _ in range(3):
+            if not len(some):
+                return place
+            place[some] += 1
+            some = some[self.rising.take(place[some] + 1) <= key[some]]
+        place[some] = np.searchsorted(self.rising, key[some], "right") - 1
+        return place
 
 
 class _Words:
-    """The words of many blocks: where each lane reads or writes."""
+    """The words of many blocks, side by side: where each lane reads or writes. A word above 16 bits carries into the one
+    before."""
 
-    def __init__(self, lanes: int, size: int):
-        self.data = np.zeros((lanes, size), np.uint16)
-        self.at = np.zeros(lanes, np.int64)
+    def __init__(self, lanes: int, size: int, kind=np.uint32):
+        self.lanes = lanes
+        self.data = np.zeros(size * lanes, kind)
+        self.at = np.arange(lanes)
 
     def put(self, lanes: np.ndarray, words: np.ndarray) -> None:
-        if self.at.max(initial=0) + 1 >= self.data.shape[1]:
-            self.data = np.concatenate([self.data, np.zeros_like(self.data)], 1)
-        self.data[lanes, self.at[lanes]] = words
-        self.at[lanes] += 1
+        at = self.at[lanes]
+        if int(at.max(initial=0)) >= len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[at] = words
+        self.at[lanes] = at + self.lanes
 
     def get(self, lanes: np.ndarray) -> np.ndarray:
-        out = self.data[lanes, np.minimum(self.at[lanes], self.data.shape[1] - 1)]
-        self.at[lanes] += 1
-        return out.astype(np.uint64)
+        at = self.at[lanes]
+        self.at[lanes] = at + self.lanes
+        return self.data.take(at, mode="clip").astype(np.uint64)
+
+    def settled(self) -> list[bytes]:
+        """The words of each lane, carries added."""
+        used = self.at // self.lanes
+        rows = self.data.reshape(-1, self.lanes)[: int(used.max(initial=0))]
+        carry = np.zeros(self.lanes, np.uint32)
+        for row in rows[::-1]:
+            row += carry
+            np.right_shift(row, 16, out=carry)
+        each = np.ascontiguousarray(rows.astype("<u2").T)
+        return [each[i, :n].tobytes() for i, n in enumerate(used.tolist())]
 
 
 class _Coder:
-    """Range coders in step. Decoding if words are given. `code` takes the lanes that have something to code."""
+    """Range coders in step: registers of 48 bits, a range of 32 or more between codes. Decoding if words are given."""
 
-    LOW = _U(1 << 32)
+    LEAST = _U(1 << 32)
 
-    def __init__(self, lanes: int, size: int, words: _Words | None = None):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.reads = words is not None
-        self.words = words if self.reads else _Words(lanes, size)
-        if self.reads:
-            self.value = np.zeros(lanes, np.uint64)
+    def __init__(self, lanes: int, words: _Words, reads: bool):
+        self.range = np.full(lanes, (1 << 48) - 1, np.uint64)
+        self.low = np.zeros(lanes, np.uint64)  # decoding: the value above low
+        self.words, self.reads = words, reads
+        if reads:
             every = np.arange(lanes)
-            for _ in range(4):
-                self.value = (self.value << _U(16)) | self.words.get(every)
+            for _ in range(3):
+                self.low = (self.low << _U(16)) | words.get(every)
 
-    def settle(self, lanes: np.ndarray | None, low: np.ndarray, width: np.ndarray) -> None:
-        """Store registers and move the words that are settled."""
-        if lanes is None:
-            self.low, self.range = low, width
-        else:
-            self.low[lanes], self.range[lanes] = low, width
-        move = (((low + (width - _ONE)) ^ low) < _U(1 << 48)) | (width < self.LOW)
-        some = np.flatnonzero(move)
-        if lanes is not None:
-            some = lanes[some]
-        while len(some):
-            a, r = self.low[some], self.range[some]
-            apart = ((a + (r - _ONE)) ^ a) >= _U(1 << 48)
-            r = np.where(apart, (~a + _ONE) & (self.LOW - _ONE), r)  # up to the next boundary, so that the top word is settled
-            r = np.where(r == 0, self.LOW, r)
+    def renew(self, lanes: np.ndarray) -> None:
+        """Move the top words of lanes whose range is short."""
+        while len(lanes):
             if self.reads:
-                self.value[some] = (self.value[some] << _U(16)) | self.words.get(some)
+                self.low[lanes] = (self.low[lanes] << _U(16)) | self.words.get(lanes)
             else:
-                self.words.put(some, (a >> _U(48)).astype(np.uint16))
-            a, r = a << _U(16), r << _U(16)
-            self.low[some], self.range[some] = a, r
-            some = some[(((a + (r - _ONE)) ^ a) < _U(1 << 48)) | (r < self.LOW)]
-
-    def bit(self, lanes: np.ndarray | None, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """One bit, 1 with probability p / 65536."""
-        low, width = (self.low, self.range) if lanes is None else (self.low.take(lanes), self.range.take(lanes))
-        cut = (width >> _U(16)) * p.astype(np.uint64)
+                low = self.low[lanes]
+                self.words.put(lanes, low >> _U(32))
+                self.low[lanes] = (low & _U(0xFFFFFFFF)) << _U(16)
+            width = self.range[lanes] << _U(16)
+            self.range[lanes] = width
+            lanes = lanes[width < self.LEAST]
+
+    def bit(self, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """One bit of every lane, 1 with probability p / 65536."""
+        cut = (self.range >> _U(16)) * p.astype(np.uint64)
         if self.reads:
-            bit = ((self.value if lanes is None else self.value[lanes]) - low) < cut
-        self.settle(lanes, np.where(bit, low, low + cut), np.where(bit, cut, width - cut))
+            bit = self.low < cut
+            self.low -= np.where(bit, _U(0), cut)
+        else:
+            self.low += np.where(bit, _U(0), cut)
+        self.range = np.where(bit, cut, self.range - cut)
+        self.renew(np.flatnonzero(self.range < self.LEAST))
         return bit
 
-    def symbol(self, lanes: np.ndarray, counts: np.ndarray, total: np.ndarray, rest: int, symbol: np.ndarray | None) -> np.ndarray:
-        """A class by its counts, then `rest` bits that are all equally likely, as one number."""
-        low, width = self.low.take(lanes), self.range.take(lanes) // total.astype(np.uint64)
-        upto = np.cumsum(counts, axis=1, dtype=np.int32)
-        row = np.arange(len(lanes))
-        if self.reads:
-            offset = self.value[lanes] - low
-            at = np.minimum(offset // width, total.astype(np.uint64) - _ONE).astype(np.int64)
-            kind = (upto <= at.astype(np.int32)[:, None]).sum(1)
-        else:
-            kind = symbol >> rest
-        own = counts[row, kind]
-        begin = width * (upto[row, kind] - own).astype(np.uint64)
-        unit = (width * own.astype(np.uint64)) >> _U(rest)
-        if self.reads:
-            fine = np.minimum((offset - begin) // unit, _U((1 << rest) - 1))
-            symbol = kind << rest | fine.astype(np.int64)
-        else:
-            fine = (symbol & ((1 << rest) - 1)).astype(np.uint64)
-        self.settle(lanes, low + begin + unit * fine, unit)
-        return symbol
+    def write(self, lanes: np.ndarray, begin: np.ndarray, width: np.ndarray, bits: int) -> None:
+        unit = self.range[lanes] >> _U(bits)
+        self.low[lanes] += unit * begin.astype(np.uint64)
+        unit *= width.astype(np.uint64)
+        self.range[lanes] = unit
+        self.renew(lanes[unit < self.LEAST])
+
+    def peek(self, lanes: np.ndarray, bits: int) -> np.ndarray:
+        """Where in 2 ** bits the next code lies."""
+        return np.minimum(self.low[lanes] // (self.range[lanes] >> _U(bits)), _U((1 << bits) - 1)).astype(np.int64)
+
+    def took(self, lanes: np.ndarray, begin: np.ndarray, width: np.ndarray, bits: int) -> None:
+        unit = self.range[lanes] >> _U(bits)
+        self.low[lanes] -= unit * begin.astype(np.uint64)
+        unit *= width.astype(np.uint64)
+        self.range[lanes] = unit
+        self.renew(lanes[unit < self.LEAST])
 
     def finish(self) -> None:
         every = np.arange(len(self.low))
-        for k in (48, 32, 16, 0):
-            self.words.put(every, (self.low >> _U(k)).astype(np.uint16))
+        for k in (32, 16, 0):
+            self.words.put(every, (self.low >> _U(k)) & _U(0xFFFF) if k < 32 else self.low >> _U(32))
 
 
-def _code(lanes: int, steps: int, ids: np.ndarray | None, words: _Words | None):
+def _code(models: Models, lanes: int, steps: int, ids: np.ndarray | None, words: _Words | None):
     """Code [steps, lanes] ids, or decode them from words."""
-    coder = _Coder(lanes, max(16, steps * 17 // 16 + 16), words)
-    out = np.zeros((steps, lanes), np.uint16) if ids is None else ids
-    every = np.arange(lanes)
-    # orders 0, 1 and 2 side by side; a slot holds a guess and how far it is trusted
-    place = np.zeros((3, lanes), np.int64)
-    base = every + np.arange(3)[:, None] * lanes
-    guess = np.zeros(3 * lanes * SLOTS, np.int32)
-    record = np.full(3 * lanes * 4, 8192, np.int32)  # how often a guess of this trust is right
-    weight = np.full((3, lanes), 24000, np.int32)
-    which = np.full((2, lanes), 32768, np.int64)
-    counts, total = np.ones((lanes, 1 << TOP), np.int32), np.full(lanes, 1 << TOP, np.int64)
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    reads = ids is None
+    out = np.zeros((steps, lanes), np.uint16) if reads else ids
+    coder = _Coder(lanes, words if reads else _Words(lanes, max(64, steps // 2)), reads)
+    symbols = np.repeat(models.ids, models.share) if reads else None  # of each place in order 0
+    # orders 1 and 2 are rows of arrays; a slot holds a guess and how far it is trusted
+    base = np.arange(2 * lanes).reshape(2, lanes)
     base_slot, base_cell = base * SLOTS, base * 4
-
+    guess = np.zeros(2 * lanes * SLOTS, np.int32)
+    record = np.full(2 * lanes * 4, 8192, np.int32)  # how often a guess of this trust is right
+    weight = np.repeat(np.array([[24000], [40000], [8000]], np.int32), lanes, 1)  # of orders 1, 2 and 0
+    bent = np.zeros((3, lanes), np.int32)
+    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    slot = np.zeros((2, lanes), np.int64)
     for step in range(steps):
+        if not reads and step % 64 == 0:
+            ahead = out[step : step + 64].astype(np.int64)
+            earlier = np.concatenate([one[None], ahead[:-1]])
+            begins, widths, listed = (a.reshape(-1, lanes) for a in models.place(earlier.reshape(-1), ahead.reshape(-1)))
         mixed = one * 40503
-        place[1] = (mixed >> 4) & (SLOTS - 1)
-        place[2] = ((mixed + two * 30103) >> 5) & (SLOTS - 1)
-        slot = base_slot + place
+        slot[0] = mixed >> 4
+        two *= 30103
+        two += mixed
+        slot[1] = two >> 5
+        slot &= SLOTS - 1
+        slot += base_slot
         entry = guess.take(slot)
-        seen, sure = entry & 0xFFFF, entry >> 16
-        cell = base_cell + sure
+        trust, seen = entry >> 16, entry & 0xFFFF
+        cell = base_cell + trust
         known = record.take(cell)
-        stretched = STRETCH.take(known >> 4)
-        mixed = weight * stretched
-        mixed = (mixed[0] + mixed[1] + mixed[2]) >> 16
-        p = SQUASH.take(mixed + 2048, mode="clip")
-        x = None if words is not None else out[step].astype(np.int64)
-        right = None if x is None else seen == x
-        hit = coder.bit(None, p, None if x is None else right.any(0))
-        some, others = np.flatnonzero(hit), np.flatnonzero(~hit)
-        if x is None:
-            x = np.zeros(lanes, np.int64)
-        for k, own in ((2, seen[2]), (1, seen[1])):  # which order is right: 2, else 1, else 0
-            if not len(some):
-                break
-            q = which[k - 1, some]
-            b = coder.bit(some, q, None if right is None else right[k][some])
-            which[k - 1, some] = q + ((b * 65408 + 64 - q) >> 5)
-            x[some[b]] = own[some[b]]
-            some = some[~b]
-        x[some] = seen[0][some]
-        if len(others):
-            found = coder.symbol(others, counts.take(others, 0), total.take(others), REST, None if words is not None else x[others])
-            x[others] = found
-            counts[others, found >> REST] += GAIN
-            total[others] += GAIN
-        if words is not None:
-            right = seen == x
+        chosen = np.where(trust[1] >= trust[0], seen[1], seen[0])
+        other = seen != chosen
+        own = STRETCH.take(known >> 4)
+        np.multiply(own, SIGN.take(other), out=bent[:2])
+        bent[2] = models.bent.take(chosen)
+        sums = weight * bent
+        p = SQUASH.take((sums[0] + sums[1] + sums[2] >> 16) + 2048, mode="clip")
+        x = None if reads else ahead[step % 64]
+        hit = coder.bit(p, None if reads else x == chosen)
+        some = np.flatnonzero(~hit)
+        if reads:
+            x = chosen.astype(np.int64)
+            before = one[some]
+            at = coder.peek(some, ROW)
+            begin = models.taken.take(before)
+            width = (1 << ROW) - begin
+            escaped = at >= begin
+            inside = np.flatnonzero(~escaped)
+            place = models.listed_at(before[inside], at[inside])
+            begin[inside], width[inside] = models.pair_begin[place], models.pair_share[place]
+            x[some[inside]] = models.pairs[place] & 0xFFFF
+            coder.took(some, begin, width, ROW)
+            some = some[escaped]
+            own = symbols[coder.peek(some, PRECISE)]
+            x[some] = own
+            coder.took(some, models.begin[own], models.width[own], PRECISE)
             out[step] = x
-        weight += (stretched * ((hit * np.int32(65536) - p) >> 2)) >> 14
-        np.minimum(np.maximum(weight, -FAR, out=weight), FAR, out=weight)  # three products stay within 32 bits
+        else:
+            coder.write(some, begins[step % 64].take(some), widths[step % 64].take(some), ROW)
+            some = some[~listed[step % 64].take(some)]
+            own = x[some]
+            coder.write(some, models.begin[own], models.width[own], PRECISE)
+        bent *= hit * np.int32(16384) - (p >> 2)
+        bent >>= 14
+        weight += bent
+        if step % 16 == 15:  # three products stay within 32 bits
+            np.minimum(np.maximum(weight, -FAR, out=weight), FAR, out=weight)
+        right = seen == x
         record[cell] = known + ((right * np.int32(65408) + np.int32(64) - known) >> 4)
-        state = right * 4 + sure
-        guess[slot] = np.where(KEPT.take(state), seen, x) | TRUST.take(state)
-        two, one = one, x
-    if words is None:
-        coder.finish()
-        return coder.words
-    return out
+        state = right * 4 + trust
+        guess[slot] = np.where(state, seen, x) | TRUST.take(state)  # a wrong guess without trust goes
+        two, one = one.copy(), x
+    if reads:
+        return out
+    coder.finish()
+    return coder.words
 
 
-def encode_blocks(ids: np.ndarray) -> tuple[int, list[bytes]]:
-    """The block size, and the coded words of each block of ids (below 65536)."""
-    n = len(ids)
-    size = int(min(MOST_IDS, max(LEAST_IDS, -(-n // 1024))))
-    blocks = -(-n // size)
-    padded = np.zeros(blocks * size, np.uint16)
-    padded[:n] = ids
+def encode_blocks(ids: np.ndarray, models: Models, block: int = BLOCK) -> list[bytes]:
+    """The coded words of each block of ids (below 65536); the last one is filled up with its last id."""
+    blocks = -(-len(ids) // block)
+    padded = np.full(blocks * block, ids[-1] if len(ids) else 0, np.uint16)
+    padded[: len(ids)] = ids
     out = []
-    for at in range(0, blocks, LANES):
-        part = padded.reshape(blocks, size)[at : at + LANES]
-        words = _code(len(part), size, np.ascontiguousarray(part.T), None)
-        out += [words.data[i, :k].astype("<u2").tobytes() for i, k in enumerate(words.at.tolist())]
-    return size, out
+    for part in np.array_split(padded.reshape(blocks, block), max(1, -(-blocks // LANES))):
+        if len(part):
+            out += _code(models, len(part), block, np.ascontiguousarray(part.T), None).settled()
+    return out
 
 
-def decode_blocks(size: int, blocks: list[bytes]) -> np.ndarray:
-    """The ids of all blocks, [blocks, size]."""
-    out = [np.zeros((0, size), np.uint16)]
+def decode_blocks(models: Models, block: int, blocks: list[bytes]) -> np.ndarray:
+    """The ids of all blocks, [blocks, block]."""
+    out = [np.zeros((0, block), np.uint16)]
     for at in range(0, len(blocks), LANES):
         part = blocks[at : at + LANES]
-        words = _Words(len(part), max(len(b) for b in part) // 2 + 1)
-        for i, b in enumerate(part):
-            words.data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-        out.append(_code(len(part), size, None, words).T)
+        size = max(len(b) for b in part) // 2 + 8
+        words = _Words(len(part), 0, np.uint16)
+        words.data = np.ascontiguousarray(np.frombuffer(b"".join(b.ljust(2 * size, b"\0") for b in part), "<u2").reshape(-1, size).T).reshape(-1)
+        out.append(_code(models, len(part), block, None, words).T.astype(np.uint16))
     return np.concatenate(out)
 
 
-def to_file(keys: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    size, blocks = encode_blocks(ids)
-    own = np.zeros(len(blocks) * size, np.uint16)
+def _sums(ids: np.ndarray, block: int) -> np.ndarray:
+    """CRC-32 of each block as it is coded."""
+    return np.array([zlib.crc32(row.tobytes()) for row in ids.reshape(-1, block).astype("<u4")], "<u4")
+
+
+def to_segment(keys: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
+    models = Models.of(ids)
+    blocks = encode_blocks(ids, models, block)
+    own = np.full(len(blocks) * block, ids[-1] if len(ids) else 0, np.uint16)
     own[: len(ids)] = ids
-    sums = np.array([zlib.crc32(x.tobytes()) for x in own.reshape(len(blocks), size).astype("<u4")], "<u4")
-    tables = b"".join(np.ascontiguousarray(a).tobytes() for a in (keys.astype("<i8"), known.astype("u1"), counts.astype("<i8"), np.array([len(b) // 2 for b in blocks], "<u4"), sums))
-    return MAGIC + struct.pack("<QQQQI", size, len(blocks), len(ids), len(keys), zlib.crc32(tables)) + tables + b"".join(blocks)
-
-
-def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """keys, known, counts, ids; a damaged file is an error that names the block."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a file of ids")
-    size, n_blocks, n_ids, n_docs, total = struct.unpack_from("<QQQQI", data, 8)
-    at = 8 + struct.calcsize("<QQQQI")
-    spans = [("<i8", n_docs), ("u1", n_docs), ("<i8", n_docs), ("<u4", n_blocks), ("<u4", n_blocks)]
-    end = at + sum(np.dtype(k).itemsize * n for k, n in spans)
-    if zlib.crc32(data[at:end]) != total:
-        raise ValueError("the tables of a file of ids are damaged")
-    found = []
-    for k, n in spans:
-        found.append(np.frombuffer(data, k, n, at))
-        at += np.dtype(k).itemsize * n
-    keys, known, counts, words, sums = found
-    blocks = []
-    for n in words.tolist():
-        blocks.append(data[at : at + 2 * n])
-        at += 2 * n
-    ids = decode_blocks(size, blocks)
-    for i, row in enumerate(ids.astype("<u4")):
-        if zlib.crc32(row.tobytes()) != sums[i]:
-            raise ValueError(f"block {i} of a file of ids is damaged")
-    return keys, known.astype(bool), counts, ids.reshape(-1)[:n_ids]
+    dumped = models.dump()
+    tables = b"".join(np.ascontiguousarray(a).tobytes() for a in (keys.astype("<i8"), known.astype("u1"), counts.astype("<i8"), np.array([len(b) // 2 for b in blocks], "<u4"), _sums(own, block))) + dumped
+    return MAGIC + struct.pack("<QQQQQI", block, len(blocks), len(ids), len(keys), len(dumped), zlib.crc32(tables)) + tables + b"".join(blocks)
+
+
+def from_file(data: bytes):
+    """keys, known, counts, ids of each segment; a damaged one is an error that names the block."""
+    at, head = 0, struct.calcsize("<QQQQQI")
+    while at < len(data) or not data:
+        if data[at : at + 8] != MAGIC or len(data) < at + 8 + head:
+            raise ValueError("not a file of ids")
+        size, n_blocks, n_ids, n_docs, n_models, total = struct.unpack_from("<QQQQQI", data, at + 8)
+        at += 8 + head
+        spans = [("<i8", n_docs), ("u1", n_docs), ("<i8", n_docs), ("<u4", n_blocks), ("<u4", n_blocks), ("u1", n_models)]
+        end = at + sum(np.dtype(k).itemsize * n for k, n in spans)
+        if end > len(data) or zlib.crc32(data[at:end]) != total:
+            raise ValueError("the tables of a file of ids are damaged")
+        found = []
+        for k, n in spans:
+            found.append(np.frombuffer(data, k, n, at))
+            at += np.dtype(k).itemsize * n
+        keys, known, counts, words, sums, models = found
+        blocks = []
+        for n in words.tolist():
+            blocks.append(data[at : at + 2 * n])
+            at += 2 * n
+        ids = decode_blocks(Models.load(models.tobytes()), size, blocks).reshape(-1)
+        wrong = np.flatnonzero(_sums(ids, size) != sums)
+        if len(wrong):
+            raise ValueError(f"block {wrong[0]} of a file of ids is damaged")
+        yield keys, known.astype(bool), counts, ids[:n_ids]
 
 
 # ---- the tokenizer
@@ -293,21 +437,31 @@ _TOKENIZERS: dict = {}
 
 class Tokenizer:
     """The library's ids, by words: a text without neighbouring white space is cut at its blanks, which the library's
-    pattern always does too, and each distinct word goes through the library once as long as it is remembered."""
+    pattern always does too, and each distinct word goes through the library once as long as it is remembered. A text
+    that holds an added token (the library finds these in any text, whatever add_special_tokens says) goes as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
-        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        if max(vocabulary.values(), default=0) > 65535:
+            raise ValueError("ids above 65535 don't fit into files of ids")
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a blank
         self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        #: A blank next to other white space, or at an end: where blanks aren't boundaries.
-        self.odd = re.compile(r"\s(?<= )\s|\s(?= )(?<! )|^ | $").search
+        #: A blank next to other white space.
+        self.beside = re.compile(r"\s(?<! ) | \s(?<! )").search
+
+    def cut(self, text: str) -> list[str] | None:
+        """A text's words, if each blank is a boundary: none next to white space or at an end, and no added token."""
+        found = text.split(" ")
+        if (found != text.split() and ("" in found or self.beside(text))) or any(a in text for a in self.added):
+            return None
+        return found
 
     def whole(self, found: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
@@ -322,20 +476,27 @@ class Tokenizer:
             out += [data[a:b] for a, b in zip(cut, cut[1:])]
         return out
 
+    def known(self, cut: list[str]) -> bytes | None:
+        """The ids of a text's words, if all are remembered."""
+        try:
+            return self.first[cut[0]] + b"".join(map(self.later.__getitem__, cut[1:]))
+        except KeyError:
+            return None
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as 16-bit numbers."""
-        cut = [None if self.odd(t) else t.split(" ") for t in batch]
         if len(self.later) > MEMO_WORDS:
             self.first.clear()
             self.later.clear()
-        fresh = {w for c in cut if c for w in c[1:]}
-        fresh = [w for w in fresh if w not in self.later]
+        cut = [self.cut(t) for t in batch]
+        out = [None if c is None else self.known(c) for c in cut]
+        new = [c for c, found in zip(cut, out) if c is not None and found is None]
+        fresh = [w for w in {w for c in new for w in c[1:]} if w not in self.later]
         self.later.update(zip(fresh, self.words(fresh), strict=True))
-        heads = [w for w in {c[0] for c in cut if c} if w not in self.first]
+        heads = [w for w in {c[0] for c in new} if w not in self.first]
         self.first.update(zip(heads, self.whole(heads)))
         odd = iter(self.whole([t for t, c in zip(batch, cut) if c is None]))
-        later = self.later.__getitem__
-        return [next(odd) if c is None else self.first[c[0]] + b"".join(map(later, c[1:])) for c in cut]
+        return [next(odd) if c is None else self.known(c) if found is None else found for c, found in zip(cut, out)]
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -350,16 +511,21 @@ def tokenizer(path: str) -> Tokenizer:
 # ---- Spark
 
 
-def _write(uri: str, name: str, data: bytes) -> None:
+def _begin(uri: str, name: str):
+    """A stream to a temporary file beside the one that is wanted, and its path."""
     fs, path = pa.fs.FileSystem.from_uri(uri)
     draft = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(draft) as out:
-        out.write(data)
+    return fs.open_output_stream(draft), draft
+
+
+def _finish(out, uri: str, draft: str, name: str) -> None:
+    out.close()
+    fs, path = pa.fs.FileSystem.from_uri(uri)
     fs.move(draft, f"{path}/{name}")
 
 
 def write_ids(df: DataFrame, tokenizer_path: str, uri: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the ids of all texts to files in the folder uri; (file, n_docs, n_ids, n_bytes) of each file."""
+    """Write the ids of all texts to files in the folder uri; (file, n_docs, n_ids, n_bytes) of each file, by number."""
     string_columns(df, key, text)
     bounded_batches(df)
     if "://" not in uri:
@@ -368,30 +534,53 @@ def write_ids(df: DataFrame, tokenizer_path: str, uri: str, key: str = "doc_id",
     fs, path = pa.fs.FileSystem.from_uri(uri)
     fs.create_dir(path, recursive=True)
     files = parts_for(df, FILE_BYTES, 24)
-    ordered = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(files, "key").sortWithinPartitions("key", "text")
+    ordered = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    # the beginning of the text parts rows that repeat an id, in the order that they are sorted in
+    ordered = ordered.repartitionByRange(files, "key", F.left("text", F.lit(64))).sortWithinPartitions("key", "text")
     ordered = ordered.withColumn("file", F.spark_partition_id())
 
     def run(batches):
         encode = tokenizer(tokenizer_path).encode
-        keys, known, counts, parts, file = [], [], [], [], None
         end = np.array([END], "<u2").tobytes()
+        keys, known, counts, parts, held, done, file = [], [], [], [], 0, [0, 0, 0], None
+
+        def segment() -> bytes:
+            ids = np.frombuffer(b"".join(parts), "<u2")
+            data = to_segment(np.concatenate(keys), np.concatenate(known), np.concatenate(counts), ids)
+            for k, n in enumerate((sum(map(len, keys)), len(ids), len(data))):
+                done[k] += n
+            for held_list in (keys, known, counts, parts):
+                held_list.clear()
+            return data
+
+        out, draft = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024)
-                file = rows.column(2)[0].as_py()
+                if file is None:
+                    file = rows.column(2)[0].as_py()
+                    out, draft = _begin(uri, file_name(file))
                 keys.append(rows.column(0).fill_null(0).to_numpy(zero_copy_only=False))
                 known.append(rows.column(0).is_valid().to_numpy(zero_copy_only=False))
                 found = encode(texts(rows.column(1)))
                 counts.append(np.array([len(x) // 2 + 1 for x in found]))
                 parts.append(end.join(found) + end)
+                held += int(counts[-1].sum())
+                if held >= SEGMENT:
+                    out.write(segment())
+                    held = 0
         if file is not None:
-            ids = np.frombuffer(b"".join(parts), "<u2")
-            data = to_file(np.concatenate(keys), np.concatenate(known), np.concatenate(counts), ids)
-            name = f"ids-{file:06d}.ctm"
-            _write(uri, name, data)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(map(len, keys))]), pa.array([len(ids)]), pa.array([len(data)])], ["file", "n_docs", "n_ids", "n_bytes"])
+            if held:
+                out.write(segment())
+            _finish(out, uri, draft, file_name(file))
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), *(pa.array([n]) for n in done)], ["file", "n_docs", "n_ids", "n_bytes"])
+        trim()
+
+    return ordered.mapInArrow(run, "file int, n_docs long, n_ids long, n_bytes long")
 
-    return ordered.mapInArrow(run, "file string, n_docs long, n_ids long, n_bytes long")
+
+def file_name(number: int) -> str:
+    return f"ids-{number:09d}.ctm"
 
 
 def read_ids(spark, uri: str, with_ids: bool = False) -> DataFrame:
@@ -402,17 +591,20 @@ def read_ids(spark, uri: str, with_ids: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, known, counts, ids = from_file(content.as_py())
-                ends = np.cumsum(counts)
-                wide = ids.astype("<u4")
-                pieces = [wide[e - n : e] for n, e in zip(counts.tolist(), ends.tolist())]
-                columns = [pa.array(keys, mask=~known), pa.array([path.rsplit("/", 1)[-1]] * len(keys), pa.string()), pa.array(ends - counts), pa.array(counts), pa.array([zlib.crc32(p.tobytes()) for p in pieces], pa.int64())]
-                names = ["key", "file", "within", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    columns, names = [*columns, pa.array([p.tobytes() for p in pieces], pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return files.mapInArrow(run, "key long, file string, within long, n_tokens long, ids_crc32 long" + more)
+                number, before = int(path.rsplit("/", 1)[-1][4:-4]), 0
+                for keys, known, counts, ids in from_file(content.as_py()):
+                    ends = np.cumsum(counts)
+                    wide = ids.astype("<u4")
+                    pieces = [wide[e - n : e] for n, e in zip(counts.tolist(), ends.tolist())]
+                    columns = [pa.array(keys, mask=~known), pa.array(np.full(len(keys), number, np.int32)), pa.array(before + ends - counts), pa.array(counts), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
+                    names = ["key", "file", "within", "n_tokens", "ids_crc32"]
+                    if with_ids:
+                        columns, names = [*columns, pa.array([p.tobytes() for p in pieces], pa.binary())], [*names, "ids"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    before += len(ids)
+        trim()
+
+    return files.mapInArrow(run, "key long, file int, within long, n_tokens long, ids_crc32 long" + more)
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, uri: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -421,6 +613,7 @@ def round_trip(df: DataFrame, tokenizer_path: str, uri: str | None = None, key:
     uri = uri or f"{shared_dir(spark)}/vectriage/ids-{uuid.uuid4().hex}"
     written = write_ids(df, tokenizer_path, uri, key, text)
     totals = materialize(written.select("file", "n_ids"), "id-files")
+    # one short row for each file, of some megabytes of ids each
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("__start"))
     if totals.isEmpty():
