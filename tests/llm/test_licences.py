@@ -13,7 +13,7 @@ def test_equivalent_writings(spark):
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, licence_id string")
     got = [(r.doc_id, r.licence_id) for r in licences.scan(df, licences.known(spark)).collect()]
-    assert sorted(got) == [(1, None), (2, "MIT"), (3, "MIT"), (4, None), (5, None), (6, None), (7, None), (8, None), (9, "CC-BY-4.0"), (9, "CC-BY-4.0"), (10, None)] or sorted(got, key=str)
+    assert len(got) == len(rows) and got.count((9, "CC-BY-4.0")) == 2
     assert dict(got) == {1: None, 2: "MIT", 3: "MIT", 4: None, 5: None, 6: None, 7: None, 8: None, 9: "CC-BY-4.0", 10: None}
     assert licences.scan(df.limit(0), licences.known(spark)).count() == 0
     assert licences.scan(df, licences.known(spark, [])).where("licence_id is not null").count() == 0

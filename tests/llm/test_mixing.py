@@ -61,7 +61,8 @@ def test_epochs_and_prefix(spark):
     assert sorted(r.taken for r in got if r.epoch == 2) == [1, 3, 3, 3]
     again = mixed(spark, rows, {}, budget=67, max_epochs=5).collect()
     assert {r.doc_id for r in again if r.epoch == 2} <= {r.doc_id for r in got if r.epoch == 2}
-    assert {r.doc_id for r in mixed(spark, rows, {}, budget=67, max_epochs=5, seed=2).collect() if r.epoch == 2} != {r.doc_id for r in again if r.epoch == 2} or True
+    seeds = [frozenset(r.doc_id for r in mixed(spark, rows, {}, budget=67, max_epochs=5, seed=s).collect() if r.epoch == 2) for s in range(2, 5)]
+    assert len({*seeds, frozenset(r.doc_id for r in again if r.epoch == 2)}) > 1  # the order of an epoch comes from the seed
 
 
 def test_edges(spark):
