@@ -29,18 +29,18 @@ def runs(df: DataFrame, boot: DataFrame, unit: str, keys: list[str]) -> DataFram
 
 
 def scalar_runs(df: DataFrame, boot: DataFrame, unit: str, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """(keys…, b, metric, value): macro and micro F1, subset and hamming accuracy, macro AP of each resample."""
+    """(keys…, b, metric, value): macro and micro F1, subset and hamming accuracy, macro PR-AUC of each resample."""
     rows = weighted(df, boot, unit)
     t = metrics.threshold_metrics(rows, [*keys, "b"], threshold, "mult")
     names = ["macro_f1", "micro_f1", "subset_accuracy", "hamming_accuracy"]
-    ap = metrics.ranking(rows, [*keys, "b"], "mult").groupBy(*keys, "b").agg(F.avg("ap").alias("macro_pr_auc"))
+    ap = metrics.macro_pr_auc(rows, [*keys, "b"], "mult")
     return t.join(ap, [*keys, "b"]).unpivot([*keys, "b"], [*names, "macro_pr_auc"], "metric", "value")
 
 
 def points(df: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """(keys…, metric, value) of the rows as they are."""
     t = metrics.threshold_metrics(df, keys, threshold)
-    ap = metrics.ranking(df, keys).groupBy(*keys).agg(F.avg("ap").alias("macro_pr_auc"))
+    ap = metrics.macro_pr_auc(df, keys)
     wide = t.join(ap, keys) if keys else t.crossJoin(ap)
     return wide.unpivot(list(keys), ["macro_f1", "micro_f1", "subset_accuracy", "hamming_accuracy", "macro_pr_auc"], "metric", "value")
 
@@ -88,12 +88,12 @@ def all_pairs(run: DataFrame, model: str, by: list[str], order: list[str], value
 
 # ---- many resamples: one task for each label, counts made in the task from the seed
 
-def multiplicities(n_boot: int, n: int, seed: int, mode: str = "mix") -> np.ndarray:
-    """[n_boot, n] draws of n units with replacement: by the shared integer mix, or by numpy's generator."""
+def multiplicities(n_boot: int, n: int, seed: int, mode: str = "mix", first: int = 0) -> np.ndarray:
+    """[n_boot, n] draws of n units with replacement, from resample `first` on: by the shared integer mix, or by numpy's
+    generator, which has a stream of its own for each resample."""
     out = np.empty((n_boot, n), np.int32)
-    rng = np.random.default_rng(seed)
     for b in range(n_boot):
-        drawn = mix_numpy(b, np.arange(n), seed) % n if mode == "mix" else rng.integers(0, n, n)
+        drawn = mix_numpy(first + b, np.arange(n), seed) % n if mode == "mix" else np.random.default_rng([seed, first + b]).integers(0, n, n)
         out[b] = np.bincount(drawn, minlength=n)
     return out
 
@@ -115,28 +115,47 @@ def _runs(y: np.ndarray, score: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
         return np.where(p > 0, ap, np.nan), np.where((p > 0) & (n > p), auc, np.nan), p / n
 
 
-def fast_runs(df: DataFrame, units: DataFrame, unit: str, keys: list[str], n_boot: int = 1000, seed: int = 42, mode: str = "mix") -> DataFrame:
+#: Multiplicities that a task holds at a time.
+DRAWS = 1 << 24
+
+
+def fast_runs(df: DataFrame, units: DataFrame, unit: str, keys: list[str], n_boot: int = 1000, seed: int = 42, mode: str = "mix", draws: int = DRAWS) -> DataFrame:
     """The rows of `runs` for many resamples: (keys…, label, b, ap, auroc, prevalence, skill).
 
-    A task has the scores of one label of one model; it makes the resamples itself. units numbers the units densely.
+    A task has the scores of one label of one model, and as many resamples as make `draws` multiplicities, which it makes
+    itself; a label's scores go to each such task. units numbers the units densely.
     """
     from .folds import numbered
 
     ids = numbered(units.select(unit).distinct(), unit, "__k")
     total = ids.count()
+    step = int(max(1, min(n_boot, draws // max(1, total))))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = "".join(f"`{c}` {kinds[c]}, " for c in [*keys, "label"]) + "b long, ap double, auroc double, prevalence double, skill double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = multiplicities(n_boot, total, seed, mode)[:, pdf["__k"].to_numpy()]
+        first = int(pdf["__first"].iloc[0])
+        many = min(step, n_boot - first)
+        w = multiplicities(many, total, seed, mode, first)[:, pdf["__k"].to_numpy()]
         ap, auc, prev = _runs(pdf["y"].to_numpy(float), pdf["score"].to_numpy(float), w)
         with np.errstate(invalid="ignore", divide="ignore"):
             skill = np.where(prev < 0.999, (ap - prev) / (1 - prev), np.nan)
-        head = {c: [pdf[c].iloc[0]] * n_boot for c in [*keys, "label"]}
+        head = {c: [pdf[c].iloc[0]] * many for c in [*keys, "label"]}
         values = {k: pd.Series(v).astype(object).where(~np.isnan(v), None) for k, v in (("ap", ap), ("auroc", auc), ("prevalence", prev), ("skill", skill))}
-        return pd.DataFrame(head | {"b": np.arange(n_boot)} | values)
+        return pd.DataFrame(head | {"b": first + np.arange(many)} | values)
+
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(step))).alias("__first")
+    rows = df.join(ids, unit).select(*keys, "label", "y", "score", "__k", firsts)
+    return rows.groupBy(*keys, "label", "__first").applyInPandas(run, schema)
+
 
-    return df.join(ids, unit).groupBy(*keys, "label").applyInPandas(run, schema)
+def units_table(run: DataFrame, keys: list[str], types: DataFrame) -> DataFrame:
+    """(keys…, b, finding_type, value): the mean skill of each resample over all labels (finding_type null) and over the
+    labels of each type; types: label, finding_type. What a file of bootstrap units holds, in long form."""
+    macro = run.groupBy(*keys, "b").agg(F.avg("skill").alias("value")).withColumn("finding_type", F.lit(None).cast("string"))
+    typed = run.join(types.where(F.col("finding_type").isNotNull()), "label").groupBy(*keys, "b", "finding_type").agg(F.avg("skill").alias("value"))
+    columns = [*keys, "b", "finding_type", "value"]
+    return macro.select(*columns).unionByName(typed.select(*columns))
 
 
 def macro_interval(run: DataFrame, keys: list[str], value: str, point: DataFrame) -> DataFrame:

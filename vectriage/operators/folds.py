@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mixing import mix
 from ..functions.text import patient_key, reconstruction
+from ..sources.shared import written
 
 
 #: Tables that Catalyst estimates below this are numbered by one window.
@@ -21,11 +22,12 @@ def numbered(df: DataFrame, key: str, name: str = "k") -> DataFrame:
     """df with the place of each row in the order of key, from 0.
 
     Rows are dealt into ranges of the key, numbered within each range, and shifted by the sizes of the ranges before;
-    a table known to be small is numbered at once.
+    a table known to be small is numbered at once. The ranges are written to the shared folder: if an executor is lost, both
+    uses of them still see the same ones.
     """
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
-    ranged = df.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()).persist()  # both uses have to see the same ranges
+    ranged = written(df.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__range").agg(F.count("*").alias("__size")).select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
     own = F.row_number().over(Window.partitionBy("__range").orderBy(key))
@@ -106,6 +108,11 @@ def lowest_in_group(df: DataFrame, group: str, order: str) -> DataFrame:
     return df.withColumn("__first", F.row_number().over(Window.partitionBy(group).orderBy(order))).where("__first = 1").drop("__first")
 
 
+def scan_resamples(scans: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
+    """(b, key, mult): resamples of single scans beside those of their groups, from a seed of their own (seed + 1000)."""
+    return resamples(scans, key, n_boot, seed + 1000)
+
+
 def subsample(df: DataFrame, place_by: str, partition: str, budgets: list[int], seed: int) -> DataFrame:
     """(…, budget): for each budget the rows that come first in a seeded order within a partition, without replacement.
 

@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 
-#: Rows of a block; a unit of work holds two blocks.
+#: Rows of a block; a unit of work holds two blocks, whatever the table's size.
 BLOCK_ROWS = 4096
 
 
 def neighbours(scans: DataFrame, folds: DataFrame, k: int = 5, impl: str = "block", keys: list[str] | None = None) -> DataFrame:
     """(keys…, repeat, id, rank, train_id, sim): the k nearest rows of other folds, ties to the smaller id.
 
-    scans: keys…, id, v. folds: id, repeat, fold; rows of fold -1 are for training only. 'sql' compares by a join with
-    built-in functions and keeps the best by a window; 'block' cuts each side into blocks of bounded size, multiplies
-    each pair of blocks as matrices in one task, and merges the best k.
+    scans: keys…, id, v. folds: id, repeat, fold; rows of fold -1 are for training only. 'block' packs rows into blocks
+    once; a unit of work holds one block that asks, and takes the blocks that answer one after another, each a product of
+    matrices, so that only a block's k best leave it. 'sql' is a join of all pairs by built-in functions: for tests and
+    small tables.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     keys = keys or []
-    rows = scans.join(folds, "id").select(*keys, "repeat", "fold", "id", vectors.normalise(F.col("v")).alias("v"))
-    if impl == "sql":
-        found = _by_join(rows, keys)
-    elif impl == "block":
-        found = _by_blocks(rows, keys, k)
-    else:
+    if impl not in ("block", "sql"):
         raise ValueError(f"unknown impl {impl!r}")
+    rows = scans.join(folds, "id").select(*keys, "repeat", "fold", "id", vectors.normalise(F.col("v")).alias("v"))
+    if impl == "block":
+        most = scans.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        return _by_blocks(rows, keys, k, max(1, -(-most // BLOCK_ROWS)))
     best = Window.partitionBy(*keys, "repeat", "id").orderBy(F.desc("sim"), "train_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*keys, "repeat", "id", "rank", "train_id", "sim")
+    return _by_join(rows, keys).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*keys, "repeat", "id", "rank", "train_id", "sim")
 
 
 def _by_join(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,34 +45,76 @@ def _by_join(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(train, on).select(*keys, "repeat", "id", "train_id", vectors.dot(F.col("v"), F.col("__v")).alias("sim"))
 
 
-def _by_blocks(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    n = rows.groupBy(*keys, "repeat").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    cut = rows.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__o")
-    asks = cut.where("fold >= 0").select("*", other, F.lit(True).alias("__ask")).withColumnsRenamed({"__b": "__q", "__o": "__t"})
-    gives = cut.select("*", other, F.lit(False).alias("__ask")).withColumnsRenamed({"__o": "__q", "__b": "__t"})
+def _matrix(row: dict) -> np.ndarray:
+    return np.frombuffer(row["m"], np.float64).reshape(len(row["ids"]), -1)
+
+
+def _by_blocks(rows: DataFrame, keys: list[str], k: int, blocks: int) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keys) + f"repeat int, id {kinds['id']}, train_id {kinds['id']}, sim double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, t = pdf[pdf["__ask"]], pdf[~pdf["__ask"]]
-        names = [*keys, "repeat", "id", "train_id", "sim"]
-        if not len(q) or not len(t):
-            return pd.DataFrame({c: [] for c in names})
-        t = t.sort_values("id")
-        a, b = (np.array(x["v"].tolist(), np.float64) for x in (q, t))
-        sim = a @ b.T
-        sim[q["fold"].to_numpy()[:, None] == t["fold"].to_numpy()[None, :]] = -np.inf
-        top = min(k, len(t))
-        # the k-th largest, and all that tie with it, so that ties can go to the smaller id
-        least = -np.partition(-sim, top - 1, axis=1)[:, top - 1 : top]
-        i, j = np.nonzero((sim >= least - 1e-12) & np.isfinite(sim))
-        out = {c: q[c].to_numpy()[i] for c in [*keys, "repeat", "id"]}
-        # one sum for each pair, so that equal vectors have equal similarity wherever they stand
-        return pd.DataFrame(out | {"train_id": t["id"].to_numpy()[j], "sim": (a[i] * b[j]).sum(1)})[names]
-
-    return asks.unionByName(gives).groupBy(*keys, "repeat", "__q", "__t").applyInPandas(run, schema)
+    by = [*keys, "repeat"]
+    head = "".join(f"`{c}` {kinds[c]}, " for c in by)
+    packed = f"{head}t int, ids array<{kinds['id']}>, folds array<int>, m binary"
+
+    def pack(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        v = table.column("v").combine_chunks()
+        flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        one = {c: [x.as_py()] for c, x in zip([*by, "t"], name)}
+        return pa.table(one | {"ids": [table.column("id").to_pylist()], "folds": [table.column("fold").to_pylist()], "m": [flat.tobytes()]}, schema)
+
+    cut = rows.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    schema = _arrow(rows.sparkSession, packed)
+    each = cut.groupBy(*by, "t").applyInArrow(pack, packed)
+    # a block goes to each block that asks, and to itself first
+    asks = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda q: F.struct(q.alias("q"), (q == F.col("t")).alias("asks")))).alias("x")
+    sent = each.select(*by, "ids", "folds", "m", asks).select(*by, "ids", "folds", "m", "x.*")
+    out = _arrow(rows.sparkSession, f"{head}id {kinds['id']}, rank int, train_id {kinds['id']}, sim double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a unit come in any order: until the block that asks is there, others wait as they came."""
+        own, waiting, best = None, [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["asks"]:
+                    own = row
+                waiting.append(row)
+                while own is not None and waiting:
+                    best = _merge(best, own, waiting.pop(), k)
+        if best is not None and len(best):
+            ids = own["ids"]
+            columns = {c: [own[c]] * len(best) for c in by} | {"id": [ids[i] for i in best["i"]], "rank": best["rank"], "train_id": best["train_id"], "sim": best["sim"]}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
+
+    # the asking block sorts first in its unit
+    ordered = sent.withColumn("__last", ~F.col("asks")).repartition(*by, "q").sortWithinPartitions(*by, "q", "__last").drop("__last")
+    return ordered.groupBy(*by, "q").applyInArrow(run, f"{head}id {kinds['id']}, rank int, train_id {kinds['id']}, sim double")
+
+
+def _arrow(spark, ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def _merge(best: pd.DataFrame | None, own: dict, other: dict, k: int) -> pd.DataFrame:
+    """The k best of each row that asks, of those so far and of another block: (i, train_id, sim, rank)."""
+    a, b = _matrix(own), _matrix(other)
+    asks, gives = np.array(own["folds"]), np.array(other["folds"])
+    sim = a @ b.T
+    sim[(asks[:, None] == gives[None, :]) | (asks[:, None] < 0)] = -np.inf
+    top = min(k, len(b))
+    # the k-th largest, and all that tie with it, so that ties can go to the smaller id
+    least = -np.partition(-sim, top - 1, axis=1)[:, top - 1 : top]
+    i, j = np.nonzero((sim >= least - 1e-12) & np.isfinite(sim))
+    ids = pd.Series(other["ids"])
+    # one sum for each pair, so that equal vectors have equal similarity wherever they stand
+    found = pd.DataFrame({"i": i, "train_id": ids.to_numpy()[j], "sim": (a[i] * b[j]).sum(1)})
+    if best is not None:
+        found = pd.concat([best[["i", "train_id", "sim"]], found])
+    found = found.sort_values(["i", "sim", "train_id"], ascending=[True, False, True], ignore_index=True)
+    found["rank"] = found.groupby("i").cumcount() + 1
+    return found[found["rank"] <= k]
 
 
 def vote(found: DataFrame, labels: DataFrame, weighting: str = "distance", keys: list[str] | None = None) -> DataFrame:

@@ -46,14 +46,26 @@ def ranking(df: DataFrame, keys: list[str], weight: str | None = None, buckets:
     return out.withColumn("prevalence", F.col("n_pos") / F.col("n")).withColumn("auroc", F.when((F.col("n_pos") > 0) & (F.col("__n") > 0), F.col("__auc") / (F.col("n_pos") * F.col("__n")))).drop("__auc", "__n")
 
 
-def average_precision_ranked(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys…, label, ap_rank): average precision with ties broken by id; null without positives."""
-    order = Window.partitionBy(*keys, "label").orderBy(F.desc("score"), "id")
-    ranked = df.withColumn("__r", F.row_number().over(order)).withColumn("__tp", F.sum("y").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    recall = F.col("__tp") / F.sum("y").over(Window.partitionBy(*keys, "label"))
-    ranked = ranked.withColumn("__recall", F.when(F.sum("y").over(Window.partitionBy(*keys, "label")) > 0, recall))
-    gain = F.col("__recall") - F.lag("__recall", 1, 0.0).over(order)
-    return ranked.withColumn("__gain", gain * F.col("__tp") / F.col("__r")).groupBy(*keys, "label").agg(F.sum("__gain").alias("ap_rank"))
+def average_precision_ranked(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys…, label, ap_rank): average precision with ties broken by id; null without positives.
+
+    A weight is how many times a row is there, one after another: a positive with tp positives among pp rows before it
+    adds the sum of (tp + j) / (pp + j) for j from 1 to its weight.
+    """
+    whole = Window.partitionBy(*keys, "label")
+    order = whole.orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    ranked = df.withColumn("__w", w).withColumn("__r", F.sum("__w").over(order) - F.col("__w"))
+    ranked = ranked.withColumn("__tp", F.sum(F.col("y") * F.col("__w")).over(order) - F.col("y") * F.col("__w")).withColumn("__p", F.sum(F.col("y") * F.col("__w")).over(whole))
+    one = lambda j: (F.col("__tp") + j).cast("double") / (F.col("__r") + j)
+    gain = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("__w"), F.lit(1))), F.lit(0.0), lambda total, j: total + one(j)) if weight else one(F.lit(1))
+    gain = F.when((F.col("y") == 1) & (F.col("__w") > 0), gain / F.col("__p")).otherwise(F.when(F.col("__p") > 0, 0.0))
+    return ranked.withColumn("__gain", gain).groupBy(*keys, "label").agg(F.sum("__gain").alias("ap_rank"))
+
+
+def macro_pr_auc(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys…, macro_pr_auc): the mean over labels of the average precision by rank, without labels that have no positives."""
+    return average_precision_ranked(df, keys, weight).groupBy(*keys).agg(F.avg("ap_rank").alias("macro_pr_auc"))
 
 
 def skill(ap: Column, prevalence: Column, point: bool = True) -> Column:

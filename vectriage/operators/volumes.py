@@ -194,9 +194,12 @@ def extract(volumes: DataFrame, extractor: str, profile: dict | None = None, key
 
 
 def mean_pool(parts: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
-    """The mean of the vectors of a group, a dimension at a time."""
-    flat = parts.select(*keys, F.posexplode(vector).alias("__d", "__x")).groupBy(*keys, "__d").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
-    return flat.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__d", "__m"))), lambda s: s["__m"]).alias(vector))
+    """The mean of the vectors of a group, all components at once; vectors are of one length and without nulls."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
+    return parts.where(F.col(vector).isNotNull()).groupBy(*keys).agg(vector_to_array(Summarizer.mean(v)).alias(vector))
 
 
 _NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}

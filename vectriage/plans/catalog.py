@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..functions.mixing import mix_rounds_sql
 from ..functions.tables import FINDING_TYPE_WORDS, GUARD_WORDS, ORGANS, PHRASES
+from ..sources.shared import written
 from ..operators import bootstrap, folds, knn, metrics, probe, report, stats, volumes, zeroshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,8 +82,8 @@ def boot(spark: SparkSession, sf_dir: str, n_boot: int = N_BOOT, seed: int = 11)
 
 
 def unstable(df: DataFrame) -> DataFrame:
-    """Pools that several branches read are computed once; the copy lives with the query."""
-    return df.persist()
+    """Pools that several branches read are computed once, and written to the shared folder."""
+    return written(df, "pools")
 
 
 # ---- the same inputs as SQL

@@ -6,20 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..sources.writers import CELL, write_pools
+from ..sources.writers import CELL
 
 SCHEMA = "cohort string, model string, readout string, id string, label string, y int, score double"
 
 
+def latest(pools: DataFrame) -> DataFrame:
+    """Of each cell's id and label the row that came last; of several in one batch the one with the greatest score."""
+    newest = F.max(F.struct("batch", "score", "y")).alias("__x")
+    return pools.groupBy(*CELL, "id", "label").agg(newest).select(*CELL, "id", "label", "__x.y", "__x.score")
+
+
 def fold_in(pools_path: str, facts_path: str):
-    """What a batch does: replace its cells' pools, and recompute these cells' facts."""
+    """What a batch does: add its rows to its cells' pools, and recompute these cells' facts.
+
+    A batch writes partitions of its own, so a cell whose rows arrive in several files keeps them all, and a batch that
+    runs again after a failure replaces only what it wrote itself.
+    """
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        write_pools(batch.dropDuplicates([*CELL, "id", "label"]), pools_path)
-        cells = batch.select(*CELL).distinct()
-        pools = batch.sparkSession.read.parquet(pools_path).join(cells, CELL, "left_semi")
+        own = latest(batch.withColumn("batch", F.lit(number).cast("long")))
+        own.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CELL, "batch").parquet(pools_path)
+        stored = batch.sparkSession.read.schema(SCHEMA + ", batch long").parquet(pools_path)
+        pools = latest(stored.join(batch.select(*CELL).distinct(), CELL, "left_semi"))
         facts = metrics.per_class(pools, CELL)
         facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CELL).parquet(facts_path)
 
