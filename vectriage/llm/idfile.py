@@ -453,15 +453,14 @@ class Tokenizer:
             raise ValueError("ids above 65535 don't fit into files of ids")
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a blank
         self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        #: A blank next to other white space.
-        self.beside = re.compile(r"\s(?<! ) | \s(?<! )").search
+        #: White space other than blanks and line feeds, and a blank next to any.
+        self.others, self.beside = re.compile(r"[^\S \n]").search, re.compile(r"\s(?<! ) | \s(?<! )").search
 
-    def cut(self, text: str) -> list[str] | None:
-        """A text's words, if each blank is a boundary: none next to white space or at an end, and no added token."""
-        found = text.split(" ")
-        if (found != text.split() and ("" in found or self.beside(text))) or any(a in text for a in self.added):
-            return None
-        return found
+    def odd(self, text: str) -> bool:
+        """Is there a blank that isn't a boundary, next to white space or at an end, or an added token?"""
+        if text.startswith(" ") or text.endswith(" ") or "  " in text or " \n" in text or "\n " in text or any(a in text for a in self.added):
+            return True
+        return self.others(text) is not None and self.beside(text) is not None
 
     def whole(self, found: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
@@ -476,27 +475,39 @@ class Tokenizer:
             out += [data[a:b] for a, b in zip(cut, cut[1:])]
         return out
 
-    def known(self, cut: list[str]) -> bytes | None:
-        """The ids of a text's words, if all are remembered."""
-        try:
-            return self.first[cut[0]] + b"".join(map(self.later.__getitem__, cut[1:]))
-        except KeyError:
-            return None
-
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as 16-bit numbers."""
         if len(self.later) > MEMO_WORDS:
             self.first.clear()
             self.later.clear()
-        cut = [self.cut(t) for t in batch]
-        out = [None if c is None else self.known(c) for c in cut]
-        new = [c for c, found in zip(cut, out) if c is not None and found is None]
-        fresh = [w for w in {w for c in new for w in c[1:]} if w not in self.later]
-        self.later.update(zip(fresh, self.words(fresh), strict=True))
-        heads = [w for w in {c[0] for c in new} if w not in self.first]
-        self.first.update(zip(heads, self.whole(heads)))
-        odd = iter(self.whole([t for t, c in zip(batch, cut) if c is None]))
-        return [next(odd) if c is None else self.known(c) if found is None else found for c, found in zip(cut, out)]
+        whole = [t for t in batch if self.odd(t)]
+        cut = [None if self.odd(t) else t.split(" ") for t in batch] if whole else [t.split(" ") for t in batch]
+        out, fresh, heads, gaps = [], {}, {}, []
+        remembered = self.later.get
+        for c in cut:
+            if c is None:
+                out.append(None)
+                continue
+            found = list(map(remembered, c))
+            found[0] = self.first.get(c[0])
+            if found[0] is None:
+                heads[c[0]] = None
+                gaps.append((found, 0, heads, c[0]))
+            if None in found:
+                i = 0
+                for _ in range(found.count(None) - (found[0] is None)):
+                    i = found.index(None, i + 1)
+                    fresh[c[i]] = None
+                    gaps.append((found, i, fresh, c[i]))
+            out.append(found)
+        for names, encode, memo in ((heads, self.whole, self.first), (fresh, self.words, self.later)):
+            new = list(names)
+            names.update(zip(new, encode(new), strict=True))
+            memo.update(names)
+        for found, i, names, word in gaps:
+            found[i] = names[word]
+        odd = iter(self.whole(whole))
+        return [next(odd) if found is None else b"".join(found) for found in out]
 
 
 def tokenizer(path: str) -> Tokenizer:
