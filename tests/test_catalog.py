@@ -28,9 +28,7 @@ def con(sf_dir):
     return c
 
 
-#: Most queries over pools of scores differ in their last step only; these stand for them here, and the driver runs all.
-POOLED = {"knn_prob_distance", "ap_rank", "auroc", "perclass_fact", "f1_subset_hamming", "bootstrap_macro_auroc_ci", "paired_diff_sig", "kendall_w"}
-NAMES = [n for n in catalog.QUERIES if n in catalog.ORACLE and ("pools AS" not in catalog.ORACLE[n] or n in POOLED)]
+NAMES = [n for n in catalog.QUERIES if n in catalog.ORACLE]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -45,7 +43,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize("name", ["evaluate_model", "linear_probe"])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.ORACLE])
 def test_queries_without_sql_give_rows(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
     spark.catalog.clearCache()

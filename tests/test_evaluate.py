@@ -66,3 +66,52 @@ def test_patches_and_windows():
     assert volumes.adaptive_spacing((0.5, 0.6, 2)) == (0.75,) * 3 and volumes.adaptive_spacing((1.5, 1, 2)) == (1,) * 3
     assert volumes.patch_budget(v, (2, 2, 2), 18).size == 18 * 8
     assert volumes.pooled_projection(np.ones((3, 2, 2)), np.ones((1, 4)), np.zeros(1)).tolist() == [4.0]
+
+
+def test_configurations_from_files(tmp_path, monkeypatch):
+    path = tmp_path / "c.json"
+    path.write_text('{"k": 7, "strategy": "${STRATEGY:-kfold}", "unit": "${UNIT_OF}"}')
+    with pytest.raises(KeyError):
+        evaluate.EvalConfig.read(str(path))
+    monkeypatch.setenv("UNIT_OF", "id")
+    cfg = evaluate.EvalConfig.read(str(path), n_boot=3)
+    assert (cfg.k, cfg.strategy, cfg.unit, cfg.n_boot) == (7, "kfold", "id", 3)
+
+
+def test_pairs_are_done_again_when_a_cache_is_newer(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "model_a string, model_b string")
+    done = spark.createDataFrame([("a", "b", 5), ("a", "c", 5)], "model_a string, model_b string, written int")
+    caches = spark.createDataFrame([("a", 1), ("b", 2), ("c", 9)], "model string, written int")
+    assert {tuple(r) for r in evaluate.stale_pairs(pairs, done, caches).collect()} == {("a", "c"), ("b", "c")}
+
+
+def test_orders_and_unit_tables(spark):
+    from vectriage.operators import bootstrap, report
+
+    df = spark.createDataFrame([("m1", 0.1), ("m1", 0.9), ("m2", 0.5), ("m3", 0.9), ("m3", 0.8)], "model string, v double")
+    assert [r.model for r in report.by_greatest(df, "model", "v").orderBy("place").collect()] == ["m1", "m3", "m2"]
+    assert [r.model for r in report.by_difficulty(df, "model", "v").orderBy("place").collect()] == ["m3", "m1", "m2"]
+    assert [r.model for r in report.by_median(df, "model", "v").orderBy("place").collect()] == ["m1", "m2", "m3"]
+    run = spark.createDataFrame([("m", "x", 0, 0.2), ("m", "y", 0, 0.4), ("m", "z", 0, None)], "model string, label string, b long, skill double")
+    types = spark.createDataFrame([("x", "focal"), ("y", "focal"), ("z", None)], "label string, finding_type string")
+    out = {r.finding_type: round(r.value, 9) for r in bootstrap.units_table(run, ["model"], types).collect()}
+    assert out == {None: 0.3, "focal": 0.3}
+
+
+def test_scalar_pairs_as_one_row_each(spark):
+    rng = np.random.default_rng(6)
+    rows = [(m, str(i), i % 7, "l", int(i % 3 == 0), float(rng.random())) for m in ("a", "b") for i in range(40)]
+    scores = spark.createDataFrame(rows, "model string, id string, grp int, label string, y int, score double")
+    cfg = evaluate.EvalConfig(n_boot=4)
+    wide = evaluate.macro_pair_table(evaluate.compare_scalars(scores, cfg, ["a", "b"]), ["macro_f1", "macro_pr_auc"])
+    row = wide.first()
+    assert wide.count() == 1 and row["pair"] == "a vs b" and row["macro_f1_sig"] in ("a", "b", "A", "B", "ns") and float(row["macro_pr_auc_low"]) <= float(row["macro_pr_auc_high"])
+
+
+def test_resamples_in_blocks_are_the_same(spark):
+    from vectriage.operators import bootstrap
+
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([("m", i, "l", int(rng.random() < 0.4), float(rng.integers(0, 9))) for i in range(30)], "model string, u int, label string, y int, score double")
+    whole, cut = (bootstrap.fast_runs(df, df.select("u"), "u", ["model"], 20, 3, draws=d).orderBy("b").collect() for d in (1 << 24, 100))
+    assert len(whole) == 20 and whole == cut

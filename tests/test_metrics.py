@@ -113,3 +113,14 @@ def test_numpy_resamples_have_the_right_size():
     for mode in ("mix", "numpy"):
         m = bootstrap.multiplicities(40, 57, 42, mode)
         assert m.shape == (40, 57) and (m.sum(1) == 57).all() and 0.7 < m.var() < 1.3
+
+
+def test_precision_by_rank_of_weighted_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "l", int(rng.random() < 0.4), float(rng.integers(0, 6)), int(rng.integers(0, 4))) for i in range(40)] + [(i, "none", 0, 0.5, 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "id int, label string, y int, score double, mult int")
+    got = {r.label: r.ap_rank for r in metrics.average_precision_ranked(df, [], "mult").collect()}
+    y = [r[2] for r in sorted(rows[:40], key=lambda r: (-r[3], r[0])) for _ in range(r[4])]
+    want = sum(sum(y[: k + 1]) / (k + 1) for k in range(len(y)) if y[k]) / sum(y)
+    assert abs(got["l"] - want) < 1e-12 and got["none"] is None
+    assert abs(metrics.macro_pr_auc(df, [], "mult").first().macro_pr_auc - want) < 1e-12

@@ -120,3 +120,14 @@ def test_report_tables(spark):
     assert {r.line for r in report.latex_rows(wide, "label", ["m1_v", "m2_v"]).collect()} == {r"a & 0.500 & -- \\", r"b & 0.250 & -- \\"}
     assert "a    0.500" in {r.line for r in report.fixed_width(wide, {"label": 3, "m1_v": 6}).collect()}
     assert report.best(df, ["label"], "model", "v").count() == 2
+
+
+def test_projected_scorers_check_their_dimensions(spark):
+    encode = lambda prompts: np.ones((len(prompts), 2))
+    scorer = zeroshot.ProjectedScorer("p", encode, np.array([[1.0, 0, 2], [0, 1, 0]]), np.array([0.5, 0.0]))
+    scans = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id int, v array<double>")
+    assert zeroshot.project(scans, scorer).first().v == [7.5, 2.0]
+    with pytest.raises(ValueError):
+        zeroshot.ProjectedScorer("p", encode, np.ones((3, 4)))
+    with pytest.raises(Exception, match="wants vectors of 3"):
+        zeroshot.project(spark.createDataFrame([(1, [1.0])], "id int, v array<double>"), scorer).collect()

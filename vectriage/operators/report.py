@@ -102,3 +102,24 @@ def fixed_width(df: DataFrame, columns: dict[str, int], digits: int = 3) -> Data
         return F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("--")), n, " ")
 
     return df.select(F.concat_ws(" ", *[cell(c, n) for c, n in columns.items()]).alias("line"))
+
+
+def by_greatest(df: DataFrame, name: str, value: str) -> DataFrame:
+    """(name, greatest, place): names by their greatest value, the greatest first, ties by name; places from 1."""
+    top = df.groupBy(name).agg(F.max(value).alias("greatest"))
+    return _placed(top, F.desc_nulls_last("greatest"), name)
+
+
+def by_difficulty(df: DataFrame, name: str, value: str) -> DataFrame:
+    """(name, mean, place): the easiest, with the greatest mean, first."""
+    return _placed(df.groupBy(name).agg(F.avg(value).alias("mean")), F.desc_nulls_last("mean"), name)
+
+
+def by_median(df: DataFrame, name: str, value: str) -> DataFrame:
+    """(name, mid, place): the least median first."""
+    return _placed(df.groupBy(name).agg(F.median(value).alias("mid")), F.asc_nulls_last("mid"), name)
+
+
+def _placed(names: DataFrame, order, name: str) -> DataFrame:
+    """One row for each model, label or organ of a report, so one window over all of them is small."""
+    return names.withColumn("place", F.row_number().over(Window.orderBy(order, F.col(name))))

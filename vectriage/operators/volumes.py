@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -11,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import EXTRACTORS
+
 _OPPOSITE = {"L": "R", "R": "L", "A": "P", "P": "A", "S": "I", "I": "S"}
 
 
@@ -73,13 +77,16 @@ def foreground(volume: np.ndarray, above: float) -> np.ndarray:
     return volume[tuple(box)]
 
 
-def windows(volume: np.ndarray, shape: tuple, value: float) -> np.ndarray:
-    """Windows without overlap, [n, *shape]; the volume is padded at its ends."""
-    pad = [(0, -n % s) for n, s in zip(volume.shape, shape)]
+def windows(volume: np.ndarray, shape: tuple, value: float, overlap: float = 0.0) -> np.ndarray:
+    """Windows, [n, *shape], of which neighbours share `overlap` of their length; the volume is padded at its ends."""
+    if not 0 <= overlap < 1:
+        raise ValueError("0 <= overlap < 1 is needed")
+    steps = [max(1, round(s * (1 - overlap))) for s in shape]
+    counts = [max(1, -(-(n - s) // t) + 1) for n, s, t in zip(volume.shape, shape, steps)]
+    pad = [(0, max(0, (c - 1) * t + s - n)) for n, s, t, c in zip(volume.shape, shape, steps, counts)]
     v = np.pad(volume, pad, constant_values=value)
-    counts = [n // s for n, s in zip(v.shape, shape)]
-    split = v.reshape([x for pair in zip(counts, shape) for x in pair])
-    return split.transpose([0, 2, 4, 1, 3, 5]).reshape(-1, *shape)
+    every = np.lib.stride_tricks.sliding_window_view(v, shape)[tuple(slice(None, None, t) for t in steps)]
+    return every.reshape(-1, *shape)
 
 
 def slices(volume: np.ndarray, size: int, value: float) -> np.ndarray:
@@ -120,16 +127,56 @@ def intensity(volume: np.ndarray, profile: dict) -> np.ndarray:
 
 
 def prepare(volume: np.ndarray, spacing: tuple, from_: str, profile: dict) -> np.ndarray:
-    """A volume as a profile of functions.tables.EXTRACTORS wants it: orientation, spacing, intensity, shape."""
-    if profile.get("orient", "axial") != "axial":
-        letters = [from_.find(x) if x in from_ else from_.find(_OPPOSITE[x]) for x in profile["orient"]]
-        volume, spacing = reorient(volume, from_, profile["orient"]), tuple(spacing[i] for i in letters)
+    """A volume as a profile of functions.tables.EXTRACTORS wants it: orientation, spacing, foreground, intensity, shape.
+
+    'axial' takes the axis along the body first. 'adaptive' resamples to the finest spacing, but no finer than that;
+    'patches' is a patch's shape and how many there may be.
+    """
+    orient = profile.get("orient")
+    if orient == "axial":
+        along = next(i for i, x in enumerate(from_) if x in "SI")
+        order = [along, *(i for i in (2, 1, 0) if i != along)]
+        volume, spacing = np.transpose(volume, order), tuple(spacing[i] for i in order)
+    elif orient:
+        axes = [from_.find(x) if x in from_ else from_.find(_OPPOSITE[x]) for x in orient]
+        volume, spacing = reorient(volume, from_, orient), tuple(spacing[i] for i in axes)
     if "spacing" in profile:
         volume = resample(volume, spacing, profile["spacing"])
+    if "foreground" in profile:
+        volume = foreground(volume, profile["foreground"])
+    if "adaptive" in profile:
+        volume = resample(volume, spacing, adaptive_spacing(spacing, profile["adaptive"]))
+    if "patches" in profile:
+        volume = patch_budget(volume, *profile["patches"])
+    if "slices" in profile:  # slices become squares before one z-score of the whole volume
+        size = profile["slices"]
+        along = profile["orient"].find("S") if "S" in profile["orient"] else profile["orient"].find("I")
+        volume = np.stack([resize(x, (size, size)) for x in np.moveaxis(volume, along, 0)])
     volume = intensity(volume, profile)
     return pad_or_crop(volume, profile["shape"], profile.get("pad", float(volume.min()))) if "shape" in profile else volume
 
 
+def parts(volume: np.ndarray, profile: dict) -> Iterator[np.ndarray]:
+    """What is embedded of a prepared volume, one after another: windows, slices, cells of a grid, or all of it."""
+    if "windows" in profile:
+        yield from windows(volume, profile["windows"], float(volume.min()), profile.get("overlap", 0.0))
+    elif "slices" in profile:
+        yield from volume
+    elif "grid" in profile:
+        yield from grid_crops(volume, *profile["grid"])
+    else:
+        yield volume
+
+
+def embedded(model: Extractor, volume: np.ndarray, profile: dict) -> np.ndarray:
+    """The mean of the embeddings of a prepared volume's parts."""
+    total, n = None, 0
+    for part in parts(volume, profile):
+        one = np.asarray(model.embed(part), np.float64)
+        total, n = (one if total is None else total + one), n + 1
+    return (total / n).astype(np.float32)
+
+
 def adaptive_pool(features: np.ndarray, bins: int) -> np.ndarray:
     """Means over `bins` nearly equal runs of the first axis."""
     n = len(features)
@@ -138,7 +185,8 @@ def adaptive_pool(features: np.ndarray, bins: int) -> np.ndarray:
 
 
 class Extractor(Protocol):
-    """What a volume encoder has to offer; one with trained weights plugs in here."""
+    """What a volume encoder has to offer; one with trained weights plugs in here. An extractor may have a `profile`, and a
+    `worker(device)` that is called once in each task, before the first volume, such as to load weights."""
 
     name: str
     dim: int
@@ -153,12 +201,33 @@ class MomentExtractor:
         self.name, self.cells, self.dim = name, cells, 2 * int(np.prod(cells))
 
     def embed(self, volume: np.ndarray) -> np.ndarray:
+        volume = volume if volume.ndim == 3 else volume[None]
         cell = tuple(-(-n // c) for n, c in zip(volume.shape, self.cells))
-        parts = windows(volume, cell, float(volume.min()))
-        return np.concatenate([parts.mean((1, 2, 3)), parts.std((1, 2, 3))])
+        some = windows(volume, cell, float(volume.min()))
+        out = np.concatenate([some.mean((1, 2, 3)), some.std((1, 2, 3))])
+        return np.pad(out, (0, max(0, self.dim - len(out))))[: self.dim]
+
+
+class ProfileExtractor:
+    """The preprocessing of a kind of extractor, whole, before an encoder: weights aren't part of this, so unless one is
+    given, moments over a grid stand for it. `profile` is one of functions.tables.EXTRACTORS, or has its keys."""
+
+    def __init__(self, name: str, profile: dict, encoder: Callable[[np.ndarray], np.ndarray] | None = None, dim: int | None = None):
+        self.name, self.profile = name, profile
+        self._encode = encoder or MomentExtractor().embed
+        self.dim = dim or (profile["dim"] if encoder else MomentExtractor().dim)
+
+    def embed(self, volume: np.ndarray) -> np.ndarray:
+        return np.asarray(self._encode(volume))
 
 
 EXTRACTOR_BUILDERS: dict[str, Callable[[], Extractor]] = {"moments": MomentExtractor}
+EXTRACTOR_BUILDERS |= {name: (lambda n=name, p=p: ProfileExtractor(n, p)) for name, p in EXTRACTORS.items()}
+
+
+def register_extractor(name: str, build: Callable[[], Extractor]) -> None:
+    """build() returns an Extractor; one with trained weights takes the place of the stand-in of its name."""
+    EXTRACTOR_BUILDERS[name] = build
 
 
 def build_extractor(name: str) -> Extractor:
@@ -177,20 +246,55 @@ def load_npz(content: bytes, key: str = "ct") -> np.ndarray:
         return z[key].astype(np.float32)
 
 
-def extract(volumes: DataFrame, extractor: str, profile: dict | None = None, key: str = "ct", from_: str = "LPS") -> DataFrame:
-    """(id, model, embedding) of (id, content, spacing): each file is read, prepared and embedded in a task."""
+def load_volume(content: bytes, key: str = "ct", slope: float | None = None, intercept: float | None = None, spacing: float | None = None) -> tuple[np.ndarray, tuple, str]:
+    """A volume, the spacing of its axes and where they run to, of zipped numpy or NIfTI.
+
+    A zipped volume is [Z, Y, X] with one spacing; a NIfTI file has its affine, whose axes are named by the patient's
+    axis that they are nearest to.
+    """
+    if content[:4] == b"PK\x03\x04":
+        return load_npz(content, key), (float(spacing or 1.0),) * 3, "SPL"
+    volume, affine = load_nifti(content, 1.0 if slope is None else slope, 0.0 if intercept is None else intercept)
+    steps = affine[:3, :3]
+    letters = ""
+    for axis in range(3):
+        at = int(np.argmax(np.abs(steps[:, axis])))
+        letters += ("LPS" if steps[at, axis] > 0 else "RAI")[at]
+    return volume.astype(np.float32), tuple(float(x) for x in np.linalg.norm(steps, axis=0)), letters
+
+
+def skipping(load: Callable, content: bytes, **more):
+    """What load gives, or None where the file can't be read: a worker goes on with the next volume."""
+    try:
+        return load(content, **more)
+    except (ValueError, KeyError, OSError, EOFError, zlib.error, zipfile.BadZipFile):
+        return None
+
+
+def extract(volumes: DataFrame, extractor: str, profile: dict | None = None, key: str = "ct", device: str = "cpu", skip_broken: bool = False) -> DataFrame:
+    """(id, model, embedding) of (id, content and, as far as they are known, spacing, slope, intercept).
+
+    Each file is read, prepared as the profile (the extractor's own, if none is given) says, and embedded in a task, a
+    volume at a time. A broken file is an error, or is left out if skip_broken.
+    """
+    facts = [c for c in ("spacing", "slope", "intercept") if c in volumes.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = build_extractor(extractor)
+        if hasattr(model, "worker"):
+            model.worker(device)
+        wants = profile if profile is not None else getattr(model, "profile", {})
         for pdf in batches:
             out = []
-            for id_, content, spacing in zip(pdf["id"], pdf["content"], pdf["spacing"]):
-                v = load_npz(bytes(content), key)
-                v = prepare(v, (spacing,) * 3, from_, profile) if profile else v
-                out.append((id_, model.name, np.asarray(model.embed(v), np.float32)))
+            for row in pdf.to_dict("records"):
+                more = {c: float(row[c]) for c in facts if row[c] is not None and row[c] == row[c]}
+                load = (lambda c, **m: load_volume(c, key, **m)) if not skip_broken else (lambda c, **m: skipping(load_volume, c, key=key, **m))
+                found = load(bytes(row["content"]), **more)
+                if found is not None:
+                    out.append((row["id"], model.name, embedded(model, prepare(*found, wants), wants)))
             yield pd.DataFrame(out, columns=["id", "model", "embedding"])
 
-    return volumes.select("id", "content", F.col("spacing").cast("double").alias("spacing")).mapInPandas(run, "id string, model string, embedding array<float>")
+    return volumes.select("id", "content", *[F.col(c).cast("double").alias(c) for c in facts]).mapInPandas(run, "id string, model string, embedding array<float>")
 
 
 def mean_pool(parts: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:

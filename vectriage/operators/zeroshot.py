@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -58,6 +59,36 @@ for _dim in (64, 512, 768, 1024):
     register(f"hash-{_dim}", lambda d=_dim: HashScorer(f"hash-{d}", d))
 
 
+class ProjectedScorer:
+    """A scorer of two given parts: a text encoder, and a linear projection of cached image vectors into the space they
+    share. Dimensions are checked when it is built, not when the first image comes."""
+
+    def __init__(self, name: str, encode: Callable[[list[str]], np.ndarray], weights: np.ndarray, bias: np.ndarray | None = None):
+        self.name, self._encode, self._weights = name, encode, np.asarray(weights, np.float64)
+        self._bias = np.zeros(len(self._weights)) if bias is None else np.asarray(bias, np.float64)
+        self.dim, self.image_dim = self._weights.shape
+        probe = np.asarray(encode(["probe"]))
+        if probe.shape != (1, self.dim) or self._bias.shape != (self.dim,):
+            raise ValueError(f"{name}: prompts have {probe.shape[-1]} dimensions, images {self.dim}")
+
+    def encode_text(self, prompts: list[str]) -> np.ndarray:
+        return np.asarray(self._encode(prompts), np.float64)
+
+    def image_projection(self) -> tuple[list[list[float]], list[float]]:
+        return self._weights.tolist(), self._bias.tolist()
+
+
+def project(scans: DataFrame, scorer: Scorer) -> DataFrame:
+    """scans with v in the space that the scorer's prompts are in; vectors of another length are an error."""
+    weights, bias = scorer.image_projection()
+    width = len(weights[0])
+    row = lambda w, b: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in w]), lambda x, y: x * y), F.lit(float(b)), lambda a, x: a + x)
+    if np.array_equal(weights, np.eye(width)) and not any(bias):
+        return scans
+    checked = F.when(F.size("v") == width, F.array(*[row(w, b) for w, b in zip(weights, bias)])).otherwise(F.raise_error(F.lit(f"{scorer.name} wants vectors of {width}")))
+    return scans.withColumn("v", checked)
+
+
 def prompt_table(spark: SparkSession, labels: list[str], scorer: Scorer, positive: str | None = None, negative: str | None = None) -> DataFrame:
     """(label, positive, negative, pos, neg): prompts and their vectors."""
     more = {k: v for k, v in (("positive", positive), ("negative", negative)) if v}

@@ -366,6 +366,50 @@ def pairs_all(spark, sf_dir):
     return report.pairs_in_order(spark.createDataFrame(list(zip(MODELS, range(4))), "model string, pos int"), "model", "pos")
 
 
+_RANKED = """(SELECT {k}, label, CASE WHEN max(p) > 0 THEN sum(CASE WHEN y = 1 THEN tp * 1.0 / r / p ELSE 0 END) END AS ap_rank FROM (
+  SELECT *, sum(y) OVER (PARTITION BY {k}, label ORDER BY score DESC, id, copy) AS tp, row_number() OVER (PARTITION BY {k}, label ORDER BY score DESC, id, copy) AS r, sum(y) OVER (PARTITION BY {k}, label) AS p FROM {rows}) GROUP BY {k}, label)"""
+_DRAWN = "(SELECT p.*, b, mult FROM pools p JOIN boot ON p.id % 125 = boot.grp)"
+
+
+def _evaluated(rows: str, k: str, w: str) -> str:
+    """(keys, metric, label, value) of the scalar metrics and of each label's."""
+    copies = f"(SELECT *, unnest(range(CAST({w} AS BIGINT))) AS copy FROM {rows})"
+    c = f"(SELECT {k}, label, sum(CASE WHEN score >= 0.5 AND y = 1 THEN {w} ELSE 0 END)::DOUBLE AS tp, sum(CASE WHEN score >= 0.5 AND y = 0 THEN {w} ELSE 0 END)::DOUBLE AS fp, sum(CASE WHEN score < 0.5 AND y = 1 THEN {w} ELSE 0 END)::DOUBLE AS fn, sum(CASE WHEN score < 0.5 AND y = 0 THEN {w} ELSE 0 END)::DOUBLE AS tn FROM {rows} GROUP BY {k}, label)"
+    whole = f"(SELECT {k}, avg(2 * tp / (2 * tp + fp + fn + 1e-8)) AS macro_f1, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn) + 1e-8) AS micro_f1, sum(tp + tn) / sum(tp + fp + fn + tn) AS hamming_accuracy FROM {c} GROUP BY {k})"
+    exact = f"(SELECT {k}, sum(CASE WHEN ok THEN w ELSE 0 END)::DOUBLE / sum(w) AS subset_accuracy FROM (SELECT {k}, id, bool_and(CAST(score >= 0.5 AS INTEGER) = y) AS ok, max({w}) AS w FROM {rows} GROUP BY {k}, id) GROUP BY {k})"
+    ap = f"(SELECT {k}, avg(ap_rank) AS macro_pr_auc FROM {_RANKED.format(k=k, rows=copies)} GROUP BY {k})"
+    scalar = " UNION ALL ".join(f"SELECT {k}, '{m}' AS metric, NULL AS label, {m} AS value FROM {t}" for m, t in (("macro_f1", whole), ("micro_f1", whole), ("hamming_accuracy", whole), ("subset_accuracy", exact), ("macro_pr_auc", ap)))
+    ranked = ranking_sql(rows, k, w)
+    return f"{scalar} UNION ALL SELECT {k}, 'f1_per_class', label, 2 * tp / (2 * tp + fp + fn + 1e-8) FROM {c} UNION ALL SELECT {k}, 'pr_auc_per_class', label, ap FROM {ranked} UNION ALL SELECT {k}, 'prevalence_per_class', label, prevalence FROM {ranked}"
+
+
+@register("evaluate_twenty", f"WITH {pools_sql()}, {boot_sql()}, drawn AS {_DRAWN}, pt AS ({_evaluated('pools', 'model', '1')}), rs AS ({_evaluated('drawn', 'model, b', 'mult')}), ci AS (SELECT model, metric, label, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM rs GROUP BY 1, 2, 3) SELECT pt.model, pt.metric, pt.label, round(value, 6) AS point, round(lo, 6) AS ci95_low, round(hi, 6) AS ci95_high FROM pt LEFT JOIN ci ON pt.model = ci.model AND pt.metric = ci.metric AND pt.label IS NOT DISTINCT FROM ci.label")
+def evaluate_twenty(spark, sf_dir):
+    """The whole evaluation of all models, with as many resamples as SQL can follow; evaluate_model has 1000."""
+    scored = unstable(pools(spark, sf_dir).withColumn("grp", F.col("id") % 125))
+    out = bootstrap.evaluate(scored, boot(spark, sf_dir), "grp", ["model"])
+    return out.select("model", "metric", "label", r6("point"), r6("ci95_low"), r6("ci95_high"))
+
+
+def _full_pools(weighting: str, name: str) -> str:
+    """The pools of the model 'full' under a weighting, which is the model here."""
+    w = "greatest(sim + 1, 1e-6)" if weighting == "distance" else "1.0"
+    return f"""{name} AS (SELECT '{weighting}' AS model, v.id, v.label, l.y, v.score FROM (
+  SELECT n.id, label, round(sum(y * {w}) / sum({w}), 9) AS score FROM neighbours n JOIN labels_long t ON n.train_id = t.id WHERE model = 'full' GROUP BY 1, 2) v JOIN labels_long l ON v.id = l.id AND v.label = l.label)"""
+
+
+@register("readouts_sign", f"WITH {MODEL_SCANS}, {LABELS}, {FOLDS}, {NEIGHBOURS}, {_full_pools('distance', 'dist')}, {_full_pools('uniform', 'unif')}, pools AS (SELECT * FROM dist UNION ALL SELECT * FROM unif), {boot_sql()}, {RUNS}, d AS (SELECT label, b, max(CASE WHEN model = 'distance' THEN ap END) - max(CASE WHEN model = 'uniform' THEN ap END) AS d FROM runs GROUP BY 1, 2), c AS (SELECT label, avg(d) AS diff, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM d GROUP BY 1) SELECT label, round(diff, 6) AS diff, round(lo, 6) AS ci95_low, round(hi, 6) AS ci95_high, CASE WHEN lo > 0 THEN 'distance>uniform' WHEN hi < 0 THEN 'uniform>distance' ELSE 'tied' END AS diff_sign FROM c")
+def readouts_sign(spark, sf_dir):
+    """Which of two readouts of one model is better, label by label: what probe_vs_knn_sign does, of two that SQL can express."""
+    own, split, full = labels(spark, sf_dir), fold_table(spark, sf_dir), scans(spark, sf_dir)
+    near = knn.neighbours(full, split)
+    scored = [knn.vote(near, own, w).select(F.lit(w).alias("readout"), "id", "label", "y", F.round("score", 9).alias("score")) for w in ("distance", "uniform")]
+    scored = unstable(scored[0].unionByName(scored[1]).withColumn("grp", F.col("id") % 125))
+    run = unstable(bootstrap.fast_runs(scored, patients(spark, sf_dir), "grp", ["readout"], N_BOOT, 11))
+    out = bootstrap.paired(run.where("readout = 'distance'"), run.where("readout = 'uniform'"), ["label"], "ap")
+    return out.select("label", r6("diff"), r6("ci95_low"), r6("ci95_high"), bootstrap.sign(F.col("ci95_low"), F.col("ci95_high"), "distance>uniform", "uniform>distance", "tied").alias("diff_sign"))
+
+
 @register("evaluate_model", None)
 def evaluate_model(spark, sf_dir):
     """All models, 1000 resamples of patients each."""
@@ -483,6 +527,27 @@ def best_encoder(spark, sf_dir):
     return report.best(fact, ["label"], "model", "roc_auc", MODELS).select("label", "model", r6("roc_auc"))
 
 
+@register("difficulty_order", f"WITH {pools_sql()}, {FACT} SELECT label, round(m, 6) AS mean, CAST(row_number() OVER (ORDER BY m DESC, label) AS INTEGER) AS place FROM (SELECT label, avg(round(roc_auc, 9)) AS m FROM fact GROUP BY 1)")
+def difficulty_order(spark, sf_dir):
+    return report.by_difficulty(_ratings(spark, sf_dir), "label", "v").select("label", r6("mean"), "place")
+
+
+@register("model_order", f"WITH {pools_sql()}, {FACT} SELECT model, round(m, 6) AS greatest, CAST(row_number() OVER (ORDER BY m DESC, model) AS INTEGER) AS place FROM (SELECT model, max(round(skill, 9)) AS m FROM fact GROUP BY 1)")
+def model_order(spark, sf_dir):
+    fact = _fact(spark, sf_dir).select("model", F.round("skill", 9).alias("skill"))
+    return report.by_greatest(fact, "model", "skill").select("model", r6("greatest"), "place")
+
+
+@register("organ_order", f"WITH {pools_sql()}, {FACT} SELECT label, round(m, 6) AS mid, CAST(row_number() OVER (ORDER BY m, label) AS INTEGER) AS place FROM (SELECT label, median(round(roc_auc, 9)) AS m FROM fact GROUP BY 1)")
+def organ_order(spark, sf_dir):
+    return report.by_median(_ratings(spark, sf_dir), "label", "v").select("label", r6("mid"), "place")
+
+
+@register("macro_pr_auc", f"WITH {pools_sql()} SELECT model, round(avg(ap_rank), 6) AS macro_pr_auc FROM {_RANKED.format(k='model', rows='(SELECT *, 0 AS copy FROM pools)')} GROUP BY 1")
+def macro_pr_auc(spark, sf_dir):
+    return metrics.macro_pr_auc(pools(spark, sf_dir), ["model"]).select("model", r6("macro_pr_auc"))
+
+
 _RANKS = "ranks AS (SELECT model, label, row_number() OVER (PARTITION BY model ORDER BY v, label) AS r FROM (SELECT model, label, round(roc_auc, 9) AS v FROM fact))"
 
 
@@ -515,10 +580,11 @@ def pivot_per_class(spark, sf_dir):
     return report.wide(fact, "label", "model", MODELS, ["roc_auc", "pr_auc"])
 
 
-@register("grid_with_gaps", "WITH c AS (SELECT user_id % 20 AS finding, event_type, avg(value) AS v FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2), f AS (SELECT unnest(range(25)) AS finding), m AS (SELECT DISTINCT event_type FROM events) SELECT CAST(f.finding AS BIGINT) AS finding, m.event_type, round(c.v, 6) AS v FROM f CROSS JOIN m LEFT JOIN c USING (finding, event_type)")
-def grid_with_gaps(spark, sf_dir):
+@register("grid_of_all_events", "WITH c AS (SELECT user_id % 20 AS finding, event_type, avg(value) AS v FROM events GROUP BY 1, 2), f AS (SELECT unnest(range(25)) AS finding), m AS (SELECT DISTINCT event_type FROM events) SELECT CAST(f.finding AS BIGINT) AS finding, m.event_type, round(c.v, 6) AS v FROM f CROSS JOIN m LEFT JOIN c USING (finding, event_type)")
+def grid_of_all_events(spark, sf_dir):
+    """Findings 20 to 24 have no events, so they are the grid's gaps."""
     events = table(spark, sf_dir, "events")
-    cells = events.where("event_id % 3 > 0").groupBy((F.col("user_id") % 20).alias("finding"), "event_type").agg(r6(F.avg("value"), "v"))
+    cells = events.groupBy((F.col("user_id") % 20).alias("finding"), "event_type").agg(r6(F.avg("value"), "v"))
     return report.grid(spark.range(25).withColumnRenamed("id", "finding"), events.select("event_type").distinct(), cells, ["finding", "event_type"], "v")
 
 
@@ -620,25 +686,16 @@ def label_scan(spark, sf_dir):
     return long_labels(table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"]).groupBy("label").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("n_pos"))
 
 
-def _with_reports(spark, sf_dir, report):
+@register("labels_with_whole_reports", "SELECT l.doc_id, l.quality, d.source, c.text AS report FROM labels l JOIN documents d USING (doc_id) LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 0")
+def labels_with_whole_reports(spark, sf_dir):
     from ..sources.readers import samples
 
     own = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    reports = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), report.alias("report"))
+    reports = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("report"))
     return samples(own, meta, reports).select(F.col("id").alias("doc_id"), "quality", "source", "report")
 
 
-@register("labels_with_reports", "SELECT l.doc_id, l.quality, d.source, left(c.text, 20) AS report FROM labels l JOIN documents d USING (doc_id) LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 0")
-def labels_with_reports(spark, sf_dir):
-    return _with_reports(spark, sf_dir, F.left("text", F.lit(20)))
-
-
-@register("labels_with_whole_reports", "SELECT l.doc_id, l.quality, d.source, c.text AS report FROM labels l JOIN documents d USING (doc_id) LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 0")
-def labels_with_whole_reports(spark, sf_dir):
-    return _with_reports(spark, sf_dir, F.col("text"))
-
-
 @register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     from ..streaming.incremental import counts_by_window
