@@ -1,5 +1,8 @@
 """Language identification: held-out accuracy and defined results."""
 
+import collections
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -74,3 +77,105 @@ def test_every_label_has_a_model(spark):
     assert found[0] == sorted(words)
     out = langid.identify(df, "id", "text", found, F.col("lang"), F.lit("a.b.example")).collect()
     assert len(out) == len(rows) and all(r.language == r.text_language == r.lang for r in out)
+
+
+def brute_posteriors(rows, found):
+    """(language, confidence, text_language) of rows (text, declared, host), row by row and in plain Python."""
+    languages, table = found
+    size = len(languages)
+
+    def fold(b):
+        out = bytearray()
+        for k, c in enumerate(b):
+            if 65 <= c <= 90:
+                c += 32
+            elif k and b[k - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97:
+                c += 32
+            elif c < 128 and not 97 <= c <= 122:
+                c = 32
+            out.append(c)
+        return bytes(out)
+
+    texts = []
+    for text, _, _ in rows:
+        b = fold((text or "").encode())
+        grams = [b[i : i + 3] for i in range(len(b) - 2) if b[i : i + 3].count(32) < 2]
+        codes = [((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 & 0xFFFFFFFF) >> (32 - langid.BITS) for g in grams]
+        logs = [langid.TEMPER * sum(float(table[k][c]) for c in codes) for k in range(size)]
+        texts.append((logs, logs.index(max(logs)) if codes else None))
+    parts = lambda h: (h.lower().rsplit(".", 1)[-1] if h and "." in h else None, ".".join(h.lower().split(".")[-2:]) if h and h.count(".") > 1 else None)
+    world, hosts, domains, suffixes = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    for (_, _, host), (_, vote) in zip(rows, texts):
+        if vote is not None:
+            suffix, domain = parts(host)
+            world[vote] += 1
+            for counter, name in ((hosts, host and host.lower()), (domains, domain), (suffixes, suffix)):
+                if name is not None:
+                    counter[name, vote] += 1
+    share = [(world[k] + 1) / (sum(world.values()) + size) for k in range(size)]
+    out = []
+    for (_, declared, host), (logs, vote) in zip(rows, texts):
+        if vote is None:
+            out.append(("und", 0.0, "und"))
+            continue
+        suffix, domain = parts(host)
+        without = lambda counter, name, k: max(0, counter[name, k] - (k == vote)) if name is not None else 0
+        total = lambda counter, name: sum(without(counter, name, k) for k in range(size))
+        logged = []
+        for k in range(size):
+            up = (without(domains, domain, k) + langid.STRENGTH * share[k]) / (total(domains, domain) + langid.STRENGTH)
+            prior = (without(hosts, host and host.lower(), k) + langid.STRENGTH * up) / (total(hosts, host and host.lower()) + langid.STRENGTH)
+            p = logs[k] + math.log(prior)
+            if total(suffixes, suffix) > 0:
+                p += langid.TEMPER * math.log((without(suffixes, suffix, k) + langid.STRENGTH * share[k]) / (total(suffixes, suffix) + langid.STRENGTH) / share[k])
+            if declared and declared.lower() in languages:
+                p += math.log(langid.DECLARED if declared.lower() == languages[k] else (1 - langid.DECLARED) / (size - 1))
+            logged.append(p)
+        top = max(logged)
+        out.append((languages[logged.index(top)], 1 / sum(math.exp(p - top) for p in logged), languages[vote]))
+    return out
+
+
+def test_posteriors_against_plain_arithmetic(spark):
+    rng = np.random.default_rng(12)
+    pieces = ["the of and that", "le la des une", "der die und das", "É È Ü où", "zu le of", "x", "", "12 34", "THE Of", "nicht mit ein"]
+    rows = []
+    for _ in range(120):
+        text = " ".join(rng.choice(pieces, rng.integers(0, 4)))
+        rows.append((None if rng.random() < 0.1 else text, [None, "de", "EN", "fr", "xx"][rng.integers(0, 5)], [None, "h", "a.de", "www.a.de", "WWW.b.de", "x.y.fr", "z.y.fr"][rng.integers(0, 7)]))
+    rows += [("the of " * 30000, None, "long.example.fr"), ("the of", "de", "a.de"), ("the of", "de", "a.de")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, l string, h string")
+    out = sorted(langid.identify(df, "doc_id", "text", models(), F.col("l"), F.col("h")).collect(), key=lambda r: r.doc_id)
+    for r, (language, confidence, vote) in zip(out, brute_posteriors(rows, models()), strict=True):
+        assert r.text_language == vote and abs(r.confidence - confidence) < 1e-9, (r, language, confidence, vote)
+        assert r.language == language
+        assert r.accepted == (confidence >= langid.MIN_CONFIDENCE and language != "und")
+
+
+def test_ties_go_to_the_first_name(spark):
+    same = (["aa", "bb", "cc"], np.log(np.full((3, 1 << langid.BITS), 1.0 / (1 << langid.BITS))).astype(np.float32))
+    df = spark.createDataFrame([(1, "some text", "nowhere", 1)], "doc_id long, text string, h string, __used int")
+    r = langid.identify(df.drop("__used"), "doc_id", "text", same, None, F.col("h")).first()
+    assert (r.language, r.text_language) == ("aa", "aa") and abs(r.confidence - 0.5) < 1e-9  # the corpus has one vote, which is its own
+
+
+def test_half_is_judged_by_the_other_half_with_declarations_hidden_or_wrong(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(20))
+    half = h < 10
+    # of the judged half, a third has no declaration and a tenth a wrong one
+    declared = F.when(h < 13, None).when(h == 19, F.when(F.col("lang") == "en", "de").otherwise("en")).otherwise(F.col("lang"))
+    found = langid.models_for(docs.where(half), "doc_id", "text", "lang", 20)
+    out = langid.identify(docs.where(~half).withColumn("said", declared).withColumn("h", h), "doc_id", "text", found, F.col("said"), F.col("source")).collect()
+    right = lambda rows: np.mean([r.language == r.lang for r in rows])
+    assert right([r for r in out if r.h < 13]) > 0.97 and right([r for r in out if r.h == 19]) > 0.9 and right(out) > 0.97
+
+
+def test_the_query_s_addresses_have_suffixes_and_domains(spark, sf_dir):
+    from vectriage.llm.queries import source_address
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    address = source_address()
+    kinds = {r.s for r in docs.select(langid.suffix_of(address).alias("s")).distinct().collect()}
+    assert kinds == {"web", "books", "forum"}
+    assert docs.where(address.isNotNull() & langid.domain_of(address).isNull()).count() == 0

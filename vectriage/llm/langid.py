@@ -5,7 +5,8 @@ catalogue); the suffix of the address; and a prior for the host, smoothed toward
 corpus. Every label that occurs has a model (256 KB), fitted on a bounded sample of labelled rows (SAMPLE a language, by a
 hash of the id). Counts for
 suffixes, domains and hosts cover all rows: each row counts for the language its text alone suggests, grouped and summed
-by Spark, and a row's own vote is taken out of its own priors. Texts are read whole.
+by Spark, and a row's own vote is taken out of its host's, domain's and suffix's counts (the corpus's include it). Texts are read
+whole.
 
 A row is accepted if its text has letters, its posterior is MIN_CONFIDENCE or more, and the language is wanted.
 

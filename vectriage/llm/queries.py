@@ -119,11 +119,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
+def source_address():
+    """Documents have no address: their source as a host of its kind, `src3.documents.web`, stands for one."""
+    return F.concat(F.col("source"), F.lit(".documents."), domain_of_source())
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents: their catalogue's language is the declaration, their source the host."""
+    """Documents: their catalogue's language is the declaration, their source and its kind the address."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     models = langid.models_for(docs, "doc_id", "text", "lang")
-    found = langid.identify(docs, "doc_id", "text", models, F.col("lang"), F.col("source"))
+    found = langid.identify(docs, "doc_id", "text", models, F.col("lang"), source_address())
     return found.select("doc_id", "language", "text_language", F.round("confidence", 6).alias("confidence"), F.col("accepted").alias("kept"))
 
 
