@@ -13,8 +13,10 @@ are near each other. Images are linked if VOTES corners agree on one change, and
 corners of an image's frame are in n_points, but neither vote nor count for this, for images of one size share them.
 
 All arithmetic on pixels is whole numbers, so an image's descriptors don't depend on the images beside it. The exchange has
-one row for each map batch and part, not for each descriptor. Equal images cost nothing; a patch that many different
-images share costs a vote for each two of them. n_links counts an image's links with all others.
+one row for each map batch and part, not for each descriptor. Equal images cost nothing. Images that are copies of one
+are found in a first round, where each corner votes with two others that have its descriptor: what that links is linked.
+The second round compares all pairs of corners of images that aren't together yet, so no link between groups is lost; a
+patch that many images share that are no copies of each other costs a vote for each two of them.
 
 Images are grey PGM (binary, P5). Defined results: null, empty and undecodable images have no corners and are groups of
 their own, as are images without contrast. Rows with a null key take part in nothing; their component is null. Rows that
@@ -34,11 +36,12 @@ from pyspark.sql import functions as F
 from .common import ODD, U, bounded_batches, materialize, mix, pack, part_of, parts_for, spans_index, string_columns, trim, unpack
 from .components import components
 
-RADIUS, PAD, TURNS, TESTS = 10, 16, 16, 128
+RADIUS, PAD, TURNS, TESTS = 10, 10, 16, 128
 NEAR, VOTES, SHARE, SHIFT = 16, 6, 0.1, 8
 #: Pixels from two of its borders, at a corner's scale, within which a corner is that of the image's frame.
 FRAME = 4
-PIXELS = 1 << 19
+#: Pixels that are described at a time; their arrays stay in a core's cache.
+PIXELS = 1 << 16
 #: Pairs that are held at a time.
 TILE = 1 << 19
 _HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+(\d+)\s")
@@ -77,35 +80,50 @@ def text_as_image(text: Column, width: int = 64) -> Column:
     return F.concat(header, data, zeros)
 
 
-def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Sums over squares of 2 r + 1, by shifted additions."""
-    for axis in (0, 1):
-        out = a.copy()
-        for k in range(1, r + 1):
-            lead, lag = [slice(None)] * 2, [slice(None)] * 2
-            lead[axis], lag[axis] = slice(k, None), slice(None, -k)
-            out[tuple(lag)] += a[tuple(lead)]
-            out[tuple(lead)] += a[tuple(lag)]
-        a = out
+def _box(a: np.ndarray) -> np.ndarray:
+    """Sums over squares of 3; the outermost lines stay as they are, and margins are wide enough for that."""
+    out = a.copy()
+    out[1:-1] += a[:-2]
+    out[1:-1] += a[2:]
+    a = out.copy()
+    a[:, 1:-1] += out[:, :-2]
+    a[:, 1:-1] += out[:, 2:]
     return a
 
 
-def _peak(a: np.ndarray, r: int) -> np.ndarray:
-    """Maxima over squares of 2 r + 1."""
+def _near_peak(a: np.ndarray, r: int) -> np.ndarray:
+    """Maxima over squares of 2 r + 1, in an array that is smaller by r on each side."""
+    want = 2 * r + 1
     for axis in (0, 1):
-        span, out = 1, a
-        want = 2 * r + 1
+        span = 1
         while span < want:
             step = min(span, want - span)
-            new = out.copy()
             lead, lag = [slice(None)] * 2, [slice(None)] * 2
             lead[axis], lag[axis] = slice(step, None), slice(None, -step)
-            new[tuple(lag)] = np.maximum(out[tuple(lag)], out[tuple(lead)])
-            out, span = new, span + step
-        a = np.roll(out, r, axis)  # margins are wide enough for what comes around
+            a = np.maximum(a[tuple(lag)], a[tuple(lead)])
+            span += step
     return a
 
 
+def _peaks(a: np.ndarray, r: int, near: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Where a is positive and greatest in its square of 2 r + 1: peaks of a small square first, and of these the ones that
+    nothing in the large one exceeds. Margins of r around a hold no positive values."""
+    inner = a[near:-near, near:-near]
+    y, x = np.nonzero((inner > 0) & (inner == _near_peak(a, near)))
+    y, x = y + near, x + near
+    line, flat = a.shape[1], a.reshape(-1)
+    reach = np.arange(-r, r + 1)
+    keep = np.zeros(len(y), bool)
+    for at in range(0, len(y), 4096):
+        place = (y[at : at + 4096] * line + x[at : at + 4096])[:, None]
+        some = np.arange(len(place))
+        for dy in sorted(reach, key=abs):  # the nearest lines decide most
+            values = flat[np.clip(place[some] + (dy * line + reach)[None, :], 0, len(flat) - 1)]
+            some = some[values.max(1) <= flat[place[some, 0]]]
+        keep[at + some] = True
+    return y[keep], x[keep]
+
+
 def describe(images: list[np.ndarray | None]):
     """Corners of all images: owner, scale, turn, y, x (in pixels of the image) and 128-bit descriptors as two numbers."""
     parts = []
@@ -145,14 +163,19 @@ def _describe(images, names, width):
             tall = (tall[::2, ::2] + tall[1::2, ::2] + tall[::2, 1::2] + tall[1::2, 1::2]) >> 2
             inside = inside[: len(tall) * 2 : 2, ::2]
             owner = owner[: len(tall) * 2 : 2]
-        smooth = _box(tall, 1)
+        smooth = _box(tall)
         gx, gy = np.zeros_like(smooth), np.zeros_like(smooth)
-        gx[:, 1:-1] = smooth[:, 2:] - smooth[:, :-2]
-        gy[1:-1] = smooth[2:] - smooth[:-2]
-        xx, yy, xy = (_box(a * b, 1).astype(np.float64) for a, b in ((gx, gx), (gy, gy), (gx, gy)))
-        strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        strength[~inside] = 0
-        y, x = np.nonzero((strength > 0) & (strength == _peak(strength, RADIUS)))
+        np.subtract(smooth[:, 2:], smooth[:, :-2], out=gx[:, 1:-1])
+        np.subtract(smooth[2:], smooth[:-2], out=gy[1:-1])
+        xx, yy, xy = (_box(a * b).astype(np.float64) for a, b in ((gx, gx), (gy, gy), (gx, gy)))
+        strength = xx * yy
+        strength -= xy * xy
+        xx += yy
+        xx *= xx
+        xx *= 0.05
+        strength -= xx
+        strength *= inside
+        y, x = _peaks(strength, RADIUS)
         flat, line = smooth.reshape(-1), smooth.shape[1]
         place = y * line + x
         offsets = np.arange(-7, 8)
@@ -235,41 +258,71 @@ def summed(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return (*(c[cut] for c in by), np.add.reduceat(times, cut))
 
 
-def matches(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray, y: np.ndarray, x: np.ndarray, d: np.ndarray, chunk: np.ndarray):
-    """Tiles of votes (doc, other, change, how many) of all pairs of corners within the buckets of one part."""
-    order = np.lexsort((turn, scale, x, y, doc, d[:, 1], d[:, 0], key))
-    key, doc, scale, turn, y, x, d, chunk = (a[order] for a in (key, doc, scale, turn, y, x, d, chunk))
+def _corners(doc, scale, turn, y, x, d, *first: np.ndarray, last: tuple = ()):
+    """The order of distinct corners: by first, descriptor, last and document."""
+    order = np.lexsort((turn, scale, x, y, doc, *last, d[:, 1], d[:, 0], *first))
+    columns = [a[order] for a in (*first, d[:, 0], d[:, 1], doc, scale, turn, y, x)]
+    return order[np.r_[True, np.any([a[1:] != a[:-1] for a in columns], axis=0)]] if len(order) else order
+
+
+def _votes(i: np.ndarray, j: np.ndarray, doc, scale, turn, y, x):
+    """(doc, other, change, how many) of pairs of corners, the greater document first."""
+    swap = doc[i] < doc[j]
+    a, b = np.where(swap, j, i), np.where(swap, i, j)
+    return summed(doc[a], doc[b], change_of(scale[a], turn[a], y[a], x[a], scale[b], turn[b], y[b], x[b]), np.ones(len(a), np.int64))
+
+
+def matches(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray, y: np.ndarray, x: np.ndarray, d: np.ndarray, chunk: np.ndarray, group: np.ndarray | None = None):
+    """Tiles of votes (doc, other, change, how many) of all pairs of corners within the buckets of one part, but for those
+    of documents that are in one group already (without groups: of one document)."""
+    group = doc if group is None else group
+    order = _corners(doc, scale, turn, y, x, d, key, last=(group,))
+    key, doc, scale, turn, y, x, d, chunk, group = (a[order] for a in (key, doc, scale, turn, y, x, d, chunk, group))
     if not len(key):
         return
     new = np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1]).any(1)]
-    fresh = new.copy()
-    for a in (doc, scale, turn, y, x):
-        fresh[1:] |= a[1:] != a[:-1]
-    key, doc, scale, turn, y, x, d, chunk, new = (a[fresh] for a in (key, doc, scale, turn, y, x, d, chunk, new))
     head = np.flatnonzero(new)  # the first corner of each distinct descriptor
     size = np.diff(np.r_[head, len(key)])
 
     def voted(i: np.ndarray, j: np.ndarray):
-        i, j = i[doc[i] != doc[j]], j[doc[i] != doc[j]]
+        i, j = i[group[i] != group[j]], j[group[i] != group[j]]
         # the tables compare all pairs of a bucket: a pair that meets in several counts in the first
         halves = (d[i] ^ d[j]).view(np.uint32).reshape(-1, 2, 2)[:, :, ::-1].reshape(-1, 4) == 0
         first = np.argmax(halves, axis=1) == chunk[i]
-        i, j = i[first], j[first]
-        swap = doc[i] < doc[j]
-        a, b = np.where(swap, j, i), np.where(swap, i, j)
-        return summed(doc[a], doc[b], change_of(scale[a], turn[a], y[a], x[a], scale[b], turn[b], y[b], x[b]), np.ones(len(a), np.int64))
+        return _votes(i[first], j[first], doc, scale, turn, y, x)
 
     ends = np.repeat(head + size, size)
     every = np.arange(len(key))
-    for i, j in _spans(every, every + 1, ends - every - 1):
+    mine = np.flatnonzero(new | np.r_[True, group[1:] != group[:-1]])  # of a descriptor, the corners of one group
+    past = np.repeat(np.r_[mine[1:], len(key)], np.diff(np.r_[mine, len(key)]))
+    for i, j in _spans(every, past, ends - past):
         yield voted(i, j)
+    least, most = np.minimum.reduceat(group, head), np.maximum.reduceat(group, head)
     for u, v in _pairs(np.searchsorted(key[head], key[head]), d[head]):
+        apart = (np.minimum(least[u], least[v]) != np.maximum(most[u], most[v])) if len(u) else np.zeros(0, bool)
+        u, v = u[apart], v[apart]
         if len(u):
             i = spans_index(head[u], size[u])
             for tile in _spans(i, np.repeat(head[v], size[u]), np.repeat(size[v], size[u])):
                 yield voted(*tile)
 
 
+def leads(doc: np.ndarray, scale: np.ndarray, turn: np.ndarray, y: np.ndarray, x: np.ndarray, d: np.ndarray):
+    """Some of the votes of equal descriptors: of each corner with the first document's, and with the one before it."""
+    order = _corners(doc, scale, turn, y, x, d)
+    doc, scale, turn, y, x, d = (a[order] for a in (doc, scale, turn, y, x, d))
+    if not len(doc):
+        return _votes(order, order, doc, scale, turn, y, x)
+    new = np.r_[True, (d[1:] != d[:-1]).any(1)]
+    head = np.flatnonzero(new)
+    first = np.repeat(head, np.diff(np.r_[head, len(doc)]))
+    every = np.arange(len(doc))
+    chained = ~new & (every - 1 != first)
+    i, j = np.concatenate([every[~new], every[chained]]), np.concatenate([first[~new], every[chained] - 1])
+    other = doc[i] != doc[j]
+    return _votes(i[other], j[other], doc, scale, turn, y, x)
+
+
 def change_of(scale_a, turn_a, y_a, x_a, scale_b, turn_b, y_b, x_b) -> np.ndarray:
     """A change of scale, turn and shift as one number: one corner lies at the shift from the other, resized and turned."""
     kind = (scale_a - scale_b + 1) * TURNS + (turn_a - turn_b) % TURNS
@@ -283,9 +336,9 @@ def change_of(scale_a, turn_a, y_a, x_a, scale_b, turn_b, y_b, x_b) -> np.ndarra
     return kind << 40 | y << 20 | x
 
 
-def match(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray, y: np.ndarray, x: np.ndarray, d: np.ndarray, chunk: np.ndarray):
+def match(key: np.ndarray, doc: np.ndarray, scale: np.ndarray, turn: np.ndarray, y: np.ndarray, x: np.ndarray, d: np.ndarray, chunk: np.ndarray, group: np.ndarray | None = None):
     """All the votes of one part."""
-    tiles = list(matches(key, doc, scale, turn, y, x, d, chunk))
+    tiles = list(matches(key, doc, scale, turn, y, x, d, chunk, group))
     return np.column_stack(summed(*(np.concatenate([t[k] for t in tiles]) for k in range(4)))) if tiles else np.zeros((0, 4), np.int64)
 
 
@@ -304,63 +357,114 @@ def agreement(doc: np.ndarray, other: np.ndarray, change: np.ndarray, times: np.
     return doc[cut], other[cut], np.maximum.reduceat(times, cut) if len(cut) else times
 
 
-def find_copies(df: DataFrame, key: str, image: str) -> DataFrame:
-    """(key, n_points, n_links, component_id, kept): component_id is the least key reachable, kept its own row."""
+#: A corner as it is written: scale, turn, place and descriptor.
+CORNER = np.dtype([("scale", "u1"), ("turn", "u1"), ("y", "<i4"), ("x", "<i4"), ("d0", "<u8"), ("d1", "<u8")])
+
+
+def find_copies(df: DataFrame, key: str, image: str, count_links: bool = False) -> DataFrame:
+    """(key, n_points, component_id, kept): component_id is the least key reachable, kept its own row.
+
+    Two rounds: in the first, corners with equal descriptors vote with few others only, and the images that this links
+    already are put together; in the second, all pairs of corners vote whose images aren't together yet. count_links:
+    all pairs vote, and n_links counts an image's links with all others.
+    """
     string_columns(df, key, image)
     bounded_batches(df)
     parts = parts_for(df, 2 << 20)
     pair_parts = 4 * parts
 
-    def row(part: list[int], counts: bool, blobs: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([counts] * len(part)), pa.array(blobs, pa.binary())], ["part", "counts", "blob"])
-
-    def dealt(part: np.ndarray, columns) -> pa.RecordBatch:
-        """Rows that hold the columns' elements by part; part is sorted."""
-        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        return row(part[cut].tolist(), False, [pack(*(c[a:b] for c in columns)) for a, b in zip(cut, np.append(cut[1:], len(part)))])
-
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
-                known = rows.column(0).is_valid().to_numpy(zero_copy_only=False)
-                ids = rows.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
                 images = [decode_pgm(v) for v in rows.column(1).to_pylist()]
+                n = len(images)
                 owner, scale, turn, y, x, d = describe(images)
                 inner = ~of_frame(images, owner, scale, y, x)
-                points = np.bincount(owner, minlength=len(ids))[: len(ids)]
-                faces = face(owner, scale, turn, y, x, d, len(ids))
-                yield row([int(ids[0] % parts)], True, [pack(ids, known.astype(np.uint8), points, faces, np.bincount(owner[inner], minlength=len(ids)))])
-                use = known[owner] & inner
-                owner, scale, turn, y, x, d = (a[use] for a in (owner, scale, turn, y, x, d))
-                if not len(owner):
-                    continue
-                chunks = np.stack([d[:, 0] >> U(32), d[:, 0] & U(0xFFFFFFFF), d[:, 1] >> U(32), d[:, 1] & U(0xFFFFFFFF)], 1)
-                part = part_of(mix(chunks + (np.arange(4, dtype=np.uint64) << U(32))), parts)
-                i, table = np.divmod(np.argsort(part.reshape(-1), kind="stable"), 4)
-                small = [a.astype(t)[i] for a, t in ((scale, np.uint8), (turn, np.uint8), (y, np.int32), (x, np.int32))]
-                yield dealt(part[i, table], [table.astype(np.uint8), faces[owner[i]], *small, d[i, 0], d[i, 1]])
+                faces = face(owner, scale, turn, y, x, d, n)
+                points, own = (np.bincount(o, minlength=n)[:n] for o in (owner, owner[inner]))
+                order = np.flatnonzero(inner)[np.argsort(owner[inner], kind="stable")]
+                out = np.empty(len(order), CORNER)
+                for name, a in (("scale", scale), ("turn", turn), ("y", y), ("x", x), ("d0", d[:, 0]), ("d1", d[:, 1])):
+                    out[name] = a[order]
+                ends = np.cumsum(own)
+                blobs = [out[e - k : e].tobytes() for e, k in zip(ends.tolist(), own.tolist())]
+                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(faces), pa.array(points, pa.int64()), pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], ["doc", "face", "points", "inner", "corners"])
         trim()
 
-    corners = df.select(F.col(key).cast("long"), image).mapInArrow(run, "part int, counts boolean, blob binary")
+    rows = materialize(df.select(F.col(key).cast("long"), image).mapInArrow(run, "doc long, face long, points long, inner long, corners binary"), "corners")
+    images = rows.where("doc is not null and points >= 2").select("doc", "face", "inner").distinct()
+    faces = materialize(images.groupBy("face").agg(F.max("inner").alias("points"), F.min("doc").alias("first"), F.count("*").alias("n")), "faces")
+    least = F.least("points", "others")
+    needed = F.greatest(F.lit(2), F.least(least, F.greatest(F.lit(VOTES), F.ceil(least * SHARE))))
+    theirs = faces.select(F.col("face").alias("other"), F.col("points").alias("others"), F.col("first").alias("other_first"), F.col("n").alias("other_n"))
+
+    def dealt(part: np.ndarray, columns) -> pa.RecordBatch:
+        """Rows that hold the columns' elements by part; part is sorted."""
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        blobs = [pack(*(c[a:b] for c in columns)) for a, b in zip(cut, np.append(cut[1:], len(part)))]
+        return pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+    def by_pair(tiles) -> pa.RecordBatch:
+        doc, other, change, times = summed(*(np.concatenate([t[k] for t in tiles]) for k in range(4)))
+        part = part_of(mix(mix(doc.view(np.uint64)) + other.view(np.uint64)), pair_parts)
+        order = np.argsort(part, kind="stable")
+        return dealt(part[order], [a[order] for a in (doc, other, change, times.astype(np.int32))])
+
+    def gathered(batches, most: int = 4096):
+        """(faces, groups, corners) of some images at a time: each corner with its image's place."""
         for batch in batches:
-            for part, counts, blob in zip(*(batch.column(n).to_pylist() for n in ("part", "counts", "blob"))):
-                if counts:
-                    yield row([part], True, [blob])
-                else:
-                    found.append(unpack(blob))
+            for at in range(0, batch.num_rows, most):
+                some = batch.slice(at, most)
+                blobs = some.column("corners").to_pylist()
+                out = np.frombuffer(b"".join(blobs), CORNER)
+                if len(out):
+                    owner = np.repeat(np.arange(len(blobs)), [len(b) // CORNER.itemsize for b in blobs])
+                    yield some.column("face").to_numpy()[owner], some.column("group").to_numpy()[owner], out
+
+    def once(batches):
+        """Corners by descriptor."""
+        for faces_, _, c in gathered(batches):
+            part = part_of(mix(mix(c["d0"]) + c["d1"]), parts)
+            i = np.argsort(part, kind="stable")
+            yield dealt(part[i], [faces_[i], *(c[n][i] for n in CORNER.names)])
+        trim()
+
+    def four_times(batches):
+        """Corners by each quarter of their descriptor."""
+        for faces_, groups, c in gathered(batches):
+            low = U(0xFFFFFFFF)
+            chunks = np.stack([c["d0"] >> U(32), c["d0"] & low, c["d1"] >> U(32), c["d1"] & low], 1)
+            part = part_of(mix(chunks + (np.arange(4, dtype=np.uint64) << U(32))), parts)
+            i, table = np.divmod(np.argsort(part.reshape(-1), kind="stable"), 4)
+            together = (faces_ ^ groups)[i]  # most images are alone, and zeros take no room
+            yield dealt(part[i, table], [table.astype(np.uint8), faces_[i], together, *(c[n][i] for n in CORNER.names)])
+        trim()
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+        found = [unpack(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
+        return [np.concatenate([f[k] for f in found]) for k in range(len(found[0]))] if found else None
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = unpacked(batches)
         if found:
-            chunk, doc, scale, turn, y, x, d0, d1 = (np.concatenate([f[k] for f in found]) for k in range(8))
+            doc, scale, turn, y, x, d0, d1 = found
+            votes = leads(doc, *(a.astype(np.int64) for a in (scale, turn, y, x)), np.stack([d0, d1], 1))
+            if len(votes[0]):
+                yield by_pair([votes])
+        trim()
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = unpacked(batches)
+        if found:
+            chunk, doc, together, scale, turn, y, x, d0, d1 = found
             del found
             d = np.stack([d0, d1], 1)
             c = chunk.astype(np.int64)
             half = d[np.arange(len(c)), c // 2]
             value = np.where(c % 2 == 0, half >> U(32), half & U(0xFFFFFFFF))
             some, size = [], 0
-            tiles = matches(mix(value + (c.astype(np.uint64) << U(32))), doc, scale.astype(np.int64), turn.astype(np.int64), y.astype(np.int64), x.astype(np.int64), d, c)
+            tiles = matches(mix(value + (c.astype(np.uint64) << U(32))), doc, *(a.astype(np.int64) for a in (scale, turn, y, x)), d, c, doc ^ together)
             for tile in tiles:
                 some.append(tile)
                 size += len(tile[0])
@@ -371,47 +475,39 @@ def find_copies(df: DataFrame, key: str, image: str) -> DataFrame:
                 yield by_pair(some)
         trim()
 
-    def by_pair(tiles) -> pa.RecordBatch:
-        doc, other, change, times = summed(*(np.concatenate([t[k] for t in tiles]) for k in range(4)))
-        part = part_of(mix(mix(doc.view(np.uint64)) + other.view(np.uint64)), pair_parts)
-        order = np.argsort(part, kind="stable")
-        return dealt(part[order], [a[order] for a in (doc, other, change, times.astype(np.int32))])
-
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for batch in batches:
-            for counts, blob in zip(*(batch.column(n).to_pylist() for n in ("counts", "blob"))):
-                if counts:
-                    ids, known, points, faces, inner = unpack(blob)
-                    none = np.ones(len(ids), bool)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(faces), pa.array(ids, mask=none), pa.array(points.astype(np.int64)), pa.array(inner.astype(np.int64))], names)
-                else:
-                    found.append(unpack(blob))
+        found = unpacked(batches)
         if found:
-            doc, other, votes = agreement(*(np.concatenate([f[k] for f in found]) for k in range(3)), np.concatenate([f[3] for f in found]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=np.ones(len(doc), bool)), pa.array(doc), pa.array(other), pa.array(votes), pa.array(np.zeros(len(doc), np.int64))], names)
+            doc, other, change, times = found
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in agreement(doc, other, change, times.astype(np.int64))], ["face", "other", "votes"])
         trim()
 
-    # faces that agree, with their votes, and rows without a partner that hold an image's face and number of corners
-    names = ["doc", "face", "other", "votes", "inner"]
-    voted = corners.groupBy("part").applyInArrow(vote, "part int, counts boolean, blob binary")
-    every = materialize(voted.groupBy("part").applyInArrow(agree, "doc long, face long, other long, votes long, inner long"), "votes")
-    agreed = every.where("other is not null").select("face", "other", "votes")
-    rows = every.where("other is null").select("doc", "face", F.col("votes").alias("points"), "inner")
-    images = rows.where("doc is not null and points >= 2").select("doc", "face", "inner").distinct()
-    faces = materialize(images.groupBy("face").agg(F.max("inner").alias("points"), F.min("doc").alias("first"), F.count("*").alias("n")), "faces")
-    least = F.least("points", "others")
-    needed = F.greatest(F.lit(2), F.least(least, F.greatest(F.lit(VOTES), F.ceil(least * SHARE))))
-    theirs = faces.select(F.col("face").alias("other"), F.col("points").alias("others"), F.col("first").alias("other_first"), F.col("n").alias("other_n"))
-    links = materialize(agreed.join(faces, "face").join(theirs, "other").where(F.col("votes") >= needed).select("face", "other", "first", "other_first", "n", "other_n"), "links")
-    # an image's links: the others of its face, and all images of the faces that its face is linked with
-    both = links.select("face", F.col("other_n").alias("m")).unionByName(links.select(F.col("other").alias("face"), F.col("n").alias("m")))
-    both = both.unionByName(faces.select("face", (F.col("n") - 1).alias("m"))).groupBy("face").agg(F.sum("m").alias("m"))
+    def linked(corners: DataFrame, deal, votes, name: str) -> DataFrame:
+        """Pairs of faces that enough corners agree on."""
+        exchanged = corners.mapInArrow(deal, "part int, blob binary").groupBy("part").applyInArrow(votes, "part int, blob binary")
+        agreed = exchanged.groupBy("part").applyInArrow(agree, "face long, other long, votes long")
+        found = agreed.join(faces, "face").join(theirs, "other").where(F.col("votes") >= needed)
+        return materialize(found.select("face", "other", "first", "other_first", "n", "other_n"), name)
+
+    corners = rows.where("doc is not null and inner > 0").select("face", "corners")
+    if count_links:
+        links = linked(corners.withColumn("group", F.col("face")), four_times, vote, "links")
+    else:
+        leading = linked(corners.withColumn("group", F.col("face")), once, lead, "leading")
+        together = materialize(components(leading, "face", "other"), "together")
+        # the table of groups grows with the corpus: one plan at every size, never a broadcast
+        grouped = corners.join(together.hint("merge"), F.col("face") == F.col("node"), "left").select("face", F.coalesce("component", "face").alias("group"), "corners")
+        links = leading.unionByName(linked(grouped, four_times, vote, "links"))
     mine = images.join(faces.select("face", "first"), "face")
-    degree = images.join(both, "face").groupBy("doc").agg(F.sum("m").cast("long").alias("n_links"))
     stars = mine.where(F.col("doc") != F.col("first")).select("doc", F.col("first").alias("other"))
     edges = materialize(links.where(F.col("first") != F.col("other_first")).select(F.col("first").alias("doc"), F.col("other_first").alias("other")).unionByName(stars), "edges")
     groups = components(edges, "doc", "other")
-    out = rows.join(groups, F.col("doc") == F.col("node"), "left").join(degree.withColumnRenamed("doc", "__of"), F.col("doc") == F.col("__of"), "left")
-    out = out.select(F.col("doc").alias(key), F.col("points").alias("n_points"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "doc").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    out = rows.select("doc", "points").join(groups, F.col("doc") == F.col("node"), "left").select("doc", F.col("points").alias("n_points"), F.coalesce("component", "doc").alias("component_id"))
+    if count_links:
+        # an image's links: the others of its face, and all images of the faces that its face is linked with
+        both = links.select("face", F.col("other_n").alias("m")).unionByName(links.select(F.col("other").alias("face"), F.col("n").alias("m")))
+        both = both.unionByName(faces.select("face", (F.col("n") - 1).alias("m"))).groupBy("face").agg(F.sum("m").alias("m"))
+        degree = images.join(both, "face").groupBy("doc").agg(F.sum("m").cast("long").alias("n_links"))
+        out = out.join(degree.withColumnRenamed("doc", "__of"), F.col("doc") == F.col("__of"), "left")
+        out = out.select("doc", "n_points", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True))).withColumnRenamed("doc", key)
