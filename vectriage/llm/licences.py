@@ -3,7 +3,7 @@
 Canonical form, in this order: lower case; lines that state a copyright or "all rights reserved" go; equivalent spellings
 become one (licence/license, sub-license, "http" and "https", copyright signs); every run of characters that are neither
 letters nor digits becomes one blank, outer blanks go. The digest is the SHA-256 of the form's UTF-8 bytes. Known licences
-are a table (licence_id, text) that goes through the same form; it is joined by digest, and broadcast only if Spark's
+are a table of texts, which go through the same form, and of digests; it is joined by digest, and broadcast only if Spark's
 threshold says so. Everything is built-in functions; long texts are read whole.
 
 Defined results: a null or empty text, or one that has an empty form, has an empty form's digest and no licence. Rows are
@@ -62,8 +62,51 @@ KNOWN = [
         "Unlicense",
         'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>',
     ),
+    (
+        "BSD-2-Clause",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ),
+    (
+        "BSD-3-Clause",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ),
 ]
 
+# Title lines that whole licence files of these texts begin with.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"],
+    "Unlicense": ["The Unlicense"],
+}
+
+# Digests of the canonical forms of whole licence files, as distributions carry them.
+DIGESTS = [
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),  # with its appendix
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),  # without
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),  # the University's
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3-only", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0-only", "8a4692e318e41e8d96d4610f021d16f03ff4485322f3d81c00d2621fdda7b2b1"),
+    ("GPL-2.0-only", "0248b317bc123a7424b6ff9799b9786ffde75241881994270612a604d03836cc"),
+    ("GPL-3.0-only", "335e2e9a39badb7f3faa5b6e393ff8b393f868383be9ddbf866c5821b34f4810"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "010ef3e2d3efceb19d44336a9aba2f54fa650cd537869380f53f4d6acad82b50"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
+
+
+def titled() -> list[tuple[str, str]]:
+    """The known texts, and those of more than a line with each of their titles before them."""
+    return KNOWN + [(i, f"{title}\n{t}") for i, t in KNOWN if len(t) > 100 for title in TITLES.get(i, [])]
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
@@ -83,14 +126,20 @@ def canonical_sql(text: str) -> str:
 
 
 def known(spark: SparkSession, licences: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(licence_id, text) of the known licences."""
-    return spark.createDataFrame(KNOWN if licences is None else licences, "licence_id string, text string")
+    """(licence_id, text, digest) of the known licences: texts, or digests of canonical forms whose texts aren't kept."""
+    rows = [(i, t, None) for i, t in titled()] + [(i, None, d) for i, d in DIGESTS] if licences is None else [(i, t, None) for i, t in licences]
+    return spark.createDataFrame(rows, "licence_id string, text string, digest string")
 
 
 def scan(df: DataFrame, licences: DataFrame, text: str = "text") -> DataFrame:
-    """df with text_digest and licence_id, null where the whole text is no known licence."""
+    """df with text_digest and licence_id, null where the whole text is no known licence.
+
+    licences has licence_id and text, and may have digest, which stands where the text is null.
+    """
     string_columns(df, text)
-    by_digest = licences.select(F.sha2(canonical(F.col("text")), 256).alias("__digest"), "licence_id").where(F.col("__digest") != F.sha2(F.lit(""), 256))
+    own = F.sha2(canonical(F.col("text")), 256)
+    own = F.when(F.col("text").isNull(), F.col("digest")).otherwise(own) if "digest" in licences.columns else own
+    by_digest = licences.select(own.alias("__digest"), "licence_id").where(F.col("__digest") != F.sha2(F.lit(""), 256))
     by_digest = by_digest.groupBy("__digest").agg(F.min("licence_id").alias("__licence"))
     rows = df.withColumn("text_digest", F.sha2(canonical(F.col(text)), 256))
     kept = [c for c in rows.columns if c not in ("licence_id", "__digest", "__licence")]

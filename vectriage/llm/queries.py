@@ -43,10 +43,12 @@ def quoted(text: str) -> str:
 
 
 OP1_SQL = f"""
-WITH known(licence_id, text) AS (VALUES {", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licences.KNOWN)}),
+WITH known(licence_id, text) AS (VALUES {", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licences.titled())}),
+digests(licence_id, text_digest) AS (VALUES {", ".join(f"({quoted(i)}, {quoted(d)})" for i, d in licences.DIGESTS)}),
 by_digest AS (
-  SELECT sha256({licences.canonical_sql("text")}) AS text_digest, min(licence_id) AS licence_id
-  FROM known WHERE {licences.canonical_sql("text")} <> '' GROUP BY 1
+  SELECT text_digest, min(licence_id) AS licence_id FROM (
+    SELECT licence_id, sha256({licences.canonical_sql("text")}) AS text_digest FROM known WHERE {licences.canonical_sql("text")} <> '' UNION ALL SELECT licence_id, text_digest FROM digests
+  ) GROUP BY 1
 ),
 scanned AS (SELECT doc_id, sha256({licences.canonical_sql("text")}) AS text_digest FROM documents)
 SELECT doc_id, text_digest, licence_id FROM scanned LEFT JOIN by_digest USING (text_digest)
