@@ -10,7 +10,8 @@ between one corner and where the other lies when it is resized and turned; what
 Orientations are 16, so copies turned by a multiple of 90 degrees have one shift, and others only as far as their corners
 are near each other. Images are linked if VOTES corners agree on one change, and a SHARE of the corners of the poorer one
 (where that has fewer than VOTES: all of them, two at least); links' connected components are the groups of copies. The
-corners of an image's frame are in n_points, but neither vote nor count for this, for images of one size share them.
+corners that an image's frame makes are in n_points, but neither vote nor count for this: they tell nothing of what it
+shows, and images that have nothing in common share them. An image without others has only equal images as copies.
 
 All arithmetic on pixels is whole numbers, so an image's descriptors don't depend on the images beside it. The exchange has
 one row for each map batch and part, not for each descriptor. Equal images cost nothing. Images that are copies of one
@@ -38,8 +39,9 @@ from .components import components
 
 RADIUS, PAD, TURNS, TESTS = 10, 10, 16, 128
 NEAR, VOTES, SHARE, SHIFT = 16, 6, 0.1, 8
-#: Pixels from two of its borders, at a corner's scale, within which a corner is that of the image's frame.
-FRAME = 4
+#: Pixels from a border, at a corner's scale, within which its strength depends on what lies beyond the image: one each of
+#: the smoothing, the gradient and the sums. From two borders, pixels within which a corner is that of the image's frame.
+EDGE, FRAME = 3, 4
 #: Pixels that are described at a time; their arrays stay in a core's cache.
 PIXELS = 1 << 16
 #: Pairs that are held at a time.
@@ -207,10 +209,10 @@ def face(owner, scale, turn, y, x, d, n: int) -> np.ndarray:
 
 
 def of_frame(images: list[np.ndarray | None], owner, scale, y, x) -> np.ndarray:
-    """Where corners are those of an image's frame: all images of one size have them at the same places."""
+    """Where corners are made by the image's frame, not by what it shows: images that have nothing in common share them."""
     height, width = np.array([im.shape if im is not None else (0, 0) for im in images]).reshape(-1, 2)[owner].T
-    edge = FRAME * scale
-    return ((y < edge) | (y >= height - edge)) & ((x < edge) | (x >= width - edge))
+    within = lambda n, at, size: (at < n * scale) | (at >= size - n * scale)
+    return within(EDGE, y, height) | within(EDGE, x, width) | (within(FRAME, y, height) & within(FRAME, x, width))
 
 
 def _pairs(start: np.ndarray, d: np.ndarray):
