@@ -93,6 +93,29 @@ def test_tiles_give_what_one_comparison_gives(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_large_families_of_several_groups(spark, monkeypatch):
+    """Pages of one template, some of them copies of each other: one family, in which only bands of several groups are compared."""
+    rnd = random.Random(6)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{i}" for i in range(rnd.choice([20, 40, 60]))]
+        for _ in range(rnd.choice([1, 3, 9])):
+            rows.append((len(rows) * 7 % 211, edited(rnd, template + own, rnd.randrange(4))))
+    rows += [(300 + k, rows[0][1]) for k in range(5)]
+    monkeypatch.setattr(minhash, "TILE", 8)
+    check(spark, rows)
+    check(spark, rows, 5, (4, 5))
+
+
+def test_passed_columns_and_long_texts(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(60000))
+    df = spark.createDataFrame([(1, long, "a", 1), (2, long + " end", "b", 2), (3, None, "c", 3)], SCHEMA + ", component_id string, near int")
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(tuple(r)[2:] for r in kept.collect()) == [("a", 1), ("c", 3)]
+    assert minhash.near_duplicates(df).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
 def test_overlaps_by_lists_and_by_product():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200))).astype(np.uint64) for _ in range(60)]
@@ -119,6 +142,17 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
+def test_components_with_hot_nodes_nulls_and_no_edges(spark, monkeypatch):
+    from vectriage.llm import components as module
+
+    monkeypatch.setattr(module, "HOT", 5)
+    edges = [(50, i) for i in range(100, 160)] + [(i, 400) for i in range(155, 300)] + [(900, 901)] + [(None, 3), (3, None)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    nodes = {50, 400, *range(100, 300)}
+    assert got == {**dict.fromkeys(nodes, 50), 900: 900, 901: 900}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
 def test_words_by_bytes():
     import pyarrow as pa
 

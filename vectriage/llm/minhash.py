@@ -6,11 +6,15 @@
    paired with it, so a band of n gives n - 1 pairs. Two documents at similarity 0.85 share no band with probability
    4e-7. The collision-corrected estimate drops pairs far below any use (under 0.25, for sets of 64 or more), and what
    is left is put together to families: two similar documents are in one family.
-3. Families are compared on full sets, all against all: common shingles by a matrix product, rare ones by their lists.
-   Families over TILE documents are cut into tiles, and each pair of tiles is a group of its own. A group gives no
-   pairs, only a tree of links.
+3. Families of up to TILE documents are compared on full sets, all against all: common shingles by a matrix product,
+   rare ones by their lists. In larger families, each document is compared with the leader that it is estimated to be
+   nearest to; what that links is put together. There, all pairs are compared only within bands that still hold documents
+   of several groups, in tiles. A comparison gives no pairs, only a tree of links.
 4. The links' connected components are the result.
 
+Texts with one 128-bit digest and size of their sets are taken for equal, and sets are of 64-bit hashes: a collision of
+these, at 2**-64 for a pair of shingles, is not looked for.
+
 Defined results: null and empty texts and texts without words have an empty set, belong to no pair, and are a component
 of their own. A row with a null doc_id takes part in nothing; its component is null and it is kept. Rows with one doc_id
 and several texts count as one document for links; rows that are alike in both get the same result. Computed columns
@@ -63,7 +67,7 @@ def band_keys(classes: DataFrame, least: int) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (doc, leader) whose estimated similarity isn't far below any use."""
+    """Pairs (doc, leader, near) whose estimated similarity isn't far below any use."""
     side = classes.select("doc", "n", "sig")
     wide = pairs.join(side, "doc").join(side.select(F.col("doc").alias("leader"), F.col("n").alias("m"), F.col("sig").alias("other")), "leader").select("doc", "leader", "n", "m", "sig", "other")
 
@@ -75,9 +79,9 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
             found, _ = estimate(a, b, n, m)
             keep = (found >= FLOOR) | (np.maximum(n, m) < LARGE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc", "leader"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["doc", "leader", "near"]).filter(pa.array(keep))
 
-    return wide.mapInArrow(run, "doc long, leader long")
+    return wide.mapInArrow(run, "doc long, leader long, near double")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -132,6 +136,85 @@ def link(a: list[np.ndarray], b: list[np.ndarray] | None, share: tuple[int, int]
         label = new
 
 
+def likely(df: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of df whose key may be among ids, by a hash of 16 bits: no more than 65,536 numbers are broadcast."""
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 16))
+    return df.join(F.broadcast(ids.select(bucket(name).alias("__bucket")).distinct()), bucket(key) == F.col("__bucket"), "left_semi")
+
+
+UNIT = ["component", "low", "high", "tile", "node"]
+
+
+def tiled(groups: DataFrame, most: int) -> DataFrame:
+    """Units of comparison of groups (component, node): tiles of about `most` nodes, and each pair of tiles of a group."""
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    rows = groups.join(sizes.select("component", F.ceil(F.col("size") / most).cast("int").alias("tiles")), "component")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return rows.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).select(*UNIT, (F.col("tiles") == 1).alias("alone"))
+
+
+def stars(pairs: DataFrame, most: int) -> DataFrame:
+    """Units of comparison of pairs (doc, leader): a leader with about `most` of its documents at a time."""
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / most).cast("int").alias("tiles"))
+    mine = pairs.join(sizes, "leader").withColumn("high", (F.pmod(F.xxhash64("doc"), F.col("tiles")) + 1).cast("int"))
+    mine = mine.select(F.col("leader").alias("component"), F.lit(0).alias("low"), "high", F.col("high").alias("tile"), F.col("doc").alias("node"))
+    lead = sizes.withColumn("high", F.explode(F.sequence(F.lit(1), F.col("tiles"))))
+    lead = lead.select(F.col("leader").alias("component"), F.lit(0).alias("low"), "high", F.lit(0).alias("tile"), F.col("leader").alias("node"))
+    return mine.unionByName(lead).withColumn("alone", F.lit(False))
+
+
+class Comparison:
+    """Comparisons of documents on their full sets."""
+
+    def __init__(self, df: DataFrame, key: str, text: str, width: int, share: tuple[int, int]):
+        self.texts = df.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
+        self.width, self.share, self.bins = width, share, parts_for(df, 4 << 20)
+
+    def links(self, units: DataFrame, few: bool) -> DataFrame:
+        """(node, root): a tree of links for each unit. few: most texts aren't in any unit, and stay where they are."""
+        width, share = self.width, self.share
+        packed = F.pmod(F.xxhash64("component"), F.lit(self.bins))
+        unit = F.when(F.col("alone"), packed).otherwise(F.lit(self.bins) + F.pmod(F.xxhash64("component", "low", "high"), F.lit(1 << 40)))
+        members = units.withColumn("unit", unit).groupBy("node").agg(F.collect_list(F.struct("unit", "component", "low", "high", "tile")).alias("at"))
+        texts = likely(self.texts, "node", units, "node") if few else self.texts
+
+        def sets_of(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    sets, sizes = shingle_sets(*raw(part.column(2)), width)
+                    ends = np.cumsum(sizes)
+                    values = pa.array([sets[e - n : e].tobytes() for n, e in zip(sizes.tolist(), ends.tolist())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), values], ["node", "at", "shingles"])
+            trim()
+
+        # the ids grow with the corpus: one plan at every size, never a broadcast that a larger table has to give up
+        placed = texts.join(members.hint("merge"), "node").select("node", "at", "text").mapInArrow(sets_of, "node long, at array<struct<unit: long, component: long, low: int, high: int, tile: int>>, shingles binary")
+        placed = placed.select("node", "shingles", F.explode("at").alias("at")).select("at.*", "node", "shingles").where("octet_length(shingles) > 0")
+
+        @trimmed
+        def confirm(table: pa.Table) -> pa.Table:
+            t = {n: table.column(n).to_numpy() for n in UNIT}
+            sets = table.column("shingles")
+            order = np.lexsort((t["node"], t["tile"], t["high"], t["low"], t["component"]))
+            place = np.stack([t["component"][order], t["low"][order], t["high"][order]], 1)
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+            nodes, roots = [], []
+            for own in np.split(order, cuts):
+                found = [np.frombuffer(sets[i].as_py(), np.uint64) for i in own.tolist()]
+                left = int((t["tile"][own] == t["low"][own]).sum())
+                apart = t["low"][own[0]] != t["high"][own[0]]
+                if apart and not 0 < left < len(own):
+                    continue
+                label = link(found[:left], found[left:], share) if apart else link(found, None, share)
+                moved = np.flatnonzero(label != np.arange(len(own)))
+                nodes.append(t["node"][own[moved]])
+                roots.append(t["node"][own[label[moved]]])
+            return pa.table({"node": pa.array(np.concatenate(nodes) if nodes else [], pa.int64()), "root": pa.array(np.concatenate(roots) if roots else [], pa.int64())})
+
+        return placed.groupBy("unit").applyInArrow(confirm, "node long, root long")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row for each row of df: key, n_shingles, component_id (the least key reachable), kept.
 
@@ -147,56 +230,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     bands = band_keys(classes, -(-num // (den - num)))
     leaders = bands.groupBy("band").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").select("band", "leader")
     pairs = bands.join(leaders, "band").where("doc <> leader").select("doc", "leader").distinct()
-    family = materialize(components(plausible(pairs, classes), "doc", "leader"), "families")
-
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    bins = parts_for(df, 4 << 20)
-    members = (
-        family.join(family.groupBy("component").agg(F.count("*").alias("size")).select("component", tiles.alias("tiles")), "component")
-        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-        .withColumn("unit", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.lit(bins) + F.pmod(F.xxhash64("component", "low", "high"), F.lit(1 << 40))))
-        .groupBy("node").agg(F.collect_list(F.struct("unit", "component", "low", "high", "tile")).alias("at"))
-    )
-    texts = df.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
-
-    def sets_of(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets, sizes = shingle_sets(*raw(part.column(2)), width)
-                ends = np.cumsum(sizes)
-                values = pa.array([sets[e - n : e].tobytes() for n, e in zip(sizes.tolist(), ends.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), values], ["node", "at", "shingles"])
-        trim()
+    pairs = materialize(plausible(pairs, classes), "pairs")
+    family = materialize(components(pairs, "doc", "leader"), "families")
+    sized = family.join(family.groupBy("component").agg(F.count("*").alias("size")), "component")
+    small = sized.where(F.col("size") <= TILE).select("component", "node")
+    large = sized.where(F.col("size") > TILE).select("node")
 
-    # the ids grow with the corpus: one plan at every size, never a broadcast that a larger table has to give up
-    placed = texts.join(members.hint("merge"), "node").select("node", "at", "text").mapInArrow(sets_of, "node long, at array<struct<unit: long, component: long, low: int, high: int, tile: int>>, shingles binary")
-    placed = placed.select("node", "shingles", F.explode("at").alias("at")).select("at.*", "node", "shingles").where("octet_length(shingles) > 0")
-
-    @trimmed
-    def confirm(table: pa.Table) -> pa.Table:
-        t = {n: table.column(n).to_numpy() for n in ("component", "low", "high", "tile", "node")}
-        sets = table.column("shingles")
-        order = np.lexsort((t["node"], t["tile"], t["high"], t["low"], t["component"]))
-        place = np.stack([t["component"][order], t["low"][order], t["high"][order]], 1)
-        cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
-        nodes, roots = [], []
-        for own in np.split(order, cuts):
-            found = [np.frombuffer(sets[i].as_py(), np.uint64) for i in own.tolist()]
-            left = int((t["tile"][own] == t["low"][own]).sum())
-            apart = t["low"][own[0]] != t["high"][own[0]]
-            if apart and not 0 < left < len(own):
-                continue
-            label = link(found[:left], found[left:], share) if apart else link(found, None, share)
-            moved = np.flatnonzero(label != np.arange(len(own)))
-            nodes.append(t["node"][own[moved]])
-            roots.append(t["node"][own[label[moved]]])
-        return pa.table({"node": pa.array(np.concatenate(nodes) if nodes else [], pa.int64()), "root": pa.array(np.concatenate(roots) if roots else [], pa.int64())})
-
-    links = placed.groupBy("unit").applyInArrow(confirm, "node long, root long")
-    found = components(links, "node", "root")
+    compare = Comparison(df, key, text, width, share)
+    own = likely(pairs, "doc", large, "node").join(large.withColumnRenamed("node", "doc"), "doc", "left_semi")
+    nearest = own.groupBy("doc").agg(F.max_by("leader", F.struct("near", -F.col("leader"))).alias("leader"))
+    first = materialize(compare.links(tiled(small, TILE).unionByName(stars(nearest, TILE)), False), "first-links")
+    # of larger families, the bands that hold documents of several groups
+    together = materialize(components(first, "node", "root"), "together")
+    left = likely(bands, "doc", large, "node").join(large.withColumnRenamed("node", "doc"), "doc", "left_semi")
+    left = left.join(together, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "doc").alias("group"))
+    mixed = left.groupBy("band").agg(F.min("group").alias("__low"), F.max("group").alias("__high")).where("__low < __high").select("band")
+    spread = materialize(left.join(mixed, "band").select(F.col("band").alias("component"), F.col("doc").alias("node")), "spread")
+    second = compare.links(tiled(spread, TILE), True)
+    found = components(together.select("node", F.col("component").alias("root")).unionByName(second), "node", "root")
     of_class = classes.join(found, F.col("doc") == F.col("node"), "left").select("d0", "d1", "n", F.coalesce("component", "doc").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
     out = rows.join(materialize(of_class, "classes"), ["d0", "d1", "n"], "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), own).alias("component_id"))
