@@ -701,3 +701,6 @@ def event_windows(spark, sf_dir):
     from ..streaming.incremental import counts_by_window
 
     return counts_by_window(table(spark, sf_dir, "events"), "ts", "event_type", "value").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from . import catalog_volumes  # noqa: E402, F401  (registers its queries)
