@@ -82,10 +82,9 @@ def project(scans: DataFrame, scorer: Scorer) -> DataFrame:
     """scans with v in the space that the scorer's prompts are in; vectors of another length are an error."""
     weights, bias = scorer.image_projection()
     width = len(weights[0])
-    row = lambda w, b: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in w]), lambda x, y: x * y), F.lit(float(b)), lambda a, x: a + x)
     if np.array_equal(weights, np.eye(width)) and not any(bias):
         return scans
-    checked = F.when(F.size("v") == width, F.array(*[row(w, b) for w, b in zip(weights, bias)])).otherwise(F.raise_error(F.lit(f"{scorer.name} wants vectors of {width}")))
+    checked = F.when(F.size("v") == width, vectors.project(weights, bias, F.col("v"))).otherwise(F.raise_error(F.lit(f"{scorer.name} wants vectors of {width}")))
     return scans.withColumn("v", checked)
 
 

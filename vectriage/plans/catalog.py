@@ -703,4 +703,4 @@ def event_windows(spark, sf_dir):
     return counts_by_window(table(spark, sf_dir, "events"), "ts", "event_type", "value").select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from . import catalog_volumes  # noqa: E402, F401  (registers its queries)
+from . import catalog_files, catalog_volumes  # noqa: E402, F401  (they register their queries)
