@@ -250,16 +250,16 @@ def results_json(spark, sf_dir):
 _DIFF = f"d AS ({_PAIRED}), c AS (SELECT model_a, model_b, label, avg(d) AS diff, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM d GROUP BY 1, 2, 3)"
 
 
-@register("pair_table", f"WITH {pools_sql()}, {boot_sql()}, {RUNS}, {_DIFF} SELECT label, max(CASE WHEN model_b = 'first' THEN round(diff, 5) END) AS first_diff, max(CASE WHEN model_b = 'first' THEN CASE WHEN lo > 0 THEN 'A' WHEN hi < 0 THEN 'B' ELSE 'ns' END END) AS first_sig, max(CASE WHEN model_b = 'second' THEN round(hi, 5) END) AS second_high FROM c WHERE model_a = 'full' GROUP BY 1")
+@register("pair_table", f"WITH {pools_sql()}, {boot_sql()}, {RUNS}, {_DIFF} SELECT label, max(CASE WHEN model_b = 'first' THEN round(diff, 6) END) AS first_diff, max(CASE WHEN model_b = 'first' THEN CASE WHEN lo > 0 THEN 'A' WHEN hi < 0 THEN 'B' ELSE 'ns' END END) AS first_sig, max(CASE WHEN model_b = 'second' THEN round(hi, 6) END) AS second_high FROM c WHERE model_a = 'full' GROUP BY 1")
 def pair_table(spark, sf_dir):
     scored = unstable(pools(spark, sf_dir).withColumn("grp", F.col("id") % 125))
     run = unstable(bootstrap.fast_runs(scored, patients(spark, sf_dir), "grp", ["model"], 20, 11))
     wide = evaluation.pair_table(bootstrap.all_pairs(run, "model", ["label"], MODELS, "ap"), ["full vs first", "full vs second"])
-    number = lambda c: F.round(F.col(f"`{c}`").cast("double"), 5)
+    number = lambda c: F.col(f"`{c}`").cast("double")
     return wide.select("label", number("full vs first_diff").alias("first_diff"), F.col("`full vs first_sig`").alias("first_sig"), number("full vs second_high").alias("second_high"))
 
 
-_MACRO = f"WITH {_RESULTS}, w AS (SELECT a.model AS model_a, b.model AS model_b, metric, b, a.value - b.value AS d FROM rs a JOIN rs b USING (metric, b) WHERE a.label IS NULL AND b.label IS NULL AND list_position(['full', 'first', 'second', 'sign'], a.model) < list_position(['full', 'first', 'second', 'sign'], b.model)), c AS (SELECT model_a || ' vs ' || model_b AS pair, metric, avg(d) AS diff, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM w GROUP BY 1, 2) SELECT pair, max(CASE WHEN metric = 'macro_f1' THEN round(diff, 5) END) AS f1_diff, max(CASE WHEN metric = 'macro_pr_auc' THEN round(lo, 5) END) AS pr_low, max(CASE WHEN metric = 'hamming_accuracy' THEN round(hi, 5) END) AS hamming_high FROM c GROUP BY 1"
+_MACRO = f"WITH {_RESULTS}, w AS (SELECT a.model AS model_a, b.model AS model_b, metric, b, a.value - b.value AS d FROM rs a JOIN rs b USING (metric, b) WHERE a.label IS NULL AND b.label IS NULL AND list_position(['full', 'first', 'second', 'sign'], a.model) < list_position(['full', 'first', 'second', 'sign'], b.model)), c AS (SELECT model_a || ' vs ' || model_b AS pair, metric, avg(d) AS diff, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM w GROUP BY 1, 2) SELECT pair, max(CASE WHEN metric = 'macro_f1' THEN round(diff, 6) END) AS f1_diff, max(CASE WHEN metric = 'macro_pr_auc' THEN round(lo, 6) END) AS pr_low, max(CASE WHEN metric = 'hamming_accuracy' THEN round(hi, 6) END) AS hamming_high FROM c GROUP BY 1"
 
 
 @register("macro_pairs", _MACRO)
@@ -267,7 +267,7 @@ def macro_pairs(spark, sf_dir):
     scored = unstable(pools(spark, sf_dir).withColumn("grp", F.col("id") % 125))
     cfg = evaluation.EvalConfig(n_boot=20, seed=11)
     wide = evaluation.macro_pair_table(evaluation.compare_scalars(scored, cfg, MODELS), SCALARS)
-    number = lambda c, name: F.round(F.col(c).cast("double"), 5).alias(name)
+    number = lambda c, name: F.col(c).cast("double").alias(name)
     return wide.select("pair", number("macro_f1_diff", "f1_diff"), number("macro_pr_auc_low", "pr_low"), number("hamming_accuracy_high", "hamming_high"))
 
 
