@@ -142,10 +142,7 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
-def test_components_with_hot_nodes_nulls_and_no_edges(spark, monkeypatch):
-    from vectriage.llm import components as module
-
-    monkeypatch.setattr(module, "HOT", 5)
+def test_components_with_hot_nodes_nulls_and_no_edges(spark):
     edges = [(50, i) for i in range(100, 160)] + [(i, 400) for i in range(155, 300)] + [(900, 901)] + [(None, 3), (3, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     nodes = {50, 400, *range(100, 300)}

@@ -7,22 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Neighbours up to which a node isn't looked at by itself.
-HOT = 256
 
+def _star(edges: DataFrame) -> DataFrame:
+    """Link each node's neighbours to the least of them; edges are (u, v), v a neighbour of u.
 
-def _star(edges: DataFrame, n: int) -> DataFrame:
-    """Link each node's neighbours to the least of them; edges are (u, v), v a neighbour of u, about n of them.
-
-    The least comes by an aggregate that is combined before the shuffle. It goes back to the neighbours by a join on u; a
-    node with more than max(HOT, n / 1000) of them would be one task's work. There are 2000 such nodes at most, if each edge
-    is there from both sides, so they are broadcast, and their neighbours stay where they are.
+    The least comes by an aggregate that is combined before the shuffle, and is written: so the join that brings it back to
+    the neighbours is one of two shuffles, of which adaptive execution splits the partition of a node with very many.
     """
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("__n"))
-    many = F.col("__n") > max(HOT, n // 1000)
-    marked = edges.join(F.broadcast(least.where(many).select("u", F.col("m").alias("__m"))), "u", "left")
-    rest = marked.where("__m is null").drop("__m").join(least.where(~many).drop("__n"), "u")
-    return marked.where("__m is not null").withColumnRenamed("__m", "m").unionByName(rest)
+    least = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    return edges.join(least.hint("merge"), "u")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -42,8 +35,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = _star(large, mark[0])  # edges lead from the greater node to the less
+        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = _star(materialize(large, "large"))  # edges lead from the greater node to the less
         small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = materialize(small, "edges")
         now = _mark(e)

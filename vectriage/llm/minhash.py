@@ -246,8 +246,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     left = left.join(together, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "doc").alias("group"))
     mixed = left.groupBy("band").agg(F.min("group").alias("__low"), F.max("group").alias("__high")).where("__low < __high").select("band")
     spread = materialize(left.join(mixed, "band").select(F.col("band").alias("component"), F.col("doc").alias("node")), "spread")
-    second = compare.links(tiled(spread, TILE), True)
-    found = components(together.select("node", F.col("component").alias("root")).unionByName(second), "node", "root")
+    found = together
+    if not spread.isEmpty():
+        second = compare.links(tiled(spread, TILE), True)
+        found = components(together.select("node", F.col("component").alias("root")).unionByName(second), "node", "root")
     of_class = classes.join(found, F.col("doc") == F.col("node"), "left").select("d0", "d1", "n", F.coalesce("component", "doc").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
     out = rows.join(materialize(of_class, "classes"), ["d0", "d1", "n"], "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), own).alias("component_id"))
