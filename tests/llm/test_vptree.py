@@ -95,6 +95,33 @@ def test_pruning_and_factor():
     assert found[1.02] > 0.9 and found[1.02] >= found[1.05] >= found[1.3]
 
 
+def test_several_lengths_need_a_choice(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(1, 30)] + [(100 + i, [1.0, float(i), 2.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    with pytest.raises(ValueError, match="2 to 3 components"):
+        vptree.nearest(df)
+    compare(vptree.nearest(df, every=4, k=3, dim=2).collect(), brute(rows[:29], 4, 3))
+
+
+@pytest.mark.parametrize("kind", ["double", "int"])
+def test_other_kinds_of_components_and_many_units(spark, kind):
+    rng = np.random.default_rng(13)
+    rows = [(i, [kind == "int" and int(x) or float(x) for x in rng.integers(1, 9, 5)]) for i in range(400)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    compare(vptree.nearest(df, every=5, k=7, shard_bytes=100, query_block=20).collect(), brute(rows, 5, 7))
+
+
+def test_recall_of_relaxed_pruning(spark):
+    """A factor above 1 gives up little: nine in ten of the nearest are found."""
+    rng = np.random.default_rng(14)
+    centers = rng.normal(size=(30, 8)) * 4
+    rows = [(i, [float(x) for x in centers[i % 30] + rng.normal(size=8) * 0.5]) for i in range(6000)]
+    want = brute(rows, 60, 10)
+    got = vptree.nearest(spark.createDataFrame(rows, SCHEMA), every=60, k=10, factor=1.1).collect()
+    found = {(r.query_id, r.vec_id) for r in got}
+    assert np.mean([(q, i) in found for q, near in want.items() for i, _ in near]) >= 0.9
+
+
 def test_arguments(spark):
     with pytest.raises(ValueError):
         vptree.nearest(spark.createDataFrame([], SCHEMA), k=0)

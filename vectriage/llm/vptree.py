@@ -11,8 +11,9 @@ precision on the original vectors.
 Every row is indexed, in shards dealt by a hash of the id. Each block of queries meets each shard once; that unit of work
 holds one shard and one block, and returns its k best for each query. The k best of these are the result.
 
-Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
-take no part, and neither do rows with a null id. Equal scores go to the smaller id. Fewer than k candidates: all. Rows
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, and neither do
+rows with a null id; vectors of several lengths are an error, unless dim says which one counts. Other columns, whatever
+their names, aren't passed on. Equal scores go to the smaller id. Fewer than k candidates: all. Rows
 that repeat an id are each a candidate, but none is a candidate for a query with its own id; a repeated query id asks
 once, with its least vector. No vectors: no rows.
 """
@@ -23,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, plan_bytes, spans_index, string_columns
 
 LEAF = 512
-#: Compressed bytes of a shard, and queries in a block.
-SHARD_BYTES = 4 << 20
-QUERY_BLOCK = 16384
+#: Compressed bytes of a shard, and queries in a block: each a hundred megabytes or two of a worker's memory.
+SHARD_BYTES = 8 << 20
+QUERY_BLOCK = 32768
 #: Scores that are held at a time.
 SCORES = 1 << 21
 
@@ -172,25 +174,32 @@ def shard_best(v: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: n
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v): the rows that take part, components as doubles."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    """(id, v): the rows that take part; components stay single where they are single, and are doubles otherwise."""
+    kind = df.schema[vector].dataType.elementType
+    v = F.col(vector) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
-    sound = "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
-    rows = rows.where(sound)
-    usual = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("times")).orderBy(F.desc("times"), "dim").limit(1).select("dim")
-    return rows.join(F.broadcast(usual), F.size("v") == F.col("dim"), "left_semi")
+    return rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
 
 
-def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, factor: float = 1.0) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest found of each row whose id is divisible by every."""
+def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, factor: float = 1.0, dim: int | None = None, shard_bytes: int = SHARD_BYTES, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, id, score): the k nearest found of each row whose id is divisible by every.
+
+    dim: only vectors of that length take part; without it, vectors of several lengths are an error. A unit of work holds
+    shard_bytes of points and query_block queries; what is shuffled falls as these grow.
+    """
     string_columns(df, key, vector)
     if k < 1 or every < 1 or factor <= 0:
         raise ValueError("k, every and factor have to be positive")
-    rows = materialize(usable(df, key, vector), "vectors")
-    shards = max(12, plan_bytes(rows) // SHARD_BYTES)
-    top = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 0.0
+    rows = usable(df, key, vector)
+    rows = materialize(rows if dim is None else rows.where(F.size("v") == dim), "vectors")
+    shards = max(12, plan_bytes(rows) // shard_bytes)
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    facts = rows.agg(F.max(F.sqrt(square)), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if facts[1] != facts[2]:
+        raise ValueError(f"vectors have {facts[1]} to {facts[2]} components: say which with dim")
+    top = facts[0] or 0.0
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, asked.count() // QUERY_BLOCK)
+    blocks = max(1, asked.count() // query_block)
     shard, block = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
     points = rows.select(shard.alias("shard"), all_of(blocks).alias("block"), F.lit(False).alias("asks"), "id", "v")
@@ -198,7 +207,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
 
     def run(table: pa.Table) -> pa.Table:
         asks, ids = table.column("asks").to_numpy().astype(bool), table.column("id").to_numpy()
-        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         found = shard_best(v[~asks], ids[~asks], v[asks], ids[asks], top, k, factor) if asks.any() and not asks.all() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": found[0], "id": found[1], "score": found[2]})
 
