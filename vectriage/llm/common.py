@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written  # noqa: F401
+
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
 
@@ -19,43 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. In local mode, one of its own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="vectriage-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later stages don't depend on any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vectriage/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def bounded_batches(df: DataFrame) -> None:
-    """Arrow batches of a few megabytes, for both sides of a Python worker hold several at a time."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Arrow batches of a few megabytes, for both sides of a Python worker hold several at a time. What the session sets
+    itself stays; a DataFrame that is returned unevaluated has no settings of its own, so these stay as well."""
+    own = df.sparkSession._jsparkSession.sessionState().conf()
+    for name, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(4 << 20))):
+        if not own.contains(f"spark.sql.execution.arrow.{name}"):
+            df.sparkSession.conf.set(f"spark.sql.execution.arrow.{name}", value)
+
+
+#: What a table of unknown size, one that isn't read from files, counts for: a gigabyte. Write a larger one to files first.
+UNKNOWN = 1 << 30
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df, without reading it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of the tables that df reads, as Catalyst knows it (for files, their size), without reading them.
+
+    The estimate for df itself isn't used: Catalyst takes a join for a product, and a text for twenty bytes.
+    """
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for k in range(leaves.size()):
+        size = int(str(leaves.apply(k).stats().sizeInBytes()))
+        total += size if size < 1 << 60 else UNKNOWN
+    return total
 
 
 def parts_for(df: DataFrame, target: int, least: int = 96) -> int:
     """How many parts of about target bytes df has; enough of them to spread over the cluster."""
-    return int(min(max(least, plan_bytes(df) // target), 1 << 20))
+    return int(max(least, plan_bytes(df) // target))
 
 
 def string_columns(df: DataFrame, *names: str) -> None:

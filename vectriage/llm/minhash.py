@@ -145,20 +145,26 @@ def likely(df: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
 UNIT = ["component", "low", "high", "tile", "node"]
 
 
+def with_sizes(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows and the size of their group. Sizes are written, so that the join is one of two shuffles, of which adaptive
+    execution splits the partition of a very large group."""
+    sizes = materialize(rows.groupBy(by).agg(F.count("*").alias("size")), name)
+    return rows.join(sizes.hint("merge"), by)
+
+
 def tiled(groups: DataFrame, most: int) -> DataFrame:
-    """Units of comparison of groups (component, node): tiles of about `most` nodes, and each pair of tiles of a group."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    rows = groups.join(sizes.select("component", F.ceil(F.col("size") / most).cast("int").alias("tiles")), "component")
+    """Units of comparison of groups (component, node, size): tiles of about `most` nodes, and each pair of tiles of a group."""
+    rows = groups.where("size > 1").withColumn("tiles", F.ceil(F.col("size") / most).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return rows.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).select(*UNIT, (F.col("tiles") == 1).alias("alone"))
 
 
 def stars(pairs: DataFrame, most: int) -> DataFrame:
     """Units of comparison of pairs (doc, leader): a leader with about `most` of its documents at a time."""
-    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / most).cast("int").alias("tiles"))
-    mine = pairs.join(sizes, "leader").withColumn("high", (F.pmod(F.xxhash64("doc"), F.col("tiles")) + 1).cast("int"))
+    tiles = F.ceil(F.col("size") / most).cast("int").alias("tiles")
+    mine = with_sizes(pairs, "leader", "star-sizes").select("doc", "leader", tiles).withColumn("high", (F.pmod(F.xxhash64("doc"), F.col("tiles")) + 1).cast("int"))
     mine = mine.select(F.col("leader").alias("component"), F.lit(0).alias("low"), "high", F.col("high").alias("tile"), F.col("doc").alias("node"))
-    lead = sizes.withColumn("high", F.explode(F.sequence(F.lit(1), F.col("tiles"))))
+    lead = pairs.groupBy("leader").agg(F.count("*").alias("size")).select("leader", F.explode(F.sequence(F.lit(1), tiles)).alias("high"))
     lead = lead.select(F.col("leader").alias("component"), F.lit(0).alias("low"), "high", F.lit(0).alias("tile"), F.col("leader").alias("node"))
     return mine.unionByName(lead).withColumn("alone", F.lit(False))
 
@@ -232,13 +238,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     pairs = bands.join(leaders, "band").where("doc <> leader").select("doc", "leader").distinct()
     pairs = materialize(plausible(pairs, classes), "pairs")
     family = materialize(components(pairs, "doc", "leader"), "families")
-    sized = family.join(family.groupBy("component").agg(F.count("*").alias("size")), "component")
-    small = sized.where(F.col("size") <= TILE).select("component", "node")
+    sized = with_sizes(family, "component", "sizes")
+    small = sized.where(F.col("size") <= TILE)
     large = sized.where(F.col("size") > TILE).select("node")
 
     compare = Comparison(df, key, text, width, share)
     own = likely(pairs, "doc", large, "node").join(large.withColumnRenamed("node", "doc"), "doc", "left_semi")
-    nearest = own.groupBy("doc").agg(F.max_by("leader", F.struct("near", -F.col("leader"))).alias("leader"))
+    nearest = materialize(own.groupBy("doc").agg(F.max_by("leader", F.struct("near", -F.col("leader"))).alias("leader")), "nearest")
     first = materialize(compare.links(tiled(small, TILE).unionByName(stars(nearest, TILE)), False), "first-links")
     # of larger families, the bands that hold documents of several groups
     together = materialize(components(first, "node", "root"), "together")
@@ -248,7 +254,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     spread = materialize(left.join(mixed, "band").select(F.col("band").alias("component"), F.col("doc").alias("node")), "spread")
     found = together
     if not spread.isEmpty():
-        second = compare.links(tiled(spread, TILE), True)
+        second = compare.links(tiled(with_sizes(spread, "component", "sizes"), TILE), True)
         found = components(together.select("node", F.col("component").alias("root")).unionByName(second), "node", "root")
     of_class = classes.join(found, F.col("doc") == F.col("node"), "left").select("d0", "d1", "n", F.coalesce("component", "doc").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
