@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, folds, metrics, report, stats
+from ..operators import bootstrap, folds, metrics, probe, report, stats
 from ..sources import readers, writers
 from ..sources.shared import shared_dir
 from . import evaluate as evaluation
-from .catalog import _CONFUSION, _DRAWN, _PAIRED, _RANKS, _TYPE, FACT, MODELS, RUNS, _evaluated, _fact, _ratings, _type, boot, boot_sql, labels, patients, pools, pools_sql, r6, register, scans, table, unstable
+from .catalog import _CONFUSION, _DRAWN, _PAIRED, _RANKS, _TYPE, FACT, FOLDS, MODELS, RUNS, _evaluated, _fact, _ratings, _type, boot, boot_sql, fold_table, labels, patients, pools, pools_sql, r6, register, scans, table, unstable
 
 
 def folder(spark, name: str) -> str:
@@ -343,3 +343,36 @@ def features_of_bands(spark, sf_dir):
 @register("first_of_each", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1")
 def first_of_each(spark, sf_dir):
     return report.first_per_group(table(spark, sf_dir, "events"), ["event_type"], [F.desc("value"), "event_id"]).select("event_type", "event_id")
+
+
+# ---- splits, probes that have nothing to learn from, blocks of readouts
+
+
+@register("loo_folds", "SELECT vec_id AS id, 0 AS repeat, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS fold FROM embeddings")
+def loo_folds(spark, sf_dir):
+    return folds.leave_one_out(scans(spark, sf_dir).select("id"))
+
+
+_ALONE = "l AS (SELECT id, 'none' AS label, 0 AS y FROM folds UNION ALL SELECT id, 'single', CAST(id = (SELECT min(vec_id) FROM embeddings) AS INTEGER) FROM folds UNION ALL SELECT id, 'all', 1 FROM folds)"
+
+
+@register("probe_fallback", f"WITH {FOLDS}, {_ALONE}, t AS (SELECT label, f, sum(CASE WHEN fold <> f THEN y ELSE 0 END) * 1.0 / sum(CASE WHEN fold <> f THEN 1 ELSE 0 END) AS score FROM l JOIN folds USING (id), (SELECT DISTINCT fold AS f FROM folds) GROUP BY 1, 2) SELECT l.id, l.label, l.y, round(t.score, 6) AS score FROM l JOIN folds USING (id) JOIN t ON t.label = l.label AND t.f = folds.fold")
+def probe_fallback(spark, sf_dir):
+    """Labels with fewer than two positives, or no negatives, in training: the score is the share of positives there."""
+    own = scans(spark, sf_dir)
+    first = own.agg(F.min("id").alias("__m"))
+    alone = own.select("id").crossJoin(first).select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("label"), y.cast("int").alias("y")) for n, y in (("none", F.lit(0)), ("single", F.col("id") == F.col("__m")), ("all", F.lit(1)))])).alias("x")).select("id", "x.label", "x.y")
+    return probe.probe_scores(own, alone, fold_table(spark, sf_dir), least_pos=2).select("id", "label", "y", r6("score"))
+
+
+@register("readout_blocks", "SELECT user_id, " + ", ".join(f"max(CASE WHEN event_type = '{t}' AND e = {e} THEN n END) AS {t}_{e}_n" for t in ("click", "view", "absent") for e in (0, 1)) + " FROM (SELECT user_id, event_type, event_id % 2 AS e, count(*) AS n FROM events GROUP BY 1, 2, 3) GROUP BY 1")
+def readout_blocks(spark, sf_dir):
+    """Blocks of columns side by side, one for each readout and model; what a block lacks is null."""
+    name = F.concat_ws("_", "event_type", (F.col("event_id") % 2).cast("string"))
+    n = table(spark, sf_dir, "events").groupBy("user_id", name.alias("block")).agg(F.count("*").alias("n"))
+    return report.wide(n, "user_id", "block", [f"{t}_{e}" for t in ("click", "view", "absent") for e in (0, 1)], ["n"])
+
+
+@register("numbered_groups", "SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS BIGINT) AS k FROM (SELECT DISTINCT event_type FROM events)")
+def numbered_groups(spark, sf_dir):
+    return folds.numbered(table(spark, sf_dir, "events").select("event_type").distinct(), "event_type")
