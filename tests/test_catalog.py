@@ -56,11 +56,12 @@ def test_reports_are_whole(spark, sf_dir):
 
 
 def test_evaluation_has_all_models_and_a_thousand_resamples(spark, sf_dir, monkeypatch):
-    asked, boot = [], catalog.boot
-    monkeypatch.setattr(catalog, "boot", lambda spark, sf_dir, n_boot=catalog.N_BOOT, seed=11: asked.append(n_boot) or boot(spark, sf_dir, 5, seed))
+    from vectriage.operators import bootstrap
+
+    asked, whole = [], bootstrap.fast_evaluate
+    monkeypatch.setattr(bootstrap, "fast_evaluate", lambda df, units, unit, keys, n_boot=1000, seed=42: asked.append(n_boot) or whole(df, units, unit, keys, 5, seed))
     found = {r.model for r in catalog.QUERIES["evaluate_model"](spark, sf_dir).collect()}
     assert found == set(catalog.MODELS) and asked == [1000]
-    spark.catalog.clearCache()
 
 
 def test_entry_without_the_training_data_operators(spark, monkeypatch):

@@ -115,3 +115,19 @@ def test_resamples_in_blocks_are_the_same(spark):
     df = spark.createDataFrame([("m", i, "l", int(rng.random() < 0.4), float(rng.integers(0, 9))) for i in range(30)], "model string, u int, label string, y int, score double")
     whole, cut = (bootstrap.fast_runs(df, df.select("u"), "u", ["model"], 20, 3, draws=d).orderBy("b").collect() for d in (1 << 24, 100))
     assert len(whole) == 20 and whole == cut
+
+
+def test_evaluation_in_tasks_is_that_by_joins(spark):
+    from vectriage.operators import bootstrap, folds
+
+    rng = np.random.default_rng(15)
+    rows = [(m, i, i % 9, l, int(rng.random() < p), float(rng.integers(0, 8)) / 8) for m in ("a", "b") for i in range(50) for l, p in (("x", 0.4), ("rare", 0.03), ("never", 0.0))]
+    scores = spark.createDataFrame(rows, "model string, id int, grp int, label string, y int, score double")
+    boot = folds.resamples(scores.select("grp").distinct(), "grp", 12, 5)
+    want = {(r.model, r.metric, r.label): r for r in bootstrap.evaluate(scores, boot, "grp", ["model"]).collect()}
+    for draws in (1 << 24, 20):
+        got = {(r.model, r.metric, r.label): r for r in bootstrap.fast_evaluate(scores, scores.select("grp"), "grp", ["model"], 12, 5, draws=draws).collect()}
+        assert got.keys() == want.keys()
+        for k, r in want.items():
+            for c in ("point", "ci95_low", "ci95_high"):
+                assert (r[c] is None) == (got[k][c] is None) and (r[c] is None or abs(r[c] - got[k][c]) < 1e-9), (k, c, r[c], got[k][c])

@@ -45,20 +45,21 @@ def points(df: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     return wide.unpivot(list(keys), ["macro_f1", "micro_f1", "subset_accuracy", "hamming_accuracy", "macro_pr_auc"], "metric", "value")
 
 
+def _by_label(rows: DataFrame, keys: list[str], threshold: float, weight: str | None) -> DataFrame:
+    """(keys…, label, metric, value): AP, F1 and prevalence of each label."""
+    r = metrics.ranking(rows, keys, weight).select(*keys, "label", F.col("ap").alias("pr_auc_per_class"), F.col("prevalence").alias("prevalence_per_class"))
+    f = metrics.confusion(rows, keys, threshold, weight).select(*keys, "label", F.col("f1").alias("f1_per_class"))
+    return r.join(f, [*keys, "label"]).unpivot([*keys, "label"], ["pr_auc_per_class", "prevalence_per_class", "f1_per_class"], "metric", "value")
+
+
 def evaluate(df: DataFrame, boot: DataFrame, unit: str, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """(keys…, metric, label, point, ci95_low, ci95_high): scalars (label null) and per-class AP, F1 and prevalence."""
     low, high = interval("value")
     scalar = scalar_runs(df, boot, unit, keys, threshold).groupBy(*keys, "metric").agg(low.alias("ci95_low"), high.alias("ci95_high"))
     scalar = points(df, keys, threshold).withColumnRenamed("value", "point").join(scalar, [*keys, "metric"], "left").withColumn("label", F.lit(None).cast("string"))
     rows = weighted(df, boot, unit)
-
-    def by_label(rows: DataFrame, keys: list[str], weight: str | None) -> DataFrame:
-        r = metrics.ranking(rows, keys, weight).select(*keys, "label", F.col("ap").alias("pr_auc_per_class"), F.col("prevalence").alias("prevalence_per_class"))
-        f = metrics.confusion(rows, keys, threshold, weight).select(*keys, "label", F.col("f1").alias("f1_per_class"))
-        return r.join(f, [*keys, "label"]).unpivot([*keys, "label"], ["pr_auc_per_class", "prevalence_per_class", "f1_per_class"], "metric", "value")
-
-    classes = by_label(rows, [*keys, "b"], "mult").groupBy(*keys, "label", "metric").agg(low.alias("ci95_low"), high.alias("ci95_high"))
-    classes = by_label(df, keys, None).withColumnRenamed("value", "point").join(classes, [*keys, "label", "metric"], "left")
+    classes = _by_label(rows, [*keys, "b"], threshold, "mult").groupBy(*keys, "label", "metric").agg(low.alias("ci95_low"), high.alias("ci95_high"))
+    classes = _by_label(df, keys, threshold, None).withColumnRenamed("value", "point").join(classes, [*keys, "label", "metric"], "left")
     columns = [*keys, "metric", "label", "point", "ci95_low", "ci95_high"]
     return scalar.select(*columns).unionByName(classes.select(*columns))
 
@@ -115,6 +116,17 @@ def _runs(y: np.ndarray, score: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
         return np.where(p > 0, ap, np.nan), np.where((p > 0) & (n > p), auc, np.nan), p / n
 
 
+def _ranked(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Average precision by rank of each resample, rows in order, each as often as its weight; NaN without positives."""
+    tp, pp = np.cumsum(weight * y, axis=1) - weight * y, np.cumsum(weight, axis=1) - weight
+    total = np.zeros(len(weight))
+    for j in range(1, int(weight.max(initial=0)) + 1):
+        total += np.where((weight >= j) & (y > 0), (tp + j) / (pp + j), 0.0).sum(1)
+    p = (weight * y).sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(p > 0, total / p, np.nan)
+
+
 #: Multiplicities that a task holds at a time.
 DRAWS = 1 << 24
 
@@ -125,11 +137,7 @@ def fast_runs(df: DataFrame, units: DataFrame, unit: str, keys: list[str], n_boo
     A task has the scores of one label of one model, and as many resamples as make `draws` multiplicities, which it makes
     itself; a label's scores go to each such task. units numbers the units densely.
     """
-    from .folds import numbered
-
-    ids = numbered(units.select(unit).distinct(), unit, "__k")
-    total = ids.count()
-    step = int(max(1, min(n_boot, draws // max(1, total))))
+    rows, total, step = _blocks(df, units, unit, n_boot, draws)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = "".join(f"`{c}` {kinds[c]}, " for c in [*keys, "label"]) + "b long, ap double, auroc double, prevalence double, skill double"
 
@@ -144,9 +152,77 @@ def fast_runs(df: DataFrame, units: DataFrame, unit: str, keys: list[str], n_boo
         values = {k: pd.Series(v).astype(object).where(~np.isnan(v), None) for k, v in (("ap", ap), ("auroc", auc), ("prevalence", prev), ("skill", skill))}
         return pd.DataFrame(head | {"b": first + np.arange(many)} | values)
 
-    firsts = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(step))).alias("__first")
-    rows = df.join(ids, unit).select(*keys, "label", "y", "score", "__k", firsts)
-    return rows.groupBy(*keys, "label", "__first").applyInPandas(run, schema)
+    return rows.select(*keys, "label", "y", "score", "__k", "__first").groupBy(*keys, "label", "__first").applyInPandas(run, schema)
+
+
+def _blocks(df: DataFrame, units: DataFrame, unit: str, n_boot: int, draws: int) -> tuple[DataFrame, int, int]:
+    """df with its units' numbers __k, once for each block of resamples (__first); the number of units, a block's size."""
+    from .folds import numbered
+
+    ids = numbered(units.select(unit).distinct(), unit, "__k")
+    total = ids.count()
+    step = int(max(1, min(n_boot, draws // max(1, total))))
+    return df.join(ids, unit).withColumn("__first", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(step)))), total, step
+
+
+def fast_evaluate(df: DataFrame, units: DataFrame, unit: str, keys: list[str], n_boot: int = 1000, seed: int = 42, threshold: float = 0.5, draws: int = DRAWS) -> DataFrame:
+    """The rows of `evaluate` for many resamples, without a row for each draw: resamples are made in the tasks.
+
+    A task has the scores of one label of one model; sums over labels come from what tasks return for each resample.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    head = "".join(f"`{c}` {kinds[c]}, " for c in keys)
+    counts = ["tp", "fp", "fn", "tn"]
+    values = [*counts, "ap", "ap_rank", "prevalence"]
+    rows, total, step = _blocks(df, units, unit, n_boot, draws)
+
+    def many(first: int) -> np.ndarray:
+        return multiplicities(min(step, n_boot - first), total, seed, "mix", first)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
+        first, y = int(pdf["__first"].iloc[0]), pdf["y"].to_numpy(float)
+        score = pdf["score"].to_numpy(float)
+        w = many(first)[:, pdf["__k"].to_numpy()]
+        ap, _, prevalence = _runs(y, score, w)
+        said, true = score >= threshold, y == 1
+        out = {"tp": w[:, said & true].sum(1), "fp": w[:, said & ~true].sum(1), "fn": w[:, ~said & true].sum(1), "tn": w[:, ~said & ~true].sum(1)}
+        out |= {"ap": ap, "ap_rank": _ranked(y, w), "prevalence": prevalence}
+        columns = {k: pd.Series(np.asarray(v, float)).astype(object).where(~np.isnan(np.asarray(v, float)), None) for k, v in out.items()}
+        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(w) for c in [*keys, "label"]} | {"b": first + np.arange(len(w))} | columns)
+
+    classes = rows.select(*keys, "label", "id", "y", "score", "__k", "__first").groupBy(*keys, "label", "__first").applyInPandas(run, f"{head}label string, b long, " + ", ".join(f"{v} double" for v in values))
+    classes = classes.where("tp + fp + fn + tn > 0")
+
+    right = F.bool_and((F.col("score") >= threshold).cast("int") == F.col("y"))
+    whole = df.groupBy(*keys, "id", unit).agg(right.cast("int").alias("__right")).groupBy(*keys, unit).agg(F.sum("__right").alias("__right"), F.count("*").alias("__rows"))
+
+    def subset(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["__first"].iloc[0])
+        w = many(first)[:, pdf["__k"].to_numpy()]
+        n = w @ pdf["__rows"].to_numpy()
+        share = np.where(n > 0, (w @ pdf["__right"].to_numpy()) / np.maximum(n, 1), np.nan)
+        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(w) for c in keys} | {"b": first + np.arange(len(w)), "subset_accuracy": pd.Series(share).astype(object).where(n > 0, None)})
+
+    exact = _blocks(whole, units, unit, n_boot, draws)[0].groupBy(*keys, "__first").applyInPandas(subset, f"{head}b long, subset_accuracy double")
+
+    f1 = 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn") + 1e-8)
+    tp, fp, fn, tn = (F.sum(c) for c in counts)
+    scalar = classes.groupBy(*keys, "b").agg(F.avg(f1).alias("macro_f1"), (2 * tp / (2 * tp + fp + fn + 1e-8)).alias("micro_f1"), ((tp + tn) / (tp + fp + fn + tn)).alias("hamming_accuracy"), F.avg("ap_rank").alias("macro_pr_auc")).join(exact, [*keys, "b"])
+    names = ["macro_f1", "micro_f1", "subset_accuracy", "hamming_accuracy", "macro_pr_auc"]
+    classes = classes.select(*keys, "b", "label", F.col("ap").alias("pr_auc_per_class"), F.col("prevalence").alias("prevalence_per_class"), f1.alias("f1_per_class"))
+    columns = [*keys, "label", "metric", "value"]
+    each = scalar.withColumn("label", F.lit(None).cast("string")).unpivot([*keys, "label"], names, "metric", "value").select(*columns)
+    each = each.unionByName(classes.unpivot([*keys, "label"], ["pr_auc_per_class", "prevalence_per_class", "f1_per_class"], "metric", "value").select(*columns))
+    low, high = interval("value")
+    spread = each.groupBy(*keys, "label", "metric").agg(low.alias("ci95_low"), high.alias("ci95_high"))
+    point = points(df, keys, threshold).withColumn("label", F.lit(None).cast("string")).select(*columns)
+    point = point.unionByName(_by_label(df, keys, threshold, None).select(*columns)).withColumnRenamed("value", "point")
+    on = F.col("label").eqNullSafe(F.col("__label")) & (F.col("metric") == F.col("__metric"))
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    spread = spread.select(*[F.col(c).alias(f"__{c}") for c in [*keys, "label", "metric"]], "ci95_low", "ci95_high")
+    return point.join(spread, on, "left").select(*keys, "metric", "label", "point", "ci95_low", "ci95_high")
 
 
 def units_table(run: DataFrame, keys: list[str], types: DataFrame) -> DataFrame:

@@ -387,7 +387,7 @@ def _evaluated(rows: str, k: str, w: str) -> str:
 def evaluate_twenty(spark, sf_dir):
     """The whole evaluation of all models, with as many resamples as SQL can follow; evaluate_model has 1000."""
     scored = unstable(pools(spark, sf_dir).withColumn("grp", F.col("id") % 125))
-    out = bootstrap.evaluate(scored, boot(spark, sf_dir), "grp", ["model"])
+    out = bootstrap.fast_evaluate(scored, patients(spark, sf_dir), "grp", ["model"], N_BOOT, 11)
     return out.select("model", "metric", "label", r6("point"), r6("ci95_low"), r6("ci95_high"))
 
 
@@ -414,7 +414,7 @@ def readouts_sign(spark, sf_dir):
 def evaluate_model(spark, sf_dir):
     """All models, 1000 resamples of patients each."""
     scored = unstable(pools(spark, sf_dir).withColumn("grp", F.col("id") % 125))
-    out = bootstrap.evaluate(scored, boot(spark, sf_dir, 1000), "grp", ["model"])
+    out = bootstrap.fast_evaluate(scored, patients(spark, sf_dir), "grp", ["model"], 1000, 11)
     return out.select("model", "metric", "label", r6("point"), r6("ci95_low"), r6("ci95_high"))
 
 
