@@ -56,7 +56,9 @@ def test_edges_and_clashing_columns(spark, library):
     assert out.columns == ["doc_id", "text", "ids", "decoded"] and dict(out.dtypes)["ids"] == dict(out.dtypes)["decoded"] == "binary"
     got = sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in out.collect()), key=str)
     assert got == sorted(((i, wide(library.encode_ordinary(t or "")), (t or "").encode()) for i, t, _, _ in rows), key=str)
-    assert bpe.decode(bpe.encode(df.limit(0), PATH, pattern()), PATH, pattern()).count() == 0
+    both = bpe.round_trip(df, PATH, pattern())
+    assert both.columns == out.columns and sorted(map(str, both.collect())) == sorted(map(str, out.collect()))
+    assert bpe.decode(bpe.encode(df.limit(0), PATH, pattern()), PATH, pattern()).count() == bpe.round_trip(df.limit(0), PATH, pattern()).count() == 0
     with pytest.raises(ValueError):
         bpe.encode(df, PATH, pattern(), text="missing")
 

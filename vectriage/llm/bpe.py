@@ -90,3 +90,20 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decod
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [found], schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with the columns of encode and of decode: one worker does both, so ids don't pass to another one in between."""
+    string_columns(df, text)
+    bounded_batches(df)
+    schema = T.StructType([f for f in df.schema if f.name not in (ids, decoded)] + [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BinaryType())])
+    keep = schema.names[:-2]
+
+    def run(batches):
+        enc = encoding(ranks_path, pattern)
+        for batch in batches:
+            found = [ids_of(enc, x) for x in texts(batch.column(text))]
+            back = [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [pa.array(found, pa.binary()), pa.array(back, pa.binary())], schema.names)
+
+    return df.mapInArrow(run, schema)

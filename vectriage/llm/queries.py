@@ -24,8 +24,7 @@ def pattern() -> str:
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(docs, ranks, pattern()).select("doc_id", "ids")
-    return bpe.decode(coded, ranks, pattern()).select(
+    return bpe.round_trip(docs, ranks, pattern()).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
