@@ -61,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, with proof that they decode to its text. A null text has no ids."""
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern()), ranks, pattern())
+    coded = bpe.round_trip(docs, ranks, pattern())
     return coded.select(
         "doc_id",
         "lang",
