@@ -45,6 +45,8 @@ from .common import bounded_batches, materialize, parts_for, shared_dir, string_
 MAGIC = b"VTCM0002"
 #: Ids of a block; blocks that are coded in step; slots of each order and block; ids of a segment, but for its last document.
 BLOCK, LANES, SLOTS, SEGMENT = 1024, 4096, 256, 1 << 22
+#: Segments of a file, so that it stays well below two gigabytes; a task's files are numbered from ROLLS times its own number.
+SEGMENTS, ROLLS = 64, 1_000_000
 #: Precision of order 0 and of order 1, in bits.
 PRECISE, ROW = 18, 14
 #: Parts of a row that decoding begins to look in; places of a table that encoding looks in.
@@ -535,8 +537,11 @@ def _finish(out, uri: str, draft: str, name: str) -> None:
     fs.move(draft, f"{path}/{name}")
 
 
-def write_ids(df: DataFrame, tokenizer_path: str, uri: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the ids of all texts to files in the folder uri; (file, n_docs, n_ids, n_bytes) of each file, by number."""
+def write_ids(df: DataFrame, tokenizer_path: str, uri: str, key: str = "doc_id", text: str = "text", segment: int = SEGMENT, segments: int = SEGMENTS) -> DataFrame:
+    """Write the ids of all texts to files in the folder uri; (file, n_docs, n_ids, n_bytes) of each file, by number.
+
+    A segment has `segment` ids or more; a task whose rows make more than `segments` of them goes on in another file.
+    """
     string_columns(df, key, text)
     bounded_batches(df)
     if "://" not in uri:
@@ -551,47 +556,66 @@ def write_ids(df: DataFrame, tokenizer_path: str, uri: str, key: str = "doc_id",
     ordered = ordered.withColumn("file", F.spark_partition_id())
 
     def run(batches):
-        encode = tokenizer(tokenizer_path).encode
-        end = np.array([END], "<u2").tobytes()
-        keys, known, counts, parts, held, done, file = [], [], [], [], 0, [0, 0, 0], None
-
-        def segment() -> bytes:
-            ids = np.frombuffer(b"".join(parts), "<u2")
-            data = to_segment(np.concatenate(keys), np.concatenate(known), np.concatenate(counts), ids)
-            for k, n in enumerate((sum(map(len, keys)), len(ids), len(data))):
-                done[k] += n
-            for held_list in (keys, known, counts, parts):
-                held_list.clear()
-            return data
-
-        out, draft = None, None
+        encode, end = tokenizer(tokenizer_path).encode, np.array([END], "<u2").tobytes()
+        held = _Held()
+        target, number, written = None, None, [0, 0, 0, 0]
+
+        def flush() -> None:
+            """The documents held, as a segment of the file that is open."""
+            nonlocal target
+            if target is None:
+                target = (*_begin(uri, file_name(number)), file_name(number))
+            data = to_segment(*held.taken())
+            target[0].write(data)
+            for k, n in enumerate((held.last_docs, held.last_ids, len(data), 1)):
+                written[k] += n
+
+        def closed() -> pa.RecordBatch:
+            nonlocal target, number
+            _finish(target[0], uri, *target[1:])
+            row = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([n], pa.int64()) for n in written[:3])], ["file", "n_docs", "n_ids", "n_bytes"])
+            target, number, written[:] = None, number + 1, [0, 0, 0, 0]
+            return row
+
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024)
-                if file is None:
-                    file = rows.column(2)[0].as_py()
-                    out, draft = _begin(uri, file_name(file))
-                keys.append(rows.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-                known.append(rows.column(0).is_valid().to_numpy(zero_copy_only=False))
+                if number is None:
+                    number = rows.column(2)[0].as_py() * ROLLS
                 found = encode(texts(rows.column(1)))
-                counts.append(np.array([len(x) // 2 + 1 for x in found]))
-                parts.append(end.join(found) + end)
-                held += int(counts[-1].sum())
-                if held >= SEGMENT:
-                    out.write(segment())
-                    held = 0
-        if file is not None:
-            if held:
-                out.write(segment())
-            _finish(out, uri, draft, file_name(file))
-            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), *(pa.array([n]) for n in done)], ["file", "n_docs", "n_ids", "n_bytes"])
+                held.add(rows.column(0), np.array([len(x) // 2 + 1 for x in found]), end.join(found) + end)
+                if held.n_ids >= segment:
+                    flush()
+                    if written[3] >= segments:
+                        yield closed()
+        if held.n_ids:
+            flush()
+        if target is not None:
+            yield closed()
         trim()
 
-    return ordered.mapInArrow(run, "file int, n_docs long, n_ids long, n_bytes long")
+    return ordered.mapInArrow(run, "file long, n_docs long, n_ids long, n_bytes long")
+
+
+class _Held:
+    """Documents that wait for their segment."""
+
+    def __init__(self):
+        self.parts, self.n_ids, self.last_docs, self.last_ids = [], 0, 0, 0
+
+    def add(self, keys: pa.Array, counts: np.ndarray, ids: bytes) -> None:
+        self.parts.append((keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_valid().to_numpy(zero_copy_only=False), counts, ids))
+        self.n_ids += int(counts.sum())
+
+    def taken(self) -> tuple[np.ndarray, ...]:
+        keys, known, counts = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        ids = np.frombuffer(b"".join(p[3] for p in self.parts), "<u2")
+        self.parts, self.n_ids, self.last_docs, self.last_ids = [], 0, len(keys), len(ids)
+        return keys, known, counts, ids
 
 
 def file_name(number: int) -> str:
-    return f"ids-{number:09d}.ctm"
+    return f"ids-{number:015d}.ctm"
 
 
 def read_ids(spark, uri: str, with_ids: bool = False) -> DataFrame:
@@ -607,7 +631,7 @@ def read_ids(spark, uri: str, with_ids: bool = False) -> DataFrame:
                     ends = np.cumsum(counts)
                     wide = ids.astype("<u4")
                     pieces = [wide[e - n : e] for n, e in zip(counts.tolist(), ends.tolist())]
-                    columns = [pa.array(keys, mask=~known), pa.array(np.full(len(keys), number, np.int32)), pa.array(before + ends - counts), pa.array(counts), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
+                    columns = [pa.array(keys, mask=~known), pa.array(np.full(len(keys), number, np.int64)), pa.array(before + ends - counts), pa.array(counts), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
                     names = ["key", "file", "within", "n_tokens", "ids_crc32"]
                     if with_ids:
                         columns, names = [*columns, pa.array([p.tobytes() for p in pieces], pa.binary())], [*names, "ids"]
@@ -615,14 +639,14 @@ def read_ids(spark, uri: str, with_ids: bool = False) -> DataFrame:
                     before += len(ids)
         trim()
 
-    return files.mapInArrow(run, "key long, file int, within long, n_tokens long, ids_crc32 long" + more)
+    return files.mapInArrow(run, "key long, file long, within long, n_tokens long, ids_crc32 long" + more)
 
 
-def round_trip(df: DataFrame, tokenizer_path: str, uri: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, tokenizer_path: str, uri: str | None = None, key: str = "doc_id", text: str = "text", segment: int = SEGMENT, segments: int = SEGMENTS) -> DataFrame:
     """(key, start, n_tokens, ids_crc32), from files that were written and read again."""
     spark = df.sparkSession
     uri = uri or f"{shared_dir(spark)}/vectriage/ids-{uuid.uuid4().hex}"
-    written = write_ids(df, tokenizer_path, uri, key, text)
+    written = write_ids(df, tokenizer_path, uri, key, text, segment, segments)
     totals = materialize(written.select("file", "n_ids"), "id-files")
     # one short row for each file, of some megabytes of ids each
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
