@@ -106,10 +106,10 @@ def test_segments_other_columns_and_a_hot_id(spark, tmp_path):
 def test_a_task_goes_on_in_other_files(spark, tmp_path):
     rows = [(1, f"{'the same beginning ' * 5}{'a' * (i % 40)} {i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    out = idfile.round_trip(df, PATH, str(tmp_path), segment=1000, segments=2)
+    out = idfile.round_trip(df, PATH, str(tmp_path), segment=1000, segments=1)
     check(rows, [tuple(r) for r in out.collect()])
     names = sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("ids-"))
-    assert len(names) > 3 and len({int(n[4:-4]) // idfile.ROLLS for n in names}) < len(names)
+    assert len(names) >= 3 and len({int(n[4:-4]) // idfile.ROLLS for n in names}) < len(names)
 
 
 def test_edges(spark):
