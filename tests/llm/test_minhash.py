@@ -104,6 +104,7 @@ def test_large_families_of_several_groups(spark, monkeypatch):
             rows.append((len(rows) * 7 % 211, edited(rnd, template + own, rnd.randrange(4))))
     rows += [(300 + k, rows[0][1]) for k in range(5)]
     monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "STAR", 3)
     check(spark, rows)
     check(spark, rows, 5, (4, 5))
 

@@ -37,6 +37,8 @@ BAND = 5
 #: Sets of this size or more need this estimated similarity to a band's leader.
 LARGE, FLOOR = 64, 0.25
 TILE = 2048
+#: Documents that are compared with their leader at a time.
+STAR = 256
 #: Shingles that at most so many sets have are compared by their lists.
 RARE = 24
 
@@ -245,7 +247,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     compare = Comparison(df, key, text, width, share)
     own = likely(pairs, "doc", large, "node").join(large.withColumnRenamed("node", "doc"), "doc", "left_semi")
     nearest = materialize(own.groupBy("doc").agg(F.max_by("leader", F.struct("near", -F.col("leader"))).alias("leader")), "nearest")
-    first = materialize(compare.links(tiled(small, TILE).unionByName(stars(nearest, TILE)), False), "first-links")
+    first = materialize(compare.links(tiled(small, TILE).unionByName(stars(nearest, STAR)), False), "first-links")
     # of larger families, the bands that hold documents of several groups
     together = materialize(components(first, "node", "root"), "together")
     left = likely(bands, "doc", large, "node").join(large.withColumnRenamed("node", "doc"), "doc", "left_semi")
