@@ -2,10 +2,12 @@
 
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
 from vectriage.functions import tables, text, vectors
 from vectriage.operators import report
+from vectriage.plans import catalog
 
 
 def one(spark, *columns):
@@ -44,6 +46,26 @@ def test_vectors(spark):
     assert r.c0 == [0.6, 0.8] and r.c1 == [0.0, 0.0] and math.isclose(r.c2, 0.5**0.5) and r.c3 == [5.5, 2.0] and r.c4 == [1.0] and r.c5 == [9.0, 2.0] and r.c6 is None
 
 
+def small_vectors(spark, tmp_path):
+    """A table of one row whose components are nearly zero, of either sign."""
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame([(2, [4e-7 * (-1) ** i for i in range(64)])], "vec_id long, embedding array<float>").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    return con
+
+
+def rows_with_signs(spark, con, tmp_path, name):
+    """The query's rows and its SQL's, as text, where -0.0 differs from 0.0."""
+    rel = con.sql(catalog.ORACLE[name])
+    return [repr([r[c] for c in rel.columns]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()], [repr(list(r)) for r in rel.fetchall()]
+
+
+def test_last_and_class_tokens_keep_the_sign_of_zero(spark, tmp_path):
+    got, want = rows_with_signs(spark, small_vectors(spark, tmp_path), tmp_path, "last_and_class_tokens")
+    assert got == want and "-0.0" in got[0]
+
+
 def test_hounsfield_and_affines(spark):
     hu = [one(spark, vectors.calibrate_hu(array(a, 100), F.lit(2.0), F.lit(-1.0))).c0 for a in (-1024, 0, -800)]
     assert hu == [[-1024.0, 100.0], [-1.0, 199.0], [-800.0, 100.0]]

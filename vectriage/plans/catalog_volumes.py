@@ -144,9 +144,8 @@ def affines(spark, sf_dir):
 def last_and_class_tokens(spark, sf_dir):
     v = vectors.doubles(F.col("embedding"))
     tokens = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(v, i * 16 + 1, F.lit(16)))
-    rounded = lambda a: F.transform(a, lambda x: F.round(x, 6))
     n = (F.col("vec_id") % 4).cast("int")
-    return table(spark, sf_dir, "embeddings").select("vec_id", rounded(vectors.last_token(tokens, n)).alias("last"), rounded(vectors.cls_and_mean(tokens[0], F.slice(tokens, 2, 3))).alias("pooled"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", vectors.rounded(vectors.last_token(tokens, n)).alias("last"), vectors.rounded(vectors.cls_and_mean(tokens[0], F.slice(tokens, 2, 3))).alias("pooled"))
 
 
 @register("interval_cells", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '--' ELSE printf('%.3f [%.3f, %.3f]', floor(value * 10) / 8, floor(value * 10) / 8 - 0.125, floor(value * 10) / 8 + 0.25) END AS cell FROM events")
