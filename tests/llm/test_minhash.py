@@ -151,6 +151,23 @@ def test_components_with_hot_nodes_nulls_and_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_of_several_pieces_and_of_one(spark):
+    """One piece is one pass without an exchange, more are rounds of stars; the results are the same."""
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    least = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(400):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for piece in (7, 100, 1 << 20):
+        got = components(df, "a", "b", piece=piece)
+        rows = got.collect()
+        assert len(rows) == len(least) and {r.node: r.component for r in rows} == least
+        assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (piece < len(edges))
+
+
 def test_words_by_bytes():
     import pyarrow as pa
 
