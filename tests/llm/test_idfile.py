@@ -88,6 +88,23 @@ def check(rows, got):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_words_by_their_bytes(monkeypatch):
+    """Words that differ in length, zero bytes or place only, short and long ones, looked up a few at a time, with a memory
+    that overflows and a table in which they collide."""
+    rng = random.Random(5)
+    words = [c * n for c in ("a", "é", "\0", "字", "a\0", "x,") for n in (1, 2, 3, 7, 8, 9, 11, 12, 15, 16, 17, 22, 23, 24, 25, 40)] + ["it's", "3.14,", "a.\nB", "\n", "\n\n", "e\u0301"]
+    texts = ["", "a", "a a", words[3], "\n", "a\tb c", "  a", "b "] + [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(150)]
+    want = library_ids(texts)
+    for memory, held, some in ((1 << 20, 32 << 20, 1 << 17), (64, 1 << 20, 7), (100, 50, 1)):
+        monkeypatch.setattr(idfile, "MEMO_WORDS", memory)
+        monkeypatch.setattr(idfile, "MEMO_BYTES", held)
+        monkeypatch.setattr(idfile, "WORDS", some)
+        t = idfile.Tokenizer(PATH)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u2").tolist() for at in range(0, len(texts), 40) for x in t.encode(texts[at : at + 40])] == want
+        assert t.memo.n <= memory + 2 * some and sum(len(w) for w, _ in t.memo.long) <= held + 80 * some
+
+
 def test_added_tokens_are_the_library_s():
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", " <|endoftext|>", "<|endoftext", "plain"]
     found = idfile.Tokenizer(PATH).encode(texts)

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, parts_for, shared_dir, string_columns, texts, trim
+from .common import ODD, bounded_batches, gather, materialize, mix, parts_for, shared_dir, string_columns, texts, trim
 
 MAGIC = b"VTCM0002"
 #: Ids of a block; blocks that are coded in step; slots of each order and block; ids of a segment, but for its last document.
@@ -54,7 +54,8 @@ COARSE, HASHED = 64, 1 << 20
 FAR = 1 << 18
 END = 0
 FILE_BYTES = 8 << 20
-MEMO_WORDS = 1 << 20
+#: Words and bytes of long words that are remembered, words that are looked up at a time, bytes from which a word is long.
+MEMO_WORDS, MEMO_BYTES, WORDS, WIDE = 1 << 21, 32 << 20, 1 << 17, 24
 
 _U = np.uint64
 
@@ -72,6 +73,8 @@ STRETCH, SQUASH = _tables()
 #: By 4 for a right guess, and its trust so far: its trust from now on.
 TRUST = np.array([0, 0, 1, 2, 1, 2, 3, 3], np.int32) << 16
 SIGN = np.array([1, -1], np.int32)
+#: The lowest bytes of eight, by how many.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def scaled(counts: np.ndarray, total: int) -> np.ndarray:
@@ -446,8 +449,7 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.memo = _Memo()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
         vocabulary = self.library.get_vocab(with_added_tokens=True)
@@ -462,54 +464,149 @@ class Tokenizer:
         """Is there a blank that isn't a boundary, next to white space or at an end, or an added token?"""
         if text.startswith(" ") or text.endswith(" ") or "  " in text or " \n" in text or "\n " in text or any(a in text for a in self.added):
             return True
+        if text.replace("\n", "").isprintable():  # no white space is, but for the blank
+            return False
         return self.others(text) is not None and self.beside(text) is not None
 
     def whole(self, found: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
 
-    def words(self, found: list[str]) -> list[bytes]:
-        """Ids of each word with the blank before it: many words go as one text, and ids that begin with a blank part them."""
-        out = []
-        for part in self.library.encode_batch_fast([" " + " ".join(found[at : at + 512]) for at in range(0, len(found), 512)], add_special_tokens=False):
-            ids = np.array(part.ids, "<u2")
-            data = ids.tobytes()
-            cut = (2 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
-            out += [data[a:b] for a, b in zip(cut, cut[1:])]
-        return out
+    def words(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with the blank before each, `size` bytes of data one after another, and how many each has: many
+        words go as one text, and ids that begin with a blank part them."""
+        ends, flat = np.cumsum(size)[511::512].tolist(), data.tobytes()
+        found = [str(flat[a:b], "utf-8") for a, b in zip([0, *ends], [*ends, len(flat)]) if a < b]
+        ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.library.encode_batch_fast(found, add_special_tokens=False)])
+        counts = np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
+        if len(counts) != len(size):
+            raise ValueError("the library parts words in another way")
+        return ids, counts
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as 16-bit numbers."""
-        if len(self.later) > MEMO_WORDS:
-            self.first.clear()
-            self.later.clear()
-        whole = [t for t in batch if self.odd(t)]
-        cut = [None if self.odd(t) else t.split(" ") for t in batch] if whole else [t.split(" ") for t in batch]
-        out, fresh, heads, gaps = [], {}, {}, []
-        remembered = self.later.get
-        for c in cut:
-            if c is None:
-                out.append(None)
-                continue
-            found = list(map(remembered, c))
-            found[0] = self.first.get(c[0])
-            if found[0] is None:
-                heads[c[0]] = None
-                gaps.append((found, 0, heads, c[0]))
-            if None in found:
-                i = 0
-                for _ in range(found.count(None) - (found[0] is None)):
-                    i = found.index(None, i + 1)
-                    fresh[c[i]] = None
-                    gaps.append((found, i, fresh, c[i]))
-            out.append(found)
-        for names, encode, memo in ((heads, self.whole, self.first), (fresh, self.words, self.later)):
-            new = list(names)
-            names.update(zip(new, encode(new), strict=True))
-            memo.update(names)
-        for found, i, names, word in gaps:
-            found[i] = names[word]
-        odd = iter(self.whole(whole))
-        return [next(odd) if found is None else b"".join(found) for found in out]
+        odd = [self.odd(t) for t in batch]
+        cut = [t.encode() for t, o in zip(batch, odd) if not o]
+        own = iter(self._by_words(cut) if cut else ())
+        rest = iter(self.whole([t for t, o in zip(batch, odd) if o]))
+        return [next(rest if o else own) for o in odd]
+
+    def _by_words(self, found: list[bytes]) -> list[bytes]:
+        """Ids of texts that are cut at each blank, WORDS of their words at a time."""
+        data = b" ".join(found)
+        flat = np.frombuffer(data + bytes(WIDE), np.uint8)
+        end = np.append(np.flatnonzero(flat[: len(data)] == 32), len(data))
+        start = np.append(0, end[:-1] + 1)
+        size = np.array([len(t) for t in found])
+        heads = np.searchsorted(start, np.cumsum(size + 1) - size - 1)  # the first word of each text has no blank before it
+        first = np.zeros(len(start), bool)
+        first[heads] = True
+        ids, counts = [], np.empty(len(start), np.int64)
+        for at in range(0, len(start), WORDS):
+            some = slice(at, at + WORDS)
+            refs = self.memo.refs(data, flat, start[some], end[some], first[some], self)
+            counts[some] = self.memo.size[refs]
+            ids.append(gather(self.memo.ids, self.memo.at[refs], counts[some]))
+        each, ends = np.concatenate(ids).tobytes(), 2 * np.cumsum(np.add.reduceat(counts, heads))
+        return [each[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+class _Memo:
+    """Ids of words, by the words' bytes: a table of hashes leads to them, and the bytes decide.
+
+    A word of fewer than WIDE bytes is its own key: its bytes in three numbers, and in the last byte its length, with 128
+    added if it begins a text. Longer ones are in a dictionary. All words are forgotten when there are more than MEMO_WORDS,
+    or the long ones have more than MEMO_BYTES.
+    """
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = np.full(1 << (2 * (MEMO_WORDS + WORDS) - 1).bit_length(), -1, np.int32)  # half of it stays free
+        self.keys = np.zeros((1 << 16, WIDE // 8), np.uint64)
+        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 18, np.uint16)
+        self.long: dict[tuple[bytes, bool], int] = {}
+        self.n = self.used = self.held = 0
+
+    def _room(self, n: int) -> None:
+        while n > len(self.keys):
+            self.keys, self.at, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.keys, self.at, self.size))
+
+    def _place(self, keys: np.ndarray, fresh: bool) -> np.ndarray:
+        """Where each key is; -1 if it isn't there, or, fresh, a place that equal keys share."""
+        h, last = keys[:, 0] * _U(ODD), len(self.table) - 1
+        for k in range(1, keys.shape[1]):
+            h = mix(h ^ keys[:, k])
+        slot = (h >> _U(20)).astype(np.int64) & last
+        out, some = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        if fresh:
+            self._room(self.n + len(keys))
+            self.keys[self.n : self.n + len(keys)] = keys
+        while len(some):
+            found = self.table.take(slot)
+            if fresh:
+                free = np.flatnonzero(found < 0)
+                self.table[slot[free]] = self.n + some[free]  # of several that want one slot, one gets it
+                found = self.table.take(slot)
+            else:
+                there = np.flatnonzero(found >= 0)
+                some, slot, found = some[there], slot[there], found[there]
+            same = (self.keys.take(found, axis=0) == keys.take(some, axis=0)).all(1)
+            out[some[same]] = found[same]
+            some, slot = some[~same], slot[~same] + 1 & last
+        return out
+
+    def refs(self, data: bytes, flat: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, tokenizer: Tokenizer) -> np.ndarray:
+        """The number of each word; words that aren't known go through the library, each once."""
+        if self.n > MEMO_WORDS or self.held > MEMO_BYTES:
+            self.clear()
+        size = end - start
+        keys = np.empty((len(start), WIDE // 8), np.uint64)
+        eight = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))  # the eight bytes from each place on
+        for k in range(WIDE // 8):
+            within = np.clip(size - 8 * k, 0, 8)
+            keys[:, k] = eight[np.minimum(start + 8 * k, len(eight) - 1)] & MASKS.take(within)  # take would copy all of it
+        keys[:, -1] |= (size | first * 128).astype(np.uint64) << _U(56)
+        short = size < WIDE
+        out = np.full(len(start), -1, np.int64)
+        own = np.flatnonzero(short)
+        out[own] = self._place(keys[own], False)
+        missing = own[out[own] < 0]
+        fresh, new = [], []  # where words are that aren't known, and their numbers
+        if len(missing):
+            out[missing] = found = self._place(keys[missing], True)
+            place, which = np.unique(found, return_index=True)
+            new, fresh = place.tolist(), missing[which].tolist()
+            self.n += len(missing)
+        for i in np.flatnonzero(~short).tolist():
+            word = data[start[i] : end[i]], bool(first[i])
+            if word not in self.long:
+                self.long[word] = self.n
+                self.held += len(word[0])
+                fresh.append(i)
+                new.append(self.n)
+                self.n += 1
+            out[i] = self.long[word]
+        if fresh:
+            self._room(self.n)
+            fresh, new = np.array(fresh), np.array(new)
+            begins = first[fresh]
+            heads, later = fresh[begins], fresh[~begins]
+            if len(heads):
+                each = tokenizer.whole([data[a:b].decode() for a, b in zip(start[heads].tolist(), end[heads].tolist())])
+                self._keep(new[begins], np.array([len(x) // 2 for x in each]), np.frombuffer(b"".join(each), "<u2"))
+            if len(later):
+                ids, counts = tokenizer.words(gather(flat, start[later] - 1, size[later] + 1), size[later] + 1)
+                self._keep(new[~begins], counts, ids)
+        return out
+
+    def _keep(self, refs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[refs], self.size[refs] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
 
 
 def tokenizer(path: str) -> Tokenizer:
